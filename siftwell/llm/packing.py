@@ -47,7 +47,7 @@ class WordIds(dict):
         if any(c in text for c in _NOT_BLANK):
             return self._ids([text])[0]
         words = text.split()
-        if new := list(set(words).difference(self.keys())):
+        if new := [w for w in set(words) if w not in self]:
             if len(self) + len(new) > self.most:
                 self.clear()
                 new = list(set(words))
