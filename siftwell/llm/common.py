@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 import numpy as np
@@ -52,6 +54,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def worker_state() -> dict:
+    """A dict that lives as long as the Python worker, across tasks. Only for caches: results never depend on it."""
+    return vars(sys.modules.setdefault("siftwell_worker_state", types.ModuleType("siftwell_worker_state")))
+
+
 def id_or_null_id(col: Column | str) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(NULL_ID))
 

@@ -14,15 +14,19 @@ Columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import json
 import math
+import re
 from collections.abc import Callable, Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import stage
+from siftwell.llm.common import stage, worker_state
 
 CAPACITY = 4096
 END_ID = 1
@@ -30,29 +34,73 @@ END_ID = 1
 _NOT_BLANK = "\x1c\x1d\x1e\x1f"
 
 
-class WordIds(dict):
-    """word -> its ids as little-endian uint32 bytes. The vocabulary never joins across white space, so
-    a text's ids are its words' ids in a row. Emptied at ``most`` words, so its memory is bounded."""
+class WordIds:
+    """Texts to ids as little-endian uint32 bytes.
 
-    def __init__(self, path: str, most: int = 500_000):
-        from tokenizers import Tokenizer
+    The tokenizer lower-cases a text, cuts it into pre-tokens and encodes each on its own, so the ids of a
+    pre-token can be remembered. Texts of Latin letters and ASCII are cut here; new pre-tokens are
+    encoded many at a time, joined by blanks, and the ids cut again where a token ends a pre-token. Other texts (any
+    composed characters, special tokens, or blanks that the libraries see differently) go to the tokenizer whole. Pre-tokens are
+    held in two generations of about ``most`` each; the older goes when the newer is full, so memory is bounded."""
 
-        super().__init__()
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+    #: Letters and numbers among the lower-cased characters that are cut here; the pattern is the tokenizer's own (fixed values).
+    LETTERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff\u0100-\u017f"
+    NUMBERS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+    PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+"
+    JOINED = 1000
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def __init__(self, path: str, most: int = 400_000):
+        from tokenizers import Tokenizer
 
-    def of(self, text: str) -> bytes:
-        if any(c in text for c in _NOT_BLANK):
-            return self._ids([text])[0]
-        words = text.split()
-        if new := [w for w in set(words) if w not in self]:
-            if len(self) + len(new) > self.most:
-                self.clear()
-                new = list(set(words))
-            self.update(zip(new, self._ids(new), strict=True))
-        return b"".join(map(self.__getitem__, words))
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        own = json.loads(self.tokenizer.to_str())
+        by_blanks = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
+        as_bytes = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        own |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [by_blanks, as_bytes]}}
+        self.bare = Tokenizer.from_str(json.dumps(own))
+        self.cut = re.compile(self.PRE_TOKEN).findall
+        self.latin = re.compile("[\x00-\u012f\u0131-\u017f]*").fullmatch
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, parts: list[str]) -> None:
+        for at in range(0, len(parts), self.JOINED):
+            some = parts[at : at + self.JOINED]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) != len(some):
+                self.new.update((p, self._whole(p)) for p in some)
+                continue
+            held = ids.tobytes()
+            self.new.update((p, held[a:b]) for p, a, b in zip(some, [0, *stops], stops, strict=False))
+
+    def _is_cut_here(self, text: str) -> bool:
+        return (text.isascii() or self.latin(text) is not None) and "<|" not in text and not any(c in text for c in _NOT_BLANK)
+
+    def of_all(self, texts: list[str]) -> list[bytes]:
+        cuts = [self.cut(t.lower()) if self._is_cut_here(t) else None for t in texts]
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        found = [list(map(new.get, c)) if c is not None else [] for c in cuts]
+        missing, unknown = [], set()
+        for c, f in zip(cuts, found, strict=True):
+            at = list(compress(range(len(f)), map(not_, f)))
+            missing.append(at)
+            unknown.update(c[i] for i in at)
+        known = {p: old[p] for p in unknown if p in old}
+        new.update(known)
+        self._learn([p for p in unknown if p not in known])
+        for c, f, at in zip(cuts, found, missing, strict=True):
+            for i in at:
+                f[i] = new[c[i]]
+        return [b"".join(f) if c is not None else self._whole(t) for t, c, f in zip(texts, cuts, found, strict=True)]
 
 
 def tokenize(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -63,17 +111,17 @@ def tokenize(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = WordIds(tokenizer_path)
+        caches = worker_state().setdefault("word_ids", {})
+        words = caches.get(tokenizer_path) or caches.setdefault(tokenizer_path, WordIds(tokenizer_path))
+        size = 4 * capacity
         for batch in batches:
-            out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = words.of(text or "") + end
-                size = 4 * capacity
-                out += [(doc, at // size, at // 4, len(cut := ids[at : at + size]) // 4, cut) for at in range(0, len(ids), size)]
-                if len(out) >= 2000:
-                    yield _rows(out)
-                    out = []
-            if out:
+            docs = batch.column(0).to_pylist()
+            for first in range(0, len(docs), 256):
+                texts = [x.as_py() or "" for x in batch.column(1)[first : first + 256]]
+                out = []
+                for doc, ids in zip(docs[first : first + 256], words.of_all(texts), strict=True):
+                    ids += end
+                    out += [(doc, at // size, at // 4, len(cut := ids[at : at + size]) // 4, cut) for at in range(0, len(ids), size)]
                 yield _rows(out)
 
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
