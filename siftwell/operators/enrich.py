@@ -30,7 +30,11 @@ def enrich(findings: DataFrame) -> DataFrame:
 
 def controls(findings: DataFrame) -> DataFrame:
     """One row per finding, framework and control."""
-    parts = F.concat(*(F.transform(f, lambda c, f=f: F.struct(F.lit(f).alias("framework"), c.alias("control"))) for f in FRAMEWORKS))
+
+    def named(framework: str) -> Column:
+        return F.transform(framework, lambda c: F.struct(F.lit(framework).alias("framework"), c.alias("control")))
+
+    parts = F.concat(*map(named, FRAMEWORKS))
     return enrich(findings).withColumn("c", F.explode(parts)).select(*findings.columns, "c.framework", "c.control")
 
 
