@@ -205,11 +205,11 @@ def _packer(number: int, capacity: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = 8192, exchange: int = 8) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = 8192, rounds: int = 16) -> DataFrame:
     """``pieces`` (doc_id, piece, length and more) with sequence_id and offset.
 
     ``per_partition``: pieces that one partition packs, about; the result hardly depends on it, since
-    partitions exchange what doesn't fit. ``exchange``: how many partitions meet in a group."""
+    partitions exchange what doesn't fit. ``rounds`` of exchange at most (fewer are needed)."""
     columns = pieces.columns
     rows = stage(pieces, "pieces")
     n = rows.count()
@@ -218,16 +218,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = 8192,
     rows = rows.withColumns({"group": key, "sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", open boolean"
     done: list[DataFrame] = []
-    number = 0
-    while True:
-
+    for number in range(rounds):
         packed = stage(rows.groupBy("group").applyInArrow(_packer(number, capacity), schema), f"packed-{number}")
-        if groups == 1 or number == 15:
+        fewer = math.ceil(packed.filter("open").count() / per_partition)
+        if groups == 1 or not 0 < fewer < groups or number + 1 == rounds:
             done.append(packed)
             break
         done.append(packed.filter(~F.col("open")))
-        groups, number = max(1, groups // exchange), number + 1
-        rows = packed.filter("open").drop("open").withColumn("group", F.pmod(F.col("group"), F.lit(groups)))
+        groups = fewer
+        # bins stay together, so that a group's new packing can be held against the old one
+        rows = packed.filter("open").drop("open").withColumn("group", F.pmod(F.xxhash64("sequence_id"), F.lit(groups)))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -165,28 +165,26 @@ def links(nodes: DataFrame, radius: int = 2, shard_size: int = 4096) -> DataFram
 
 
 def near_groups(documents: DataFrame, words: int = 3, radius: int = 2, shard_size: int = 4096) -> DataFrame:
-    """doc_id, text_hash, fingerprint (long), component_id: the smallest doc_id of the component."""
+    """doc_id, text_hash, fingerprint (long), component (its smallest fingerprint), component_id: its smallest doc_id."""
     rows = stage(fingerprints(documents, words), "fingerprints")
     nodes = stage(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")), "nodes")
     found = stage(links(nodes, radius, shard_size), "links")
     if found.isEmpty():
-        least = nodes.select("fingerprint", F.col("doc_id").alias("component_id"))
+        least = nodes.select("fingerprint", F.col("fingerprint").alias("component"), F.col("doc_id").alias("component_id"))
     else:
         joined = components(found).withColumnRenamed("node", "fingerprint")
         named = nodes.join(joined, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
         named = stage(named, "named")
         smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-        least = stage(named.join(smallest, "component").select("fingerprint", "component_id"), "least")
-    return rows.join(least, "fingerprint").select("doc_id", "text_hash", "fingerprint", "component_id")
+        least = stage(named.join(smallest, "component").select("fingerprint", "component", "component_id"), "least")
+    return rows.join(least, "fingerprint").select("doc_id", "text_hash", "fingerprint", "component", "component_id")
 
 
 def drop_near_copies(documents: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """One row of ``documents`` for each component, that with the smallest doc_id, with all its columns."""
     stay = near_groups(documents, words, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = F.min(F.struct("fingerprint", "text_hash")).alias("first")
-    # components without any doc_id are told apart by fingerprint
-    own = F.when(F.col("component_id").isNull(), F.col("fingerprint"))
-    stay = stay.groupBy("component_id", own.alias("own")).agg(first).select(F.col("component_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    stay = stay.groupBy("component", "component_id").agg(first).select(F.col("component_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
     rows = documents.withColumn("_text_hash", F.xxhash64("text"))
     joined = rows.join(stay, rows["doc_id"].eqNullSafe(stay["_id"]) & (rows["_text_hash"] == stay["_hash"]))
     return joined.dropDuplicates(["doc_id", "_text_hash"]).select(*documents.columns)
