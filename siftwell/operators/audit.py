@@ -30,6 +30,12 @@ def stats(log: DataFrame) -> DataFrame:
     )
 
 
+def last_scan(log: DataFrame) -> DataFrame:
+    """One row: when the last scan was, what it found and what was decided."""
+    last = lambda c: F.max_by(c, "timestamp").alias(c)
+    return log.agg(F.max("timestamp").alias("timestamp"), last("findingCount"), last("userDecision"))
+
+
 def decisions(log: DataFrame) -> DataFrame:
     return log.groupBy(F.coalesce("userDecision", F.lit("none")).alias("decision")).agg(F.count("*").alias("n"))
 

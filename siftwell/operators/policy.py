@@ -21,3 +21,8 @@ def apply(findings: DataFrame, config: ScanConfig) -> DataFrame:
 def fail_on(findings: DataFrame, level: str) -> DataFrame:
     """Findings at or above the level."""
     return findings.filter(severity_rank(F.col("severity")) >= severity_rank(F.lit(level)))
+
+
+def only_in(findings: DataFrame, changes: DataFrame) -> DataFrame:
+    """The findings in changed files; ``changes``: file, change_type (D: deleted)."""
+    return findings.join(changes.filter("change_type <> 'D'").select("file"), "file", "left_semi")

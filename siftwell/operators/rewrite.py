@@ -73,3 +73,50 @@ def env_upserts(wanted: DataFrame, existing: DataFrame) -> DataFrame:
         F.when(same, "existing").when(clash, "conflict").otherwise("added").alias("action"), name.alias("name"),
         F.when(same, None).when(clash, F.concat(name, F.lit("="), F.col("value"))).otherwise(F.concat(name, F.lit("="), quoted)).alias("line"),
     )
+
+
+def _insert(lines: Column, at: Column, *new: str) -> Column:
+    """``new`` after the first ``at`` lines."""
+    rest = F.slice(lines, at + 1, F.size(lines))
+    return F.concat(F.slice(lines, F.lit(1), at), F.array(*map(F.lit, new)), rest)
+
+
+def _first(lines: Column, pattern: str) -> Column:
+    """Number of the first line that the pattern finds, 0 if none."""
+    return F.coalesce(F.array_position(F.transform(lines, lambda x: x.rlike(pattern)), True), F.lit(0)).cast("int")
+
+
+def _head(lines: Column, second: str) -> Column:
+    """Lines that stay on top: an interpreter line, then one that ``second`` finds."""
+    line = lambda at: F.coalesce(F.get(lines, at), F.lit(""))
+    shebang = line(F.lit(0)).startswith("#!").cast("int")
+    return shebang + line(shebang).rlike(second).cast("int")
+
+
+def ensure_import(lines: Column, language: Column, dotenv: Column) -> Column:
+    """``lines`` with the import that reading the environment takes, if it isn't there. ``dotenv``: whether the package's modules are
+    ``module`` or ``commonjs``; null if dotenv is no dependency, then scripts stay as they are."""
+    python = F.when(_first(lines, r"^(import|from)\s+os(?![A-Za-z0-9_])") > 0, lines).otherwise(_insert(lines, _head(lines, "^#.*coding"), "import os"))
+    block, single, package = _first(lines, r"^import\s*\("), _first(lines, r'^import\s+"[^"]+"'), _first(lines, r"^package\s+")
+    old = F.regexp_extract(F.get(lines, single - 1), r'"([^"]+)"', 1)
+    grown = F.array(F.lit("import ("), F.concat(F.lit('\t"'), old, F.lit('"')), F.lit('\t"os"'), F.lit(")"))
+    go = (
+        F.when(_first(lines, '"os"') > 0, lines).when(block > 0, _insert(lines, block, '\t"os"'))
+        .when(single > 0, F.concat(F.slice(lines, F.lit(1), single - 1), grown, F.slice(lines, single + 1, F.size(lines))))
+        .otherwise(_insert(lines, package, "", 'import "os"'))
+    )
+    head = _head(lines, "['\"]use strict['\"]")
+    loads = F.when(dotenv == "module", _insert(lines, head, "import 'dotenv/config';")).otherwise(_insert(lines, head, "require('dotenv').config();"))
+    script = F.when(dotenv.isNull() | (_first(lines, r"(require\s*\(|import)\s*['\"]dotenv") > 0), lines).otherwise(loads)
+    return F.when(language == "python", python).when(language == "go", go).when(language == "javascript", script).otherwise(lines)
+
+
+def rewrite_files(files: DataFrame, plan: DataFrame) -> DataFrame:
+    """file and content of the files in ``plan`` (see fix_plan), with its lines replaced and imports added. ``files``: file, content,
+    dotenv (see ensure_import). Of a line's rewrites the first step counts; scan the result again for the others."""
+    change = F.struct(F.col("line_number").cast("int").alias("line_number"), "after")
+    first = plan.filter("after is not null").groupBy("file", "language", "line_number").agg(F.min_by("after", "step").alias("after"))
+    changes = first.groupBy("file", "language").agg(F.map_from_entries(F.collect_list(change)).alias("changes"))
+    rows = files.join(changes, "file")
+    lines = F.transform(F.split("content", "\n", -1), lambda x, i: F.coalesce(F.col("changes")[i + 1], x))
+    return rows.select("file", F.array_join(ensure_import(lines, F.col("language"), F.col("dotenv")), "\n").alias("content"))

@@ -107,6 +107,12 @@ FIXTURES: dict[str, tuple[str, list[tuple]]] = {
     "scalars": ("id bigint, n bigint, slug string, version string, other string, seconds bigint, cell string", [
         (1, 512, "secrets-aws_cloud", "1.2.10", "1.2.9", 5, "=1+1"), (2, 2048, "pii-us", "2.0.0", "10.0.0", 125, "a,b"), (3, 1572864, "x", "1.0.0", "1.0.0", 7200, "plain"), (4, 3 << 30, "api-KEY-v2", "0.9", "0.8.9", 86400, "-3,4"), (5, 1024, "", "3.1.4", "3.1.3", 259200, "<a & \"b\">"),
     ]),
+    "modules": ("id bigint, language string, dotenv string, content string", list((i, *m) for i, m in enumerate([
+        ("python", None, "import sys\nx = 1"), ("python", None, "#!/usr/bin/env python\n# -*- coding: utf-8 -*-\nx = 1"), ("python", None, "import sys\nfrom os import path"), ("python", None, "import oslo"),
+        ("go", None, 'package main\n\nimport (\n\t"fmt"\n)\nfunc f() {}'), ("go", None, 'package main\nimport "fmt"\nvar x = 1'), ("go", None, "package main\nvar x = 1"), ("go", None, 'package a\nimport "os"'),
+        ("javascript", "commonjs", "'use strict';\nlet a = 1"), ("javascript", "module", "#!/usr/bin/env node\nlet a = 1"), ("javascript", "module", "import 'dotenv/config';\nlet a"), ("javascript", None, "let a = 1"), ("ruby", None, "x = 1"),
+    ]))),
+    "changes": ("file string, change_type string", [("a", "M"), ("b", "D"), ("zz", "A")]),
     "pack": ("id string, pattern string", [("aws-access-key-id", "zzz"), ("new-rule", "[q]{3}"), ("twin", "akia[0-9a-z]{16}"), ("other-rule", "w[0-9]{9}")]),
 }
 

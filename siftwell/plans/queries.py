@@ -495,6 +495,103 @@ def pack_without_builtins(spark: SparkSession) -> DataFrame:
     return rows.join(own.select("id"), "id", "left_anti").join(own.select("low").filter("low is not null"), "low", "left_anti").select("id")
 
 
+NEWLINE = "' || chr(10) || '"
+
+
+@query(f"""select id, language, case
+    when language = 'python' and not regexp_matches(content, '(?m)^(import|from)\\s+os\\b') then regexp_replace(content, '^(#![^\\n]*\\n)?(#[^\\n]*coding[^\\n]*\\n)?', '\\1\\2import os{NEWLINE}')
+    when language = 'go' and contains(content, '"os"') then content
+    when language = 'go' and regexp_matches(content, '(?m)^import\\s*\\(') then regexp_replace(content, '(?m)^(import\\s*\\([^\\n]*)', '\\1{NEWLINE}' || chr(9) || '"os"')
+    when language = 'go' and regexp_matches(content, '(?m)^import\\s+"') then regexp_replace(content, '(?m)^import\\s+"([^"]+)"[^\\n]*', 'import ({NEWLINE}' || chr(9) || '"\\1"{NEWLINE}' || chr(9) || '"os"{NEWLINE})')
+    when language = 'go' then regexp_replace(content, '(?m)^(package\\s+[^\\n]*)', '\\1{NEWLINE}{NEWLINE}import "os"')
+    when language = 'javascript' and dotenv is not null and not contains(content, 'dotenv') then regexp_replace(content, '^(#![^\\n]*\\n)?([^\\n]*[''"]use strict[''"][^\\n]*\\n)?',
+        '\\1\\2' || (case dotenv when 'module' then 'import ''dotenv/config'';' else 'require(''dotenv'').config();' end) || chr(10))
+    else content end as content from {fixtures.sql("modules")}""")
+def ensure_imports(spark: SparkSession) -> DataFrame:
+    lines = rewrite.ensure_import(F.split("content", "\n", -1), F.col("language"), F.col("dotenv"))
+    return fixtures.table(spark, "modules").select("id", "language", F.array_join(lines, "\n").alias("content"))
+
+
+@query(f"select rule_id, severity from {fixtures.sql('findings')} where file in (select file from {fixtures.sql('changes')} where change_type <> 'D')")
+def changed_files_only(spark: SparkSession) -> DataFrame:
+    return policy.only_in(fixtures.table(spark, "findings"), fixtures.table(spark, "changes")).select("rule_id", "severity")
+
+
+@query(f"with w as ({RULE_LINES}), {hits_sql()} select distinct d.line_number::bigint as finding_line, w.line_number::bigint as line_number, w.line from d join w on w.line_number between d.line_number - 2 and d.line_number + 2")
+def context_lines(spark: SparkSession) -> DataFrame:
+    lines = spark.createDataFrame(fixtures.rule_lines(), "line_number long, line string").withColumn("file", F.lit("x"))
+    return report.context_lines(lines, fixture_findings(spark)).select("finding_line", "line_number", "line")
+
+
+@query(f"with w as ({RULE_LINES}), {hits_sql()} select distinct rule_id as id, name, d.severity from d join (values {', '.join(f'({literal(r.id)}, {literal(r.name)})' for r in RULES)}) as n(rule_id, name) using (rule_id)")
+def sarif_rules(spark: SparkSession) -> DataFrame:
+    return report.sarif_rules(fixture_findings(spark))
+
+
+@query(f"""with w as ({RULE_LINES}), {hits_sql()} select 'inc-20240101-' || lpad((7 + row_number() over (order by line_number, rule_id))::varchar, 3, '0') as incident_id, rule_id, line_number::bigint as line_number,
+    sha256(secret)[1:12] as secret_hash from (select distinct on (rule_id) * from d order by rule_id, line_number, match_start)""")
+def incident_numbers(spark: SparkSession) -> DataFrame:
+    """One incident a rule, numbered on from seven."""
+    first = fixture_findings(spark).groupBy("file", "rule_id").agg(F.min_by(F.struct("severity", "line_number", "match", "secret"), F.struct("line_number", "match_start")).alias("f"))
+    return report.incidents(first.select("file", "rule_id", "f.*"), "20240101", last=7).select("incident_id", "rule_id", "line_number", "secret_hash")
+
+
+@query(f"""with w as ({RULE_LINES}), {hits_sql()}, j as (select rule_id, line_number, severity, repeat(rule_id, 10) as json from d), s as (
+        select *, sum(strlen(json) + 1) over (order by case severity when 'critical' then 4 when 'high' then 3 when 'medium' then 2 else 1 end desc, line_number, json rows unbounded preceding) as bytes from j
+    ) select rule_id, line_number::bigint as line_number, bytes::bigint as bytes from s where bytes <= 5000""")
+def report_within_bytes(spark: SparkSession) -> DataFrame:
+    rows = fixture_findings(spark).withColumn("json", F.repeat("rule_id", F.lit(10)))
+    return report.within_bytes(rows, 5000).select("rule_id", "line_number", "bytes")
+
+
+@query(f"with w as ({RULE_LINES}), {hits_sql()} select 'literal:' || secret || '==>literal:REDACTED' as line from d group by secret")
+def purge_replacements(spark: SparkSession) -> DataFrame:
+    return report.purge_lines(aggregate.purge_list(fixture_findings(spark)))
+
+
+@query(f"""with w as ({RULE_LINES}), {hits_sql()} select f.*, critical, high, medium, low, total, files from (
+        select count(*)::bigint as files_seen, count(*) filter (size > 2097152)::bigint as files_skipped, count(*) filter (contains(content, chr(26)))::bigint as files_binary, count(*) filter (file = 'test/fixture.js')::bigint as files_ignored from {fixtures.sql("files")}
+    ) f, (select count(*) filter (severity = 'critical')::bigint as critical, count(*) filter (severity = 'high')::bigint as high, count(*) filter (severity = 'medium')::bigint as medium,
+        count(*) filter (severity = 'low')::bigint as low, count(*)::bigint as total, count(distinct file)::bigint as files from d)""")
+def scan_summary(spark: SparkSession) -> DataFrame:
+    rows = fixtures.table(spark, "files").withColumn("content", F.col("content").cast("binary"))
+    return aggregate.scan_summary(file_source.file_status(rows, ScanConfig(ignore=IgnoreSpec.parse(IGNORES))), fixture_findings(spark))
+
+
+@query(f"""select count(*) filter (age_minutes <= 60 and status = 'live')::bigint as live, count(*) filter (age_minutes <= 60 and status = 'inactive')::bigint as inactive,
+    count(*) filter (not coalesce(age_minutes <= 60 and status in ('live', 'inactive'), false))::bigint as unknown from {fixtures.sql("verified")}""")
+def verification_totals(spark: SparkSession) -> DataFrame:
+    return aggregate.verification_counts(verification_adjust(spark))
+
+
+@query(f"select name, value from {fixtures.sql('wanted')}")
+def vault_round_trip(spark: SparkSession) -> DataFrame:
+    """Sealed values come back. The key is made up for the query."""
+    key = F.lit(bytes(range(32)))
+    return fixtures.table(spark, "wanted").select("name", T.unseal(T.seal(F.col("value"), key), key).alias("value"))
+
+
+@query(f"""select id, (seconds * 20 // 86400)::bigint as days, timestamp '2024-03-31' - interval (id) day as back, (timestamp '2024-03-31' - interval 1 month) as month_back from {fixtures.sql("scalars")} where id = 2""")
+def relative_dates(spark: SparkSession) -> DataFrame:
+    now = F.lit("2024-03-31T00:00:00Z").cast("timestamp")
+    then = now - F.make_interval(secs=F.col("seconds") * 20)
+    date = lambda spec: T.since(spec, now).cast("timestamp_ntz")
+    return fixtures.table(spark, "scalars").filter("id = 2").select("id", T.days_ago(then, now).alias("days"), date("2d").alias("back"), date("1m").alias("month_back"))
+
+
+@query(f'select timestamp, "findingCount", "userDecision" from {AUDIT} order by timestamp desc limit 1')
+def last_scan(spark: SparkSession) -> DataFrame:
+    return audit.last_scan(audit_log(spark))
+
+
+@query(f"select idx, split_part(files, ';', 1) as file, action as status from {AUDIT} where \"findingCount\" > 0")
+def audit_flat_findings(spark: SparkSession) -> DataFrame:
+    """A finding without a file of its own belongs to the entry's first."""
+    log = audit_log(spark).filter("findingCount > 0")
+    log = log.withColumn("findings", F.array(F.struct(F.lit(None).cast("string").alias("file"), F.lit("x").alias("ruleId"), F.lit("low").alias("severity"))))
+    return audit.flat_findings(log).join(log.select("timestamp", "idx"), "timestamp").select("idx", "file", "status")
+
+
 @query(found_sql("select file, line_number::bigint as line_number, '::error file=' || file || ',line=' || line_number || '::Token Assignment (' || severity || ')' as line from d where rule_id = 'token-assignment'"))
 def ci_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = patterns(documents(spark, sf_dir)).filter("rule_id = 'token-assignment'")

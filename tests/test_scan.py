@@ -154,3 +154,15 @@ def test_windowed_counts(spark):
 def test_plan_has_no_python_and_no_cross_join(spark):
     plan = scan(files(spark, [("a", KEY)]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_files_are_rewritten_with_imports(spark):
+    from siftwell.operators import rewrite
+
+    found = [("a.py", 2, 'k = "s3cretValue"', "s3cretValue", "api-key-assignment"), ("a.py", 3, 'j = "other$1Value"', "other$1Value", "npm-token"), ("p.json", 1, '{"k": "zzz"}', "zzz", "npm-token")]
+    files = [("a.py", '#!/bin/python\nk = "s3cretValue"\nj = "other$1Value"\n', None), ("p.json", '{"k": "zzz"}', None), ("untouched.go", "package a", None)]
+    plan = rewrite.fix_plan(spark.createDataFrame(found, "file string, line_number long, line string, secret string, rule_id string"))
+    got = {r["file"]: r["content"] for r in rewrite.rewrite_files(spark.createDataFrame(files, "file string, content string, dotenv string"), plan).collect()}
+    lines = got["a.py"].split("\n")
+    assert lines[:2] == ["#!/bin/python", "import os"] and len(lines) == 5 and all("os.environ[" in x for x in lines[2:4])
+    assert got["p.json"] == '{"k": "zzz"}' and set(got) == {"a.py", "p.json"}
