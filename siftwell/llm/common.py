@@ -54,6 +54,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it if ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def worker_state() -> dict:
     """A dict that lives as long as the Python worker, across tasks. Only for caches: results never depend on it."""
     return vars(sys.modules.setdefault("siftwell_worker_state", types.ModuleType("siftwell_worker_state")))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from siftwell.llm.common import SIMILARITY, WORDS_PER_SHINGLE, WordHashes, shingle_hashes
+from siftwell.llm.common import SIMILARITY, WORDS_PER_SHINGLE, WordHashes, fresh, shingle_hashes
 
 WORD = re.compile(r"\w+")
 _SHIFT = np.uint64(44)
@@ -129,9 +129,9 @@ def _marker(parts: Broadcast, threshold: float, at_text: int) -> Callable[[Itera
 
 def mark(documents: DataFrame, benchmark: DataFrame, k: int = WORDS_PER_SHINGLE, threshold: float = SIMILARITY,
          block_items: int = 5000, block_chars: int = 8_000_000) -> DataFrame:
-    """``documents`` with one more column, _matches: the items contained in each row's text."""
+    """``documents`` with one more column, the last, _matches (or a ``fresh`` name): the items contained in each row's text."""
     spark = documents.sparkSession
-    out = documents.withColumn("_matches", F.array().cast(MATCHES))
+    out = documents.withColumn(fresh(documents, "_matches"), F.array().cast(MATCHES))
     schema: StructType = out.schema
     at_text = documents.columns.index("text")
     for block in _blocks(benchmark, block_items, block_chars):
@@ -147,4 +147,5 @@ def matches(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    return mark(documents, benchmark, **options).filter(F.size("_matches") == 0).select(*documents.columns)
+    marked = mark(documents, benchmark, **options)
+    return marked.filter(F.size(marked.columns[-1]) == 0).select(*documents.columns)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import signed, stage
+from siftwell.llm.common import fresh, signed, stage
 
 
 class Node:
@@ -205,7 +205,8 @@ def owners(documents: DataFrame, keep: str = "largest", normalise: Callable[[str
 
 def drop_copies(documents: DataFrame, keep: str = "largest") -> DataFrame:
     """The rows of ``documents`` that stay, with all their columns."""
-    stay = owners(documents, keep).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    rows = documents.withColumn("_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
-    joined = rows.join(stay, rows["doc_id"].eqNullSafe(stay["_id"]) & (rows["_sha256"] == stay["_sha"]))
-    return joined.dropDuplicates(["doc_id", "_sha256"]).select(*documents.columns)
+    own, owner, sha = (fresh(documents, c) for c in ("_own", "_owner", "_sha"))
+    stay = owners(documents, keep).filter("kept").select(F.col("doc_id").alias(owner), F.col("text_sha256").alias(sha)).distinct()
+    rows = documents.withColumn(own, F.sha2(F.coalesce("text", F.lit("")), 256))
+    joined = rows.join(stay, rows["doc_id"].eqNullSafe(stay[owner]) & (rows[own] == stay[sha]))
+    return joined.dropDuplicates(["doc_id", own]).select(*documents.columns)

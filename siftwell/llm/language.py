@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from siftwell.llm.common import fresh
+
 UNKNOWN = "und"
 DIMENSIONS = 512
 _CLASSES = 64
@@ -117,11 +119,12 @@ def train(documents: DataFrame, per_language: int = 2000, dimensions: int = DIME
 
 
 def predict(documents: DataFrame, prototypes: dict[str, np.ndarray], seed: int = 8) -> DataFrame:
-    """``documents`` with _lang_pred and _score."""
+    """``documents`` with two more columns, the last: _lang_pred and _score (or ``fresh`` names)."""
     names = list(prototypes)
     unit = np.array([v / np.sqrt(v @ v) for v in prototypes.values()]).astype(np.float32) if names else np.zeros((0, 1))
     at_text = documents.columns.index("text")
-    schema = StructType([*documents.schema.fields, StructField("_lang_pred", StringType()), StructField("_score", DoubleType())])
+    names_out = [*documents.columns, fresh(documents, "_lang_pred"), fresh(documents, "_score")]
+    schema = StructType([*documents.schema.fields, StructField(fresh(documents, "_lang_pred"), StringType()), StructField(fresh(documents, "_score"), DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = Profiles(unit.shape[1], seed) if names else None
@@ -139,9 +142,7 @@ def predict(documents: DataFrame, prototypes: dict[str, np.ndarray], seed: int =
                     lang, score = names[best], min(1.0, max(0.0, float(cosines[best])))
                 langs.append(lang)
                 scores.append(score)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "_lang_pred", "_score"]
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=names_out)
 
     return documents.mapInArrow(run, schema)
 
@@ -156,4 +157,5 @@ def identify(documents: DataFrame, **options) -> DataFrame:
 def drop_unidentified(documents: DataFrame, **options) -> DataFrame:
     """The rows whose language is known, with all their columns."""
     prototypes = train(documents.filter(~held_out("doc_id")), **options)
-    return predict(documents, prototypes).filter(F.col("_lang_pred") != UNKNOWN).select(*documents.columns)
+    found = predict(documents, prototypes)
+    return found.filter(F.col(found.columns[-2]) != UNKNOWN).select(*documents.columns)

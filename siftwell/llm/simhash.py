@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftwell.llm.common import signed, stage
+from siftwell.llm.common import fresh, signed, stage
 from siftwell.llm.components import components
 
 BITS = 64
@@ -184,7 +184,8 @@ def drop_near_copies(documents: DataFrame, words: int = 3, radius: int = 2) -> D
     """One row of ``documents`` for each component, that with the smallest doc_id, with all its columns."""
     stay = near_groups(documents, words, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = F.min(F.struct("fingerprint", "text_hash")).alias("first")
-    stay = stay.groupBy("component", "component_id").agg(first).select(F.col("component_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
-    rows = documents.withColumn("_text_hash", F.xxhash64("text"))
-    joined = rows.join(stay, rows["doc_id"].eqNullSafe(stay["_id"]) & (rows["_text_hash"] == stay["_hash"]))
-    return joined.dropDuplicates(["doc_id", "_text_hash"]).select(*documents.columns)
+    own, least, code = (fresh(documents, c) for c in ("_own", "_least", "_code"))
+    stay = stay.groupBy("component", "component_id").agg(first).select(F.col("component_id").alias(least), F.col("first.text_hash").alias(code))
+    rows = documents.withColumn(own, F.xxhash64("text"))
+    joined = rows.join(stay, rows["doc_id"].eqNullSafe(stay[least]) & (rows[own] == stay[code]))
+    return joined.dropDuplicates(["doc_id", own]).select(*documents.columns)

@@ -562,3 +562,18 @@ def test_pipeline_against_brute_force(spark, sf):
     packed = steps["pack"](spark, got, sf).collect()
     check_packed(packed, [(r[0], r[1]) for r in left])
     assert len({r["sequence_id"] for r in packed}) <= math.ceil(sum(r["length"] for r in packed) / 4096) + 1
+
+
+def test_filters_carry_columns_of_any_name(spark):
+    names = ["lang", "_lang_pred", "_score", "_own", "_owner", "_sha", "_least", "_code", "_matches", "__matches"]
+    rows = [(i, t, "xx", *map(str, range(9))) for i, t in [(1, "some words of a text"), (1, None), (2, "some words of a text"), (None, "some words of a text"), (3, "others that stay here"), (4, "12 !")]]
+    given = spark.createDataFrame(rows, DOCS + "".join(f", {n} string" for n in names))
+    benchmark = spark.createDataFrame([(1, "others that stay here")], "item_id long, text string")
+    for drop, stay in (
+        (language.drop_unidentified, {1, 2, None, 3}), (exact.drop_copies, {2, 1, 3, 4}), (simhash.drop_near_copies, {1, 3, 4}),
+        (lambda d: decontaminate.drop_contaminated(d, benchmark), {1, 2, None, 4}),
+    ):
+        got = drop(given)
+        assert got.columns == given.columns
+        found = got.collect()
+        assert stay <= {r["doc_id"] for r in found} and all(tuple(r)[2:] == ("xx", *map(str, range(9))) for r in found)
