@@ -308,6 +308,47 @@ def test_hot_buckets_change_nothing(spark):
     assert got[0] and set(got[0]) == set(got[1])
 
 
+def words_of(rng, n):
+    return prose(rng, n).split()
+
+
+def passages_found(spark, make, count=60):
+    """Which of ``count`` passages, each put into two documents of other sentences, are found."""
+    rng = random.Random(11)
+    sentence = lambda: prose(rng, rng.randint(9, 30)).capitalize() + "."
+    rows = []
+    for i in range(count):
+        for j, passage in enumerate(make(rng)):
+            around = [prose(rng, 20) + " " + " ".join(sentence() for _ in range(5)) for _ in range(2)]
+            rows.append((2 * i + j, f"{around[0]} {passage} {around[1]} {prose(rng, 9)}"))
+    found = paragraphs.repeats(docs(spark, rows)).collect()
+    return {r["doc_id"] for r in found if r["removed"]}
+
+
+def sentences(rng, n):
+    words = words_of(rng, n)
+    for i in range(8, n, 11):
+        words[i] += "."
+    return words
+
+
+def test_passages_without_a_whole_paragraph_are_found(spark):
+    def make(rng):
+        p = " ".join(sentences(rng, rng.randint(51, 60)))
+        return p, p
+
+    assert len(passages_found(spark, make)) == 60
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=80), st.integers(1, 18))
+def test_winnowing_takes_from_every_window(values, w):
+    h = np.array(values, np.uint64)
+    at = set(paragraphs.winnow(h, w).tolist())
+    for i in range(len(values) - w + 1):
+        assert min(values[i : i + w]) in {values[p] for p in at if i <= p < i + w}
+
+
 # PII
 
 
