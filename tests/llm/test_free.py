@@ -340,6 +340,14 @@ def test_passages_without_a_whole_paragraph_are_found(spark):
     assert len(passages_found(spark, make)) == 60
 
 
+def test_passages_in_short_lines_are_found(spark):
+    def make(rng):
+        words = words_of(rng, 60)
+        return ["\n".join(" ".join(words[i : i + n]) for i in range(0, 60, n)) for n in (6, 4)]
+
+    assert len(passages_found(spark, make)) == 60
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=80), st.integers(1, 18))
 def test_winnowing_takes_from_every_window(values, w):
