@@ -348,6 +348,14 @@ def test_passages_in_short_lines_are_found(spark):
     assert len(passages_found(spark, make)) == 60
 
 
+def test_a_frequent_line_in_a_passage_hides_it_from_nobody(spark):
+    rng = random.Random(12)
+    stock = prose(rng, 10).capitalize() + "."
+    passage = f"{prose(rng, 25)}.\n{stock}\n{prose(rng, 25)}."
+    rows = [(i, f"{prose(rng, 60)}.\n{passage}\n{prose(rng, 60)}.") for i in (5, 9)] + [(i, f"{prose(rng, 60)}.\n{stock}\n{prose(rng, 60)}.") for i in (1, 999)]
+    assert {r["doc_id"] for r in paragraphs.repeats(docs(spark, rows)).collect()} == {5, 9}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=80), st.integers(1, 18))
 def test_winnowing_takes_from_every_window(values, w):
