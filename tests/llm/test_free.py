@@ -356,6 +356,14 @@ def test_a_frequent_line_in_a_passage_hides_it_from_nobody(spark):
     assert {r["doc_id"] for r in paragraphs.repeats(docs(spark, rows)).collect()} == {5, 9}
 
 
+def test_passages_with_a_changed_word_in_the_middle_are_found(spark):
+    def make(rng):
+        words = sentences(rng, rng.randint(51, 85))
+        return " ".join(words), " ".join([*words[: len(words) // 2], "changed", *words[len(words) // 2 + 1 :]])
+
+    assert len(passages_found(spark, make)) == 60
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=80), st.integers(1, 18))
 def test_winnowing_takes_from_every_window(values, w):
