@@ -54,6 +54,32 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(*frames: DataFrame) -> None:
+    """Deletes staged results that nothing to come reads (what reads them has been staged itself)."""
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_unique(rows: DataFrame, unique: DataFrame, key: str, n: str, spread: str, salts: int = 64, share: int = 512) -> DataFrame:
+    """``rows`` with the columns of ``unique``, a staged table with one row for each ``key`` and ``n``, its number of rows.
+
+    A key that holds more than one in ``share`` of the rows is dealt to ``salts`` parts by ``spread``, so no task gets all of them. There
+    are at most ``share`` such keys whatever the data, so their list is broadcast."""
+    total = unique.agg(F.sum(n)).first()[0] or 0
+    most = max(10_000, total // share)
+    hot = unique.filter(F.col(n) > most).select(key)
+    salt, is_hot = fresh(rows, "_salt"), fresh(rows, "_hot")
+    if hot.isEmpty():
+        return rows.join(unique, key)
+    own = F.when(F.col(is_hot), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)
+    dealt = rows.join(F.broadcast(hot.withColumn(is_hot, F.lit(True))), key, "left").withColumn(salt, own).drop(is_hot)
+    copies = F.explode(F.when(F.col(n) > most, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    return dealt.join(unique.withColumn(salt, copies), [key, salt]).drop(salt)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it if ``df`` has such a column."""
     taken = {c.lower() for c in df.columns}

@@ -259,46 +259,6 @@ def test_near_paragraphs_join_by_exact_jaccard(spark):
     assert paragraphs.repeats(docs(spark, [])).count() == 0
 
 
-def groups_of(nodes, links):
-    parent = {x: x for x in nodes}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in links:
-        parent[root(a)] = root(b)
-    return {frozenset(y for y in nodes if root(y) == root(x)) for x in nodes}
-
-
-@pytest.mark.parametrize("rounds", [1, 3])
-def test_thinned_buckets_lose_no_component(spark, rounds):
-    rng = random.Random(8)
-    rows = []
-    for band, (bases, copies) in enumerate([(1, 60), (4, 15), (12, 1), (1, 3)]):
-        for _ in range(bases):
-            words = prose(rng, 60).split()
-            rows.append((band, words))
-            for _ in range(copies):  # chains: an edit of what may be an edit already
-                words = list(words) if rng.random() < 0.5 else list(rng.choice([w for b, w in rows if b == band]))
-                words[rng.choice([0, 1, 58, 59, rng.randrange(60)])] = prose(rng, 1)
-                rows.append((band, words))
-    words = prose(rng, 60).split()  # a tight group and what has nothing to do with it
-    rows += [(9, [prose(rng, 1), *words[1:]]) for _ in range(50)] + [(9, prose(rng, 60).split()) for _ in range(3)]
-    rows = [(band, key, " ".join(words)) for key, (band, words) in enumerate(rows)]
-    left, found = paragraphs.thin_out(spark.createDataFrame(rows, "band long, key long, words string"), 0.8, 5, most=5, rounds=rounds)
-    left, links = left.collect(), [(r["a"], r["b"]) for f in found for r in f.collect()]
-    sets = {key: paragraphs.shingle_set(words, 5) for _, key, words in rows}
-    assert all(paragraphs.similar(sets[a], sets[b], 0.8) for a, b in links)
-    for band in {r[0] for r in rows}:
-        members = [key for b, key, _ in rows if b == band]
-        every = [(a, b) for a in members for b in members if a < b and paragraphs.similar(sets[a], sets[b], 0.8)]
-        stayed = paragraphs.forest([(r["key"], r["words"]) for r in left if r["band"] == band], 0.8, 5)
-        assert groups_of(members, every) == groups_of(members, stayed + [x for x in links if x[0] in members])
-    assert sum(r["band"] == 9 for r in left) <= (53 if rounds == 1 else 5)
-
-
 def test_hot_buckets_change_nothing(spark):
     rng = random.Random(9)
     words = prose(rng, 60).split()
@@ -308,6 +268,19 @@ def test_hot_buckets_change_nothing(spark):
     assert got[0] and set(got[0]) == set(got[1])
 
 
+def test_a_stock_line_in_many_texts_hides_no_edited_passage(spark):
+    rng = random.Random(13)
+    stock = prose(rng, 20)
+    rows = [(i, f"{prose(rng, 40)} {stock} {prose(rng, 40)}") for i in range(60)]
+    for i in range(100, 110, 2):  # the stock line, and the one word of 54 that differs, amid words that two documents share
+        before, after = prose(rng, 12), prose(rng, 21)
+        rows += [(i + j, f"{prose(rng, 30)} {before} {stock} w{j} {after} {prose(rng, 30)}") for j in (0, 1)]
+    for most in (2048, 20, 4):
+        got = paragraphs.repeats(docs(spark, rows), most_members=most).collect()
+        assert {(r["doc_id"], r["keep_doc"]) for r in got if r["removed"]} == {(i + 1, i) for i in range(100, 110, 2)}
+        assert {r["doc_id"] for r in got} == set(range(100, 110))
+
+
 def words_of(rng, n):
     return prose(rng, n).split()
 
