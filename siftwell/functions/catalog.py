@@ -91,88 +91,88 @@ cursor-api-key ¦ Cursor API Key ¦ high ¦ Cursor ¦ AI Keys ¦ - ¦ 0 ¦ curso
 onepassword-token ¦ 1Password Service Account Token ¦ critical ¦ 1Password ¦ Secrets Management ¦ i ¦ 0 ¦ ops_[A-Za-z0-9_-]{40,}
 """
 
-# Rule id, action, OWASP, NIST, CIS, SOC2, environment variable, incident provider, verifier.
+# Rule id, action, OWASP, NIST, CIS, SOC2, environment variable, incident provider.
 _ENRICHMENT = """
-aws-access-key-id ¦ rotate ¦ A02:2021 ¦ SC-12, IA-5 ¦ CIS 14.4 ¦ CC6.1 ¦ AWS_ACCESS_KEY_ID ¦ aws ¦ verifyAWS
-aws-secret-access-key ¦ rotate ¦ A02:2021 ¦ SC-12, IA-5 ¦ CIS 14.4 ¦ CC6.1 ¦ AWS_SECRET_ACCESS_KEY ¦ aws ¦ -
-aws-account-id ¦ review ¦ - ¦ - ¦ - ¦ - ¦ - ¦ - ¦ -
-github-pat ¦ rotate ¦ A07:2021 ¦ IA-5 ¦ - ¦ CC6.2 ¦ GITHUB_TOKEN ¦ github ¦ verifyGitHub
-github-oauth ¦ rotate ¦ A07:2021 ¦ IA-5 ¦ - ¦ CC6.2 ¦ GITHUB_OAUTH_TOKEN ¦ github ¦ verifyGitHub
-github-app-token ¦ rotate ¦ A07:2021 ¦ IA-5 ¦ - ¦ CC6.2 ¦ - ¦ - ¦ verifyGitHub
-stripe-live-secret ¦ rotate ¦ A02:2021 ¦ SC-12 ¦ - ¦ CC6.1, CC9.2 ¦ STRIPE_SECRET_KEY ¦ stripe ¦ verifyStripe
-stripe-live-public ¦ move_to_env ¦ A05:2021 ¦ - ¦ - ¦ - ¦ STRIPE_PUBLISHABLE_KEY ¦ - ¦ -
-stripe-live-restricted ¦ rotate ¦ A02:2021 ¦ SC-12 ¦ - ¦ CC6.1 ¦ STRIPE_RESTRICTED_KEY ¦ stripe ¦ verifyStripe
-stripe-test-secret ¦ move_to_env ¦ A05:2021 ¦ - ¦ - ¦ - ¦ STRIPE_TEST_SECRET_KEY ¦ stripe ¦ verifyStripe
-slack-bot-token ¦ rotate ¦ A07:2021 ¦ IA-5 ¦ - ¦ CC6.2 ¦ SLACK_BOT_TOKEN ¦ slack ¦ verifySlack
-slack-user-token ¦ rotate ¦ A07:2021 ¦ IA-5 ¦ - ¦ CC6.2 ¦ SLACK_USER_TOKEN ¦ slack ¦ verifySlack
-slack-webhook ¦ rotate ¦ A07:2021 ¦ IA-5 ¦ - ¦ - ¦ SLACK_WEBHOOK_URL ¦ slack ¦ -
-gcp-api-key ¦ rotate ¦ A02:2021 ¦ SC-12 ¦ - ¦ CC6.1 ¦ GCP_API_KEY ¦ gcp ¦ verifyGCP
-gcp-service-account ¦ review ¦ - ¦ - ¦ - ¦ - ¦ - ¦ - ¦ -
-azure-connection-string ¦ rotate ¦ A02:2021 ¦ SC-12 ¦ - ¦ CC6.1 ¦ AZURE_CONNECTION_STRING ¦ azure ¦ -
-azure-storage-key ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ AZURE_STORAGE_KEY ¦ azure ¦ -
-private-key-rsa ¦ encrypt ¦ A02:2021 ¦ SC-12, SC-17 ¦ CIS 14.4 ¦ CC6.1 ¦ - ¦ - ¦ -
-private-key-openssh ¦ encrypt ¦ A02:2021 ¦ SC-12, SC-17 ¦ CIS 14.4 ¦ CC6.1 ¦ - ¦ - ¦ -
-private-key-dsa ¦ encrypt ¦ A02:2021 ¦ SC-12 ¦ - ¦ CC6.1 ¦ - ¦ - ¦ -
-private-key-ec ¦ encrypt ¦ A02:2021 ¦ SC-12 ¦ - ¦ CC6.1 ¦ - ¦ - ¦ -
-private-key-generic ¦ encrypt ¦ A02:2021 ¦ SC-12 ¦ - ¦ CC6.1 ¦ - ¦ - ¦ -
-pgp-private-key ¦ encrypt ¦ A02:2021 ¦ SC-12, SC-17 ¦ - ¦ CC6.1 ¦ - ¦ - ¦ -
-password-assignment ¦ move_to_env ¦ A07:2021 ¦ IA-5 ¦ CIS 5.2 ¦ CC6.1 ¦ - ¦ - ¦ -
-api-key-assignment ¦ move_to_env ¦ A02:2021 ¦ SC-12 ¦ - ¦ CC6.1 ¦ - ¦ - ¦ -
-secret-assignment ¦ move_to_env ¦ A02:2021 ¦ SC-12 ¦ - ¦ CC6.1 ¦ - ¦ - ¦ -
-token-assignment ¦ move_to_env ¦ A07:2021 ¦ IA-5 ¦ - ¦ CC6.2 ¦ - ¦ - ¦ -
-auth-header ¦ move_to_env ¦ A07:2021 ¦ IA-5 ¦ - ¦ CC6.2 ¦ - ¦ - ¦ -
-mongodb-uri ¦ move_to_env ¦ A02:2021 ¦ SC-12 ¦ CIS 14.4 ¦ CC6.1 ¦ MONGODB_URI ¦ - ¦ -
-postgres-uri ¦ move_to_env ¦ A02:2021 ¦ SC-12 ¦ CIS 14.4 ¦ CC6.1 ¦ DATABASE_URL ¦ - ¦ -
-mysql-uri ¦ move_to_env ¦ A02:2021 ¦ SC-12 ¦ CIS 14.4 ¦ CC6.1 ¦ MYSQL_URL ¦ - ¦ -
-twilio-api-key ¦ rotate ¦ A02:2021 ¦ SC-12 ¦ - ¦ CC6.1 ¦ TWILIO_API_KEY ¦ - ¦ verifyTwilio
-twilio-account-sid ¦ review ¦ - ¦ - ¦ - ¦ - ¦ - ¦ - ¦ -
-sendgrid-api-key ¦ rotate ¦ A02:2021 ¦ SC-12 ¦ - ¦ CC6.1 ¦ SENDGRID_API_KEY ¦ - ¦ verifySendGrid
-mailgun-api-key ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ MAILGUN_API_KEY ¦ - ¦ -
-npm-token ¦ rotate ¦ A08:2021 ¦ SC-12 ¦ - ¦ CC6.1 ¦ NPM_TOKEN ¦ - ¦ -
-pypi-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ PYPI_TOKEN ¦ - ¦ -
-docker-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ DOCKER_TOKEN ¦ - ¦ -
-jwt-token ¦ review ¦ A07:2021 ¦ IA-5 ¦ - ¦ CC6.2 ¦ - ¦ - ¦ -
-high-entropy-string ¦ review ¦ A02:2021 ¦ - ¦ - ¦ - ¦ - ¦ - ¦ -
-env-var-secret ¦ use_vault ¦ - ¦ - ¦ - ¦ - ¦ - ¦ - ¦ -
-ssh-key-passphrase ¦ encrypt ¦ - ¦ - ¦ - ¦ - ¦ - ¦ - ¦ -
-oauth-bearer ¦ move_to_env ¦ - ¦ - ¦ - ¦ - ¦ - ¦ - ¦ -
-heroku-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ HEROKU_TOKEN ¦ heroku ¦ -
-datadog-api-key ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ DATADOG_API_KEY ¦ - ¦ -
-sentry-dsn ¦ move_to_env ¦ - ¦ - ¦ - ¦ - ¦ SENTRY_DSN ¦ - ¦ -
-anthropic-api-key ¦ rotate ¦ A02:2021 ¦ SC-12 ¦ - ¦ CC6.1 ¦ ANTHROPIC_API_KEY ¦ anthropic ¦ verifyAnthropic
-openai-api-key ¦ rotate ¦ A02:2021 ¦ SC-12 ¦ - ¦ CC6.1 ¦ OPENAI_API_KEY ¦ openai ¦ verifyOpenAI
-slack-app-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ SLACK_APP_TOKEN ¦ slack ¦ -
-huggingface-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ HUGGINGFACE_TOKEN ¦ - ¦ verifyHuggingFace
-grafana-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ GRAFANA_TOKEN ¦ - ¦ -
-supabase-key ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ SUPABASE_KEY ¦ - ¦ verifySupabase
-slack-signing-secret ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ SLACK_SIGNING_SECRET ¦ slack ¦ -
-vercel-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ VERCEL_TOKEN ¦ - ¦ verifyVercel
-netlify-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ NETLIFY_TOKEN ¦ - ¦ verifyNetlify
-cloudflare-api-key ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ CLOUDFLARE_API_KEY ¦ - ¦ verifyCloudflare
-cloudflare-api-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ CLOUDFLARE_API_TOKEN ¦ - ¦ verifyCloudflare
-linear-api-key ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ LINEAR_API_KEY ¦ - ¦ verifyLinear
-notion-api-key ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ NOTION_API_KEY ¦ - ¦ -
-doppler-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ DOPPLER_TOKEN ¦ - ¦ -
-vault-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ VAULT_TOKEN ¦ - ¦ -
-terraform-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ TERRAFORM_TOKEN ¦ - ¦ -
-planetscale-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ PLANETSCALE_TOKEN ¦ - ¦ -
-railway-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ RAILWAY_TOKEN ¦ - ¦ -
-flyio-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ FLY_TOKEN ¦ - ¦ -
-clerk-secret-key ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ CLERK_SECRET_KEY ¦ - ¦ -
-resend-api-key ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ RESEND_API_KEY ¦ - ¦ -
-upstash-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ UPSTASH_TOKEN ¦ - ¦ -
-neon-api-key ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ NEON_API_KEY ¦ - ¦ -
-turso-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ TURSO_TOKEN ¦ - ¦ -
-replicate-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ REPLICATE_TOKEN ¦ - ¦ -
-mistral-api-key ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ MISTRAL_API_KEY ¦ - ¦ -
-groq-api-key ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ GROQ_API_KEY ¦ - ¦ -
-cohere-api-key ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ COHERE_API_KEY ¦ - ¦ -
-gitlab-pat ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ GITLAB_TOKEN ¦ gitlab ¦ verifyGitLab
-gitlab-pipeline-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ - ¦ - ¦ verifyGitLab
-postman-api-key ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ POSTMAN_API_KEY ¦ - ¦ -
-databricks-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ DATABRICKS_TOKEN ¦ - ¦ -
-cursor-api-key ¦ review ¦ - ¦ - ¦ - ¦ - ¦ - ¦ - ¦ -
-onepassword-token ¦ review ¦ - ¦ - ¦ - ¦ - ¦ - ¦ - ¦ -
+aws-access-key-id ¦ rotate ¦ A02:2021 ¦ SC-12, IA-5 ¦ CIS 14.4 ¦ CC6.1 ¦ AWS_ACCESS_KEY_ID ¦ aws
+aws-secret-access-key ¦ rotate ¦ A02:2021 ¦ SC-12, IA-5 ¦ CIS 14.4 ¦ CC6.1 ¦ AWS_SECRET_ACCESS_KEY ¦ aws
+aws-account-id ¦ review ¦ - ¦ - ¦ - ¦ - ¦ - ¦ -
+github-pat ¦ rotate ¦ A07:2021 ¦ IA-5 ¦ - ¦ CC6.2 ¦ GITHUB_TOKEN ¦ github
+github-oauth ¦ rotate ¦ A07:2021 ¦ IA-5 ¦ - ¦ CC6.2 ¦ GITHUB_OAUTH_TOKEN ¦ github
+github-app-token ¦ rotate ¦ A07:2021 ¦ IA-5 ¦ - ¦ CC6.2 ¦ - ¦ -
+stripe-live-secret ¦ rotate ¦ A02:2021 ¦ SC-12 ¦ - ¦ CC6.1, CC9.2 ¦ STRIPE_SECRET_KEY ¦ stripe
+stripe-live-public ¦ move_to_env ¦ A05:2021 ¦ - ¦ - ¦ - ¦ STRIPE_PUBLISHABLE_KEY ¦ -
+stripe-live-restricted ¦ rotate ¦ A02:2021 ¦ SC-12 ¦ - ¦ CC6.1 ¦ STRIPE_RESTRICTED_KEY ¦ stripe
+stripe-test-secret ¦ move_to_env ¦ A05:2021 ¦ - ¦ - ¦ - ¦ STRIPE_TEST_SECRET_KEY ¦ stripe
+slack-bot-token ¦ rotate ¦ A07:2021 ¦ IA-5 ¦ - ¦ CC6.2 ¦ SLACK_BOT_TOKEN ¦ slack
+slack-user-token ¦ rotate ¦ A07:2021 ¦ IA-5 ¦ - ¦ CC6.2 ¦ SLACK_USER_TOKEN ¦ slack
+slack-webhook ¦ rotate ¦ A07:2021 ¦ IA-5 ¦ - ¦ - ¦ SLACK_WEBHOOK_URL ¦ slack
+gcp-api-key ¦ rotate ¦ A02:2021 ¦ SC-12 ¦ - ¦ CC6.1 ¦ GCP_API_KEY ¦ gcp
+gcp-service-account ¦ review ¦ - ¦ - ¦ - ¦ - ¦ - ¦ -
+azure-connection-string ¦ rotate ¦ A02:2021 ¦ SC-12 ¦ - ¦ CC6.1 ¦ AZURE_CONNECTION_STRING ¦ azure
+azure-storage-key ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ AZURE_STORAGE_KEY ¦ azure
+private-key-rsa ¦ encrypt ¦ A02:2021 ¦ SC-12, SC-17 ¦ CIS 14.4 ¦ CC6.1 ¦ - ¦ -
+private-key-openssh ¦ encrypt ¦ A02:2021 ¦ SC-12, SC-17 ¦ CIS 14.4 ¦ CC6.1 ¦ - ¦ -
+private-key-dsa ¦ encrypt ¦ A02:2021 ¦ SC-12 ¦ - ¦ CC6.1 ¦ - ¦ -
+private-key-ec ¦ encrypt ¦ A02:2021 ¦ SC-12 ¦ - ¦ CC6.1 ¦ - ¦ -
+private-key-generic ¦ encrypt ¦ A02:2021 ¦ SC-12 ¦ - ¦ CC6.1 ¦ - ¦ -
+pgp-private-key ¦ encrypt ¦ A02:2021 ¦ SC-12, SC-17 ¦ - ¦ CC6.1 ¦ - ¦ -
+password-assignment ¦ move_to_env ¦ A07:2021 ¦ IA-5 ¦ CIS 5.2 ¦ CC6.1 ¦ - ¦ -
+api-key-assignment ¦ move_to_env ¦ A02:2021 ¦ SC-12 ¦ - ¦ CC6.1 ¦ - ¦ -
+secret-assignment ¦ move_to_env ¦ A02:2021 ¦ SC-12 ¦ - ¦ CC6.1 ¦ - ¦ -
+token-assignment ¦ move_to_env ¦ A07:2021 ¦ IA-5 ¦ - ¦ CC6.2 ¦ - ¦ -
+auth-header ¦ move_to_env ¦ A07:2021 ¦ IA-5 ¦ - ¦ CC6.2 ¦ - ¦ -
+mongodb-uri ¦ move_to_env ¦ A02:2021 ¦ SC-12 ¦ CIS 14.4 ¦ CC6.1 ¦ MONGODB_URI ¦ -
+postgres-uri ¦ move_to_env ¦ A02:2021 ¦ SC-12 ¦ CIS 14.4 ¦ CC6.1 ¦ DATABASE_URL ¦ -
+mysql-uri ¦ move_to_env ¦ A02:2021 ¦ SC-12 ¦ CIS 14.4 ¦ CC6.1 ¦ MYSQL_URL ¦ -
+twilio-api-key ¦ rotate ¦ A02:2021 ¦ SC-12 ¦ - ¦ CC6.1 ¦ TWILIO_API_KEY ¦ -
+twilio-account-sid ¦ review ¦ - ¦ - ¦ - ¦ - ¦ - ¦ -
+sendgrid-api-key ¦ rotate ¦ A02:2021 ¦ SC-12 ¦ - ¦ CC6.1 ¦ SENDGRID_API_KEY ¦ -
+mailgun-api-key ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ MAILGUN_API_KEY ¦ -
+npm-token ¦ rotate ¦ A08:2021 ¦ SC-12 ¦ - ¦ CC6.1 ¦ NPM_TOKEN ¦ -
+pypi-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ PYPI_TOKEN ¦ -
+docker-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ DOCKER_TOKEN ¦ -
+jwt-token ¦ review ¦ A07:2021 ¦ IA-5 ¦ - ¦ CC6.2 ¦ - ¦ -
+high-entropy-string ¦ review ¦ A02:2021 ¦ - ¦ - ¦ - ¦ - ¦ -
+env-var-secret ¦ use_vault ¦ - ¦ - ¦ - ¦ - ¦ - ¦ -
+ssh-key-passphrase ¦ encrypt ¦ - ¦ - ¦ - ¦ - ¦ - ¦ -
+oauth-bearer ¦ move_to_env ¦ - ¦ - ¦ - ¦ - ¦ - ¦ -
+heroku-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ HEROKU_TOKEN ¦ heroku
+datadog-api-key ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ DATADOG_API_KEY ¦ -
+sentry-dsn ¦ move_to_env ¦ - ¦ - ¦ - ¦ - ¦ SENTRY_DSN ¦ -
+anthropic-api-key ¦ rotate ¦ A02:2021 ¦ SC-12 ¦ - ¦ CC6.1 ¦ ANTHROPIC_API_KEY ¦ anthropic
+openai-api-key ¦ rotate ¦ A02:2021 ¦ SC-12 ¦ - ¦ CC6.1 ¦ OPENAI_API_KEY ¦ openai
+slack-app-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ SLACK_APP_TOKEN ¦ slack
+huggingface-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ HUGGINGFACE_TOKEN ¦ -
+grafana-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ GRAFANA_TOKEN ¦ -
+supabase-key ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ SUPABASE_KEY ¦ -
+slack-signing-secret ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ SLACK_SIGNING_SECRET ¦ slack
+vercel-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ VERCEL_TOKEN ¦ -
+netlify-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ NETLIFY_TOKEN ¦ -
+cloudflare-api-key ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ CLOUDFLARE_API_KEY ¦ -
+cloudflare-api-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ CLOUDFLARE_API_TOKEN ¦ -
+linear-api-key ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ LINEAR_API_KEY ¦ -
+notion-api-key ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ NOTION_API_KEY ¦ -
+doppler-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ DOPPLER_TOKEN ¦ -
+vault-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ VAULT_TOKEN ¦ -
+terraform-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ TERRAFORM_TOKEN ¦ -
+planetscale-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ PLANETSCALE_TOKEN ¦ -
+railway-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ RAILWAY_TOKEN ¦ -
+flyio-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ FLY_TOKEN ¦ -
+clerk-secret-key ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ CLERK_SECRET_KEY ¦ -
+resend-api-key ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ RESEND_API_KEY ¦ -
+upstash-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ UPSTASH_TOKEN ¦ -
+neon-api-key ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ NEON_API_KEY ¦ -
+turso-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ TURSO_TOKEN ¦ -
+replicate-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ REPLICATE_TOKEN ¦ -
+mistral-api-key ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ MISTRAL_API_KEY ¦ -
+groq-api-key ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ GROQ_API_KEY ¦ -
+cohere-api-key ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ COHERE_API_KEY ¦ -
+gitlab-pat ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ GITLAB_TOKEN ¦ gitlab
+gitlab-pipeline-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ - ¦ -
+postman-api-key ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ POSTMAN_API_KEY ¦ -
+databricks-token ¦ rotate ¦ - ¦ - ¦ - ¦ - ¦ DATABRICKS_TOKEN ¦ -
+cursor-api-key ¦ review ¦ - ¦ - ¦ - ¦ - ¦ - ¦ -
+onepassword-token ¦ review ¦ - ¦ - ¦ - ¦ - ¦ - ¦ -
 """
 
 SEVERITY_RANK = {"critical": 4, "high": 3, "medium": 2, "low": 1}
@@ -233,7 +233,6 @@ class Enrichment:
     soc2: tuple[str, ...]
     env_var: str | None
     provider: str | None
-    verifier: str | None
 
 
 def _parse_enrichment(text: str) -> tuple[Enrichment, ...]:
@@ -241,7 +240,7 @@ def _parse_enrichment(text: str) -> tuple[Enrichment, ...]:
     for line in text.strip().splitlines():
         c = [x.strip() for x in line.split(" ¦ ")]
         many = [() if x == "-" else tuple(y.strip() for y in x.split(",")) for x in c[2:6]]
-        out.append(Enrichment(c[0], c[1], *many, *(None if x == "-" else x for x in c[6:9])))
+        out.append(Enrichment(c[0], c[1], *many, *(None if x == "-" else x for x in c[6:8])))
     return tuple(out)
 
 

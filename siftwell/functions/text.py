@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 THRESHOLD_CONFIG, THRESHOLD_SOURCE, THRESHOLD_MINIFIED, THRESHOLD_DIRECT = 4.5, 4.8, 5.0, 3.8
 CONFIG_EXTENSIONS = (".env", ".yml", ".yaml", ".ini", ".cfg", ".conf", ".toml", ".properties", ".json", ".xml")
 MINIFIED_ENDS = (".min.js", ".min.css", ".bundle.js", ".bundle.css")
+SEVERITIES = ("critical", "high", "medium", "low")
 LANGUAGES = {
     ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "javascript", ".tsx": "javascript",
     ".py": "python", ".go": "go", ".rb": "ruby", ".java": "java", ".yml": "yaml", ".yaml": "yaml", ".tf": "terraform", ".json": "json",

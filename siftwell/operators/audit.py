@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from siftwell.functions.catalog import SEVERITY_RANK
 from siftwell.functions.text import csv_cell
+from siftwell.sources.audit_log import HASHED, HASHED_BEFORE
 
 
 def query(log: DataFrame, since: Column | None = None, until: Column | None = None, decision: str | None = None, min_findings: int | None = None, severity: str | None = None) -> DataFrame:
@@ -40,11 +41,35 @@ def decisions(log: DataFrame) -> DataFrame:
     return log.groupBy(F.coalesce("userDecision", F.lit("none")).alias("decision")).agg(F.count("*").alias("n"))
 
 
-def verify_chain(log: DataFrame, order: str = "timestamp") -> DataFrame:
-    """``log`` with link_ok: each entry names the hash before it, the first none. The chain is one sequence by nature; a log is small
-    (it rotates at a few MiB), so the one ordered window is no bottleneck."""
-    before = F.lag("hash").over(Window.orderBy(order))
-    return log.withColumn("link_ok", F.col("previousHash").eqNullSafe(before))
+def verify_chain(lines: DataFrame) -> DataFrame:
+    """lines: position, value (JSON). Gives position, entry (from 0, malformed lines not counted), hash_ok, link_ok, errors.
+
+    An entry's hash is over its other fields, as the writer orders them or as earlier versions did; each entry names the hash before it, the
+    first none. The chain is one sequence by nature; a log is small (it rotates at a few MiB), so the one ordered window is no bottleneck."""
+    of = lambda name: F.get_json_object("value", f"$.{name}")
+    quoted = lambda c: F.expr("substring(to_json(array({0})), 2, length(to_json(array({0}))) - 2)".format(c))
+
+    def field(name: str) -> Column:
+        raw = of(name)
+        if name in ("filesScanned", "findings", "findingCount", "severityCounts"):
+            said = raw
+        else:
+            text = quoted(f"get_json_object(value, '$.{name}')")
+            said = F.when(raw.rlike(r"^[\[{]"), raw).otherwise(text) if name in ("verification", "exposure") else text
+        return F.when(F.array_contains(F.json_object_keys("value"), name), F.concat(F.lit(f'"{name}":'), F.when(raw.isNull(), "null").otherwise(said)))
+
+    written = lambda names: F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*map(field, names))), ","), F.lit("}"))
+    as_it_stands = F.regexp_replace("value", r',"hash":"[^"]*"\}\s*\z', "}")
+    rows = lines.filter(F.json_object_keys("value").isNotNull())
+    own = [F.sha2(c, 256) for c in (as_it_stands, written(HASHED), written(HASHED_BEFORE))]
+    rows = rows.select("position", of("hash").alias("hash"), of("previousHash").alias("previous"), F.array(*own).alias("own"))
+    order = Window.orderBy("position")
+    rows = rows.select(
+        "position", (F.row_number().over(order) - 1).alias("entry"), F.coalesce(F.array_contains("own", F.col("hash")), F.lit(False)).alias("hash_ok"),
+        F.col("previous").eqNullSafe(F.lag("hash").over(order)).alias("link_ok"),
+    )
+    link = F.when(F.col("entry") == 0, "First entry should have no previous hash").otherwise("Chain linkage broken")
+    return rows.withColumn("errors", F.array_compact(F.array(F.when(~F.col("hash_ok"), "Hash mismatch"), F.when(~F.col("link_ok"), link))))
 
 
 def flat_findings(log: DataFrame) -> DataFrame:

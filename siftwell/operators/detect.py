@@ -19,7 +19,7 @@ from siftwell.functions.catalog import ENTROPY_RULE, PATTERN_RULES, REFERENCE_CA
 QUOTED = "\"[^'\"`\\n]{20,}\"|'[^'\"`\\n]{20,}'|`[^'\"`\\n]{20,}`"
 PASS_MULTILINE, PASS_PATTERN, PASS_CUSTOM, PASS_ENTROPY = 0, 1, 2, 3
 FOUND = ("rule_id", "rule_name", "severity", "type", "line_number", "match", "secret", "match_start", "match_length", "entropy", "multiline")
-ORDER = ("emit_pass", "emit_shift", "emit_rule", "emit_match")
+ORDER = ("emit_shift", "emit_pass", "emit_rule", "emit_match")
 
 
 def constants(values: Sequence[tuple[int, object]], key: Column) -> Column:

@@ -16,13 +16,13 @@ def rules(spark: SparkSession) -> DataFrame:
 
 
 def dimension(spark: SparkSession) -> DataFrame:
-    rows = [(e.rule_id, e.action, *map(list, (e.owasp, e.nist, e.cis, e.soc2)), e.env_var, e.provider, e.verifier) for e in ENRICHMENT]
+    rows = [(e.rule_id, e.action, *map(list, (e.owasp, e.nist, e.cis, e.soc2)), e.env_var, e.provider) for e in ENRICHMENT]
     arrays = ", ".join(f"{f} array<string>" for f in FRAMEWORKS)
-    return spark.createDataFrame(rows, f"rule_id string, action string, {arrays}, env_var string, incident_provider string, verifier string")
+    return spark.createDataFrame(rows, f"rule_id string, action string, {arrays}, env_var string, incident_provider string")
 
 
 def enrich(findings: DataFrame) -> DataFrame:
-    """With action (``review`` if unknown), compliance arrays (empty if unknown), env_var, incident_provider, verifier."""
+    """With action (``review`` if unknown), compliance arrays (empty if unknown), env_var, incident_provider."""
     joined = findings.join(F.broadcast(dimension(findings.sparkSession)), "rule_id", "left")
     empty = F.array().cast("array<string>")
     return joined.withColumns({"action": F.coalesce("action", F.lit(DEFAULT_ACTION)), **{f: F.coalesce(f, empty) for f in FRAMEWORKS}})
@@ -60,3 +60,22 @@ def exposure(flags: DataFrame) -> DataFrame:
     )
     sure = F.when(~F.col("is_repo"), "low").when(by_secret | ~F.col("in_any_commit"), "high").otherwise("medium")
     return flags.withColumns({"level": level, "confidence": sure})
+
+
+def history_flags(findings: DataFrame, commits: DataFrame, changed: DataFrame) -> DataFrame:
+    """``findings`` (file, secret) with what ``exposure`` takes - in_any_commit, in_remote, secret_in_any, secret_in_remote - and exposure_since.
+
+    commits: commit_hash, committed_at, is_remote; changed: commit_hash, file, content (lines that a commit brings or removes). Files are
+    joined by name and secrets looked for in their own file's lines only; since when a file is on a remote counts from its first commit there."""
+    lines = changed.join(commits.select("commit_hash", "committed_at", "is_remote"), "commit_hash")
+    touched = lines.groupBy("file").agg(F.lit(True).alias("in_any_commit"), F.bool_or("is_remote").alias("in_remote"), F.min(F.when(F.col("is_remote"), F.col("committed_at"))).alias("exposure_since"))
+    wanted = findings.select("file", "secret").distinct()
+    held = wanted.join(lines, "file").filter(F.col("content").contains(F.col("secret")))
+    held = held.groupBy("file", "secret").agg(F.lit(True).alias("secret_in_any"), F.bool_or("is_remote").alias("secret_in_remote"))
+    flags = ("in_any_commit", "in_remote", "secret_in_any", "secret_in_remote")
+    return findings.join(touched, "file", "left").join(held, ["file", "secret"], "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in flags})
+
+
+def pushed_only(exposed: DataFrame) -> DataFrame:
+    """Findings that others can see already."""
+    return exposed.filter("level = 'PUSHED'")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from siftwell.functions import text as T
 from siftwell.functions.catalog import ENTROPY_RULE, PATTERN_RULES, REFERENCE_CASE, Rule
@@ -13,7 +12,9 @@ from siftwell.operators.detect import PASS_MULTILINE, constants, occurrences
 LARGEST = 500 * 1024
 TEMPLATE = "(?s)`[^`]{20,}`"
 JOINED = "\"[^'\"]{4,}\"\\s*\\+\\s*\"[^'\"]{4,}\"|'[^'\"]{4,}'\\s*\\+\\s*'[^'\"]{4,}'"
-BASE64_LINE = r"^[A-Za-z0-9+/=]{20,}\z"
+#: Maximal runs of at least three lines of base64, which blanks may surround. Possessive throughout: nothing is tried twice.
+_LINE = r"[ \t\x0B\f\r]*+[A-Za-z0-9+/=]{20,}+[ \t\x0B\f\r]*+(?=\n|\z)"
+BASE64 = rf"(?:\A|(?<=\n)){_LINE}(?:\n{_LINE}){{2,}}+"
 #: What the line before a block must look like for its entropy to count (fixed value).
 CONTEXT = r"[=:]\s*\z|(?i)(?:key|secret|password|token|credential|api[_-]?key)\s*[=:]"
 
@@ -43,18 +44,8 @@ def joined_literals(files: DataFrame, keys: tuple[str, ...] = ("file",)) -> Data
 
 
 def base64_blocks(files: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFrame:
-    """Maximal runs of at least three base64 lines, by the difference of two row numbers."""
-    lines = files.select(*keys, F.posexplode(F.split("content", "\n", -1)).alias("pos", "line"))
-    order = Window.partitionBy(*keys).orderBy("pos")
-    lines = lines.withColumn("context", F.lag("line").over(order)).withColumn("line", F.regexp_replace("line", r"^\s+|\s+\z", ""))
-    rows = lines.filter(F.col("line").rlike(BASE64_LINE)).withColumn("island", F.col("pos") - F.row_number().over(order))
-    blocks = rows.groupBy(*keys, "island").agg(
-        F.min("pos").alias("first"), F.count("*").alias("n"), F.min_by("context", "pos").alias("context"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "").alias("text"),
-    )
-    return blocks.filter("n >= 3").select(
-        *keys, (F.col("first") + 1).cast("int").alias("line_number"), F.lit("base64").alias("kind"), "context", F.col("first").alias("number"), "text"
-    )
+    rows = _found(files, keys, BASE64, "base64")
+    return rows.withColumn("text", F.regexp_replace("raw", r"\s+", "")).drop("raw")
 
 
 def findings(files: DataFrame, threshold: Column, keys: tuple[str, ...] = ("file",), rules: tuple[Rule, ...] = PATTERN_RULES, case_mode: str = REFERENCE_CASE) -> DataFrame:
@@ -79,5 +70,5 @@ def findings(files: DataFrame, threshold: Column, keys: tuple[str, ...] = ("file
         F.when(by_rule, hit["secret"]).otherwise(F.col("text")).alias("secret"), F.lit(None).cast("int").alias("match_start"),
         F.lit(None).cast("int").alias("match_length"), F.when(~by_rule, F.col("h")).alias("entropy"), F.lit(True).alias("multiline"),
         F.lit(PASS_MULTILINE).alias("emit_pass"), F.when(F.col("kind") == "template", 0).when(F.col("kind") == "concat", 1).otherwise(2).alias("emit_shift"),
-        F.coalesce("rule_ord", F.lit(ENTROPY_RULE.ord)).alias("emit_rule"), F.col("number").alias("emit_match"),
+        F.lit(0).alias("emit_rule"), F.col("number").alias("emit_match"),
     )

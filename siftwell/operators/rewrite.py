@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,20 +22,16 @@ def _splice(line: Column, old: Column, new: Column) -> Column:
 
 def enclosing(line: Column, secret: Column, quote: str) -> Column:
     """The whole quoted literal that the secret is a part of."""
-    pattern = F.concat(F.lit(f"{quote}([^{quote}]*\\Q"), secret, F.lit(f"\\E[^{quote}]*){quote}"))
+    plain = F.replace(secret, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    pattern = F.concat(F.lit(f"{quote}([^{quote}]*\\Q"), plain, F.lit(f"\\E[^{quote}]*){quote}"))
     return F.regexp_substr(line, pattern)
 
 
 def rewrite_line(line: Column, secret: Column, language: Column, ref: Column) -> Column:
-    yaml = language == "yaml"
-    choices = []
-    for q in ('"', "'"):
-        inside = F.concat(F.lit(q), ref, F.lit(q))
-        choices.append(_splice(line, F.concat(F.lit(q), secret, F.lit(q)), F.when(yaml, inside).otherwise(ref)))
-    for q in ('"', "'"):
-        inside = F.concat(F.lit(q), ref, F.lit(q))
-        choices.append(_splice(line, enclosing(line, secret, q), F.when(yaml, inside).otherwise(ref)))
-    return F.coalesce(*choices, _splice(line, secret, ref))
+    new = F.when(language == "yaml", F.concat(F.lit('"'), ref, F.lit('"'))).otherwise(ref)
+    whole = [_splice(line, F.concat(F.lit(q), secret, F.lit(q)), new) for q in ('"', "'")]
+    part = [_splice(line, enclosing(line, secret, q), new) for q in ('"', "'")]
+    return F.coalesce(*whole, *part, _splice(line, secret, ref))
 
 
 def rewrite_dockerfile(line: Column, secret: Column) -> Column:
@@ -41,22 +39,23 @@ def rewrite_dockerfile(line: Column, secret: Column) -> Column:
     return F.when(line.rlike(r"^\s*ENV\s+\w+[= ]"), F.regexp_replace(line, name, "$1ARG $2")).otherwise(_splice(line, secret, F.lit(REMOVED)))
 
 
+def rewritten(line: Column, secret: Column, language: Column, ref: Column) -> Column:
+    """The line with its secret moved to the environment; null if nothing is to be done. JSON is taken out, not rewritten."""
+    return F.when(language == "json", line).when(language == "dockerfile", rewrite_dockerfile(line, secret)).otherwise(rewrite_line(line, secret, language, ref))
+
+
 def fix_plan(findings: DataFrame) -> DataFrame:
-    """findings: file, line_number, line, secret, rule_id. One row each: language, var_name, before, after (null if nothing is to be
-    done; JSON is taken out, not rewritten). Lines of a file from the bottom up."""
+    """findings: file, line_number, line, secret, rule_id. One row each: language, var_name, before, after (as if it were alone in its line),
+    step: lines of a file from the bottom up; and what rewrite_files takes besides."""
     known = dimension(findings.sparkSession).select("rule_id", F.col("env_var").alias("known"))
     rows = findings.join(F.broadcast(known), "rule_id", "left")
     rows = rows.withColumn("language", T.detect_language(F.col("file")))
     rows = rows.withColumn("var_name", T.env_var_name(F.col("known"), F.col("line"), F.col("rule_id")))
-    ref = T.env_var_ref(F.col("language"), F.col("var_name"))
-    after = (
-        F.when(F.col("language") == "json", F.col("line")).when(F.col("language") == "dockerfile", rewrite_dockerfile(F.col("line"), F.col("secret")))
-        .otherwise(rewrite_line(F.col("line"), F.col("secret"), F.col("language"), ref))
-    )
-    order = Window.partitionBy("file").orderBy(F.col("line_number").desc(), "rule_id")
-    return rows.select(
-        "file", "line_number", "rule_id", "language", "var_name", F.col("line").alias("before"), after.alias("after"), F.row_number().over(order).alias("step")
-    )
+    rows = rows.withColumn("ref", T.env_var_ref(F.col("language"), F.col("var_name")))
+    order = Window.partitionBy("file").orderBy(F.col("line_number").desc(), "rule_id", "secret")
+    rows = rows.withColumn("step", F.row_number().over(order))
+    after = rewritten(F.col("line"), F.col("secret"), F.col("language"), F.col("ref"))
+    return rows.select("file", "line_number", "rule_id", "language", "var_name", F.col("line").alias("before"), after.alias("after"), "step", "secret", "ref")
 
 
 def env_upserts(wanted: DataFrame, existing: DataFrame) -> DataFrame:
@@ -112,11 +111,30 @@ def ensure_import(lines: Column, language: Column, dotenv: Column) -> Column:
 
 
 def rewrite_files(files: DataFrame, plan: DataFrame) -> DataFrame:
-    """file and content of the files in ``plan`` (see fix_plan), with its lines replaced and imports added. ``files``: file, content,
-    dotenv (see ensure_import). Of a line's rewrites the first step counts; scan the result again for the others."""
+    """file and content of the files in ``plan`` (see fix_plan), with its lines rewritten and imports added. ``files``: file, content,
+    dotenv (see ensure_import). The secrets of one line are moved one after another, each in what the one before has left."""
+    done = F.aggregate(
+        F.array_sort(F.collect_list(F.struct("step", "secret", "ref"))), F.first("before"),
+        lambda line, s: F.coalesce(rewritten(line, s["secret"], F.col("language"), s["ref"]), line),
+    )
+    lines = plan.groupBy("file", "language", "line_number").agg(done.alias("after"), F.bool_or(F.col("after").isNotNull()).alias("any"))
     change = F.struct(F.col("line_number").cast("int").alias("line_number"), "after")
-    first = plan.filter("after is not null").groupBy("file", "language", "line_number").agg(F.min_by("after", "step").alias("after"))
-    changes = first.groupBy("file", "language").agg(F.map_from_entries(F.collect_list(change)).alias("changes"))
+    changes = lines.filter("any").groupBy("file", "language").agg(F.map_from_entries(F.collect_list(change)).alias("changes"))
     rows = files.join(changes, "file")
-    lines = F.transform(F.split("content", "\n", -1), lambda x, i: F.coalesce(F.col("changes")[i + 1], x))
-    return rows.select("file", F.array_join(ensure_import(lines, F.col("language"), F.col("dotenv")), "\n").alias("content"))
+    new = F.transform(F.split("content", "\n", -1), lambda x, i: F.coalesce(F.col("changes")[i + 1], x))
+    return rows.select("file", F.array_join(ensure_import(new, F.col("language"), F.col("dotenv")), "\n").alias("content"))
+
+
+def env_example(existing: str | None, names: list[str]) -> str:
+    """The example file with a placeholder for each name that it lacks; a name that a conflict gave ``_NEW`` counts without it."""
+    text = "# Copy to .env and fill in real values\n\n" if existing is None else existing
+    text += "\n" if text and not text.endswith("\n") else ""
+    held = set(re.findall(r"^([A-Z0-9_]+)=", text, re.MULTILINE))
+    return text + "".join(f"{n}=\n" for n in dict.fromkeys(n.removesuffix("_NEW") for n in names) if n not in held)
+
+
+def gitignore(existing: str) -> str:
+    """The ignore file with a line for .env."""
+    if any(line.strip() == ".env" for line in existing.split("\n")):
+        return existing
+    return existing + ("\n" if existing and not existing.endswith("\n") else "") + ".env\n"

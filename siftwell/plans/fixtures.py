@@ -3,12 +3,15 @@ from the patterns, so none stands in the code."""
 
 from __future__ import annotations
 
+import hashlib
+import json
 from re import _constants as sre
 from re import _parser as parser
 
 from pyspark.sql import DataFrame, SparkSession
 
 from siftwell.functions.catalog import PATTERN_RULES
+from siftwell.sources import audit_log
 
 
 def sample(pattern: str) -> str:
@@ -57,6 +60,28 @@ _aws = sample(r"AKIA[0-9A-Z]{16}")
 _pat = sample(r"ghp_[A-Za-z0-9_]{20,}")
 _blob = "Zm9vYmFyQmF6UXV4MTIzNDU2Nzg5MEFCQ0RFRkdISUpLTE1OT1BR"
 
+def _chain() -> list[str]:
+    """Lines of a log: sound ones, one of an earlier version, a malformed one, a count and a link that were tampered with."""
+    lines, last = [], None
+    for i in range(12):
+        at = f"2024-01-{i + 1:02}T00:00:00.000Z"
+        findings = [{"ruleId": "npm-token", "severity": "high", "file": f"f{i}.js", "match": "npm_abcdefghijkl"}] * (i % 3)
+        line = audit_log.chained({"timestamp": at, "version": "1.0.0" if i % 2 else None, "filesScanned": [f"f{i}.js"], "findings": findings, "userDecision": 'said "so"', "exposure": {"a": 1} if i == 4 else None}, last)
+        if i == 5:  # as earlier versions wrote it
+            old = {k: v for k, v in json.loads(line).items() if k in audit_log.HASHED_BEFORE}
+            text = json.dumps(old, separators=(",", ":"))
+            line = f'{text[:-1]},"hash":"{hashlib.sha256(text.encode()).hexdigest()}"}}'
+        last = json.loads(line)["hash"]
+        if i == 7:
+            line = line.replace('"findingCount":1', '"findingCount":0')
+        if i == 9:
+            last = "0" * 64
+        lines.append(line)
+        if i == 3:
+            lines.append('{"timestamp":"2024-01-04T12:00')
+    return lines
+
+
 FIXTURES: dict[str, tuple[str, list[tuple]]] = {
     "paths": ("id bigint, path string", list(enumerate([
         "src/app.js", "src/app.min.js", ".env", ".env.local", "config/app.yml", "a/b/c.properties", "web/site.bundle.css", "Dockerfile", "x/Dockerfile.dev",
@@ -72,19 +97,22 @@ FIXTURES: dict[str, tuple[str, list[tuple]]] = {
     ]),
     "comments": ("id bigint, line string", list(enumerate([
         "k = 1 // scan-ignore", "k = 1 /* scan-ignore */", "k = 1 // scan-ignore: test value", "k = 1 # scan-ignore", "// scan-ignore k = 1", "k = 1 //scan-ignore  ", "plain",
+        "get https://host/scan-ignore", "x * scan-ignore", "k = 1 // scan-ignore: takes a*b", "k = 1 /* scan-ignore: why */ ", "k = 1 // scan-ignore:", "k = 1 /*scan-ignore", "k = 1 // scan-ignored",
     ]))),
     "sources": ("file string, content string", [
         ("a.js", f'const k = "{_aws[:6]}" + "{_aws[6:]}";\nlet t = `{_pat} ${{x}}`;\nnone'), ("b.pem", "secret =\n" + f"{_blob}\n" * 3 + "end"),
         ("c.js", "const s = 'hello there ' + 'general audience';\nlet u = `plain words in a template`;"), ("d.txt", f"{_blob}\n{_blob}\nshort\n  {_blob}\n{_blob}  \n{_blob}"),
+        ("e.js", f"let a = `{_pat[:9]}\n{_pat[9:]} and more`; let b = `{_aws} padded to length`;\nsecret:\n{_blob}\n{_blob}\n{_blob}\n"),
+        ("f.env", f"A_TOKEN={_blob[:30]}\n// scan-ignore\nB = '{_aws}' // scan-ignore: a test\nC = '{_aws}'"), ("skip/g.js", f"k = '{_aws}'"),
     ]),
-    "commits": ("commit_hash string, committed_at string, diff string", [
+    "commits": ("commit_hash string, committed_at string, diff string, author string, subject string, is_remote boolean", [
         ("c1", "2024-01-03T00:00:00Z", "\n".join([
             "diff --git a/x.py b/x.py", "--- a/x.py", "+++ b/x.py", "@@ -1,2 +1,3 @@", " keep", f'+key = "{_aws}"', "-old", "+plain", "@@ -10,1 +11,2 @@", " ctx", f"+{_pat}", "\\ No newline at end of file",
-        ])),
+        ]), "a@h", "Add x", False),
         ("c2", "2024-01-02T00:00:00Z", "\n".join([
             "diff --git a/img.png b/img.png", "Binary files a/img.png and b/img.png differ", "diff --git a/y.js b/y.js", "--- /dev/null", "+++ b/y.js", "@@ -0,0 +1,2 @@", "+one", f"+let k = '{_aws}'",
-        ])),
-        ("c3", "2024-01-01T00:00:00Z", "\n".join(["diff --git a/z b/z", "--- a/z", "+++ /dev/null", "@@ -1,1 +0,0 @@", "-gone"])),
+        ]), "b@h", "Add y", True),
+        ("c3", "2024-01-01T00:00:00Z", "\n".join(["diff --git a/z b/z", "--- a/z", "+++ /dev/null", "@@ -1,1 +0,0 @@", "-gone"]), "a@h", "Drop z", True),
     ]),
     "audit": ("idx bigint, timestamp string, commitHash string, files string, findingCount bigint, critical bigint, high bigint, medium bigint, low bigint, userDecision string, action string, previousHash string, hash string", [
         (1, "2024-01-01T00:00:00Z", "aaa", "x.js;y.js", 2, 1, 1, 0, 0, "blocked", "none", None, "h1"), (2, "2024-01-02T00:00:00Z", "bbb", "a,b.js", 0, 0, 0, 0, 0, "passed", "none", "h1", "h2"),
@@ -112,6 +140,17 @@ FIXTURES: dict[str, tuple[str, list[tuple]]] = {
         ("go", None, 'package main\n\nimport (\n\t"fmt"\n)\nfunc f() {}'), ("go", None, 'package main\nimport "fmt"\nvar x = 1'), ("go", None, "package main\nvar x = 1"), ("go", None, 'package a\nimport "os"'),
         ("javascript", "commonjs", "'use strict';\nlet a = 1"), ("javascript", "module", "#!/usr/bin/env node\nlet a = 1"), ("javascript", "module", "import 'dotenv/config';\nlet a"), ("javascript", None, "let a = 1"), ("ruby", None, "x = 1"),
     ]))),
+    "leaks": ("id bigint, file string, secret string", [
+        (1, "x.py", _aws), (2, "y.js", _aws), (3, "x.py", "plain"), (4, "x.py", "not in there"), (5, "none.js", "abcdefghij"), (6, "none.js", "short"), (7, "y.js", "one"), (8, "x.py", _pat), (9, "y.js", _pat), (10, "y.js", "one" * 80),
+    ]),
+    "pack_rules": ("position bigint, id string, severity string, category string, confidence double, detection_rate double, false_positive_rate double", [
+        (i, f"rule-{i:02}", ("critical", "high", "low")[i % 3], f"c{i % 5}", 0.5 + (i * 7 % 12) / 25, 0.9 - (i * 5 % 11) / 50, (i * 3 % 10) / 100) for i in range(24)
+    ]),
+    "fix_findings": ("file string, line_number bigint, line string, secret string, rule_id string", [
+        (f"f{i}.js", i + 1, f"use('first{i}$1secret', 'second.{i}.secret') // {i}", s, r) for i in range(12) for s, r in ((f"first{i}$1secret", "cursor-api-key"), (f"second.{i}.secret", "onepassword-token"))
+    ]),
+    "fix_files": ("file string, content string, dotenv string", [(f"f{i}.js", "// line\n" * i + f"use('first{i}$1secret', 'second.{i}.secret') // {i}\nend", None) for i in range(12)]),
+    "audit_lines": ("position bigint, value string", list(enumerate(_chain()))),
     "changes": ("file string, change_type string", [("a", "M"), ("b", "D"), ("zz", "A")]),
     "pack": ("id string, pattern string", [("aws-access-key-id", "zzz"), ("new-rule", "[q]{3}"), ("twin", "akia[0-9a-z]{16}"), ("other-rule", "w[0-9]{9}")]),
 }

@@ -9,15 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
-from siftwell.functions.catalog import ENRICHMENT, FRAMEWORKS, PATTERN_RULES, RULES
+from siftwell.functions.catalog import ENRICHMENT, FRAMEWORKS, PATTERN_RULES, RULES, Rule
 from siftwell.operators import aggregate, audit, detect, enrich, multiline, policy, rewrite
 from siftwell.operators.lines import split_lines, windows
 from siftwell.plans import fixtures, report
 from siftwell.plans.fixtures import literal
-from siftwell.plans.scan import scan, scan_history
+from siftwell.plans.scan import scan, scan_history, with_commits
 from siftwell.sources import files as file_source
 from siftwell.sources import history
-from siftwell.sources.config import IgnoreSpec, ScanConfig
+from siftwell.sources.config import IgnoreSpec, ScanConfig, custom_rules
 from siftwell.streaming.stream import scan_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,12 +37,16 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
+#: A table up to this size is dealt to all cores; a larger one has row groups enough and is never moved.
+SMALL_BYTES = 256 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """Only the columns that are needed. A table of few, small files is dealt out again, since one task would read each
-    row group; at scale a table has more files than cores, and nothing is moved."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if len(df.inputFiles()) < cores else df
+    """Only the columns that are needed."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES
+    df = df.select(*columns)
+    return df.repartition(2 * spark.sparkContext.defaultParallelism) if small else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,16 +84,16 @@ def lines_sql(files: str) -> str:
         )"""
 
 
-def hits_sql(source: str = "w", keys: str = "doc_id, file") -> str:
+def hits_sql(source: str = "w", keys: str = "doc_id, file", rules: tuple[Rule, ...] = PATTERN_RULES) -> str:
     """CTE h: matches by rule, with offsets summed from the pieces between them."""
     parts = [
         f"select {keys}, line_number, shift, line, {r.ord} as ord, {literal(r.id)} as rule_id, {literal(r.severity)} as severity, {literal(r.category)} as category,"
         f" regexp_extract_all(line, {literal(r.re2())}) as ms, regexp_extract_all(line, {literal(r.re2())}, {r.group}) as ss, regexp_split_to_array(line, {literal(r.re2())}) as gaps"
         f" from {source} where regexp_matches(line, {literal(r.re2())})"
-        for r in PATTERN_RULES
+        for r in rules
     ]
     return f"""m as ({" union all ".join(parts)}), n as (select *, unnest(range(1, len(ms) + 1)) as k from m), h as (
-            select {keys}, line_number, ord, rule_id, severity, category, ms[k] as match, ss[k] as secret, length(ms[k]) as match_length,
+            select {keys}, line_number, shift, k, ord, rule_id, severity, category, ms[k] as match, ss[k] as secret, length(ms[k]) as match_length,
                 (shift + list_sum(list_transform(gaps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0))::bigint as match_start
             from n
         ), d as (
@@ -229,7 +233,11 @@ def dedup_findings(spark: SparkSession) -> DataFrame:
     return detect.dedup(rows).select("file", "line_number", "rule_id", "severity")
 
 
-@query(f"select id, regexp_matches(line, '[/*]\\s*scan-ignore(:[^*]*)?\\s*(\\*/)?\\s*$') as ignored from {fixtures.sql('comments')}")
+#: A comment sign of two characters, the word, maybe a colon with a reason, maybe the end of a block comment.
+IGNORED_SQL = "regexp_matches(line, '/[/*]\\s*scan-ignore(:\\s*.+)?\\s*(\\*/)?\\s*$')"
+
+
+@query(f"select id, {IGNORED_SQL} as ignored from {fixtures.sql('comments')}")
 def inline_ignore(spark: SparkSession) -> DataFrame:
     return fixtures.table(spark, "comments").select("id", F.col("line").rlike(ScanConfig().inline_ignore).alias("ignored"))
 
@@ -343,11 +351,66 @@ def joined_literals(spark: SparkSession) -> DataFrame:
     return multiline.joined_literals(fixtures.table(spark, "sources")).select("file", "text")
 
 
-@query()
+FULL = ScanConfig(
+    entropy_threshold=T.THRESHOLD_DIRECT, ignore=IgnoreSpec.parse("skip/**\nsrc19/**\n[rule:token-assignment] src1/**"), severity={"aws-access-key-id": "low", "env-var-secret": "ignore"},
+    rules=custom_rules([{"id": "own-mailbox", "name": "Mailbox", "severity": "high", "pattern": r"([a-z0-9.]+)@mail[0-9]\.example\.com"}])[0],
+)
+FULL_FILES = f"""select 0 as doc_id, file, content from (select file, content from ({FILES_SQL["documents"]}) union all select file, content from ({FILES_SQL["pages"]})
+    union all select file, content from {fixtures.sql("sources")}) where not starts_with(file, 'skip/') and not starts_with(file, 'src19/')"""
+JOINED_TEXT = """replace(replace(regexp_replace(m, '["'']\\s*\\+\\s*["'']', ''), '"', ''), '''', '')"""
+
+
+def across_sql(kind: int, pattern: str, text: str) -> str:
+    """Matches of a pattern in whole files, with the number of lines before (row) and the text that they stand for."""
+    return f"""select file, {kind} as kind, k, text, row, case when row > 0 then string_split(content, chr(10))[row] else '' end as context from (
+            select *, {text} as text, length(before) - length(replace(before, chr(10), '')) as row from (
+                select *, ms[k] as m, array_to_string(list_concat(list_transform(range(1, k), lambda i: gaps[i] || ms[i]), [gaps[k]]), '') as before from (
+                    select *, unnest(range(1, len(ms) + 1)) as k from (
+                        select file, content, regexp_extract_all(content, {pattern}) as ms, regexp_split_to_array(content, {pattern}) as gaps from f where length(content) <= 512000 and regexp_matches(content, {pattern})))))"""
+
+
+def full_sql() -> str:
+    """The scan from the semantics: single lines, and what spans lines; of one span the most severe finding, then the first emitted."""
+    rank = "case severity when 'critical' then 4 when 'high' then 3 when 'medium' then 2 else 1 end"
+    ext = EXT_SQL.replace("path", "file")
+    limit = f"(case when regexp_matches(file, '\\.(min|bundle)\\.(js|css)$') then 5.0 when {ext} in ({', '.join(map(literal, T.CONFIG_EXTENSIONS))}) or regexp_matches(file, '(^|/)\\.env(\\.|$)') then 4.5 else 3.8 end)"
+    every = " ".join(f"when regexp_matches(text, {literal(r.re2())}) then {r.ord}" for r in PATTERN_RULES)
+    secret = " ".join(f"when {r.ord} then coalesce(nullif(regexp_extract(text, {literal(r.re2())}, {r.group}), ''), regexp_extract(text, {literal(r.re2())}))" for r in PATTERN_RULES)
+    rules = ", ".join(f"({r.ord}, {literal(r.id)}, {literal(r.severity)})" for r in RULES)
+    entropy_rule = next(r.ord for r in RULES if not r.pattern)
+    assigned = "regexp_matches(context, '[=:]\\s*$|(?i)(key|secret|password|token|credential|api[_-]?key)\\s*[=:]')"
+    trimmed = "regexp_replace(raw, '^\\s+|\\s+$', '', 'g')"
+    return f"""with {lines_sql(FULL_FILES)}, v as (select * from w where not {IGNORED_SQL}), {hits_sql("v", rules=(*PATTERN_RULES, *FULL.rules))},
+        {CANDIDATES.replace("select doc_id,", "select file, shift,").replace("from w where", "from v where")},
+        e as (select *, {ENTROPY_SQL} as bits from c where not ({" or ".join(f"({x})" for x in REJECT_SQL.values())})),
+        bl as (select file, unnest(string_split(content, chr(10))) as raw, generate_subscripts(string_split(content, chr(10)), 1) as pos, content from f where length(content) <= 512000),
+        bt as (select *, pos - row_number() over (partition by file order by pos) as island, {trimmed} as line from bl where regexp_full_match({trimmed}, '[A-Za-z0-9+/=]{{20,}}')),
+        a as (
+            select * from ({across_sql(0, "'`[^`]{20,}`'", "regexp_replace(m[2:-2], '\\$\\{[^}]*\\}', '', 'g')")}) where length(text) >= 20
+            union all
+            select * from ({across_sql(1, CONCAT_SQL, JOINED_TEXT)}) where length(text) >= 20
+            union all
+            select file, 2, min(pos), string_agg(line, '' order by pos), min(pos) - 1, case when min(pos) > 1 then string_split(any_value(content), chr(10))[min(pos) - 1] else '' end from bt group by file, island having count(*) >= 3
+        ), x as (select *, case {every} end as first, {ENTROPY_SQL} as bits from a), found as (
+            select file, line_number, rule_id, severity, 'pattern' as type, coalesce(nullif(secret, ''), match) as secret, match_start, match_length, shift, case when ord >= 1000 then 2 else 1 end as pass, ord, k from h
+            union all
+            select file, line_number, 'high-entropy-string', 'medium', 'entropy', text, start, length(text) + 2, shift, 3, 0, k from e where bits >= {limit}
+            union all
+            select file, row + 1, r.id, r.severity, case when first is null then 'multiline-entropy' else 'multiline-pattern' end, case first {secret} else text end, null, null, kind, 0, 0, k
+            from x join (values {rules}) as r(ord, id, severity) on r.ord = coalesce(first, {entropy_rule}) where first is not null or (bits >= {limit} and {assigned})
+        ), best as (
+            select distinct on (file, line_number, match_start, match_length) * from found order by file, line_number, match_start, match_length, {rank} desc, shift, pass, ord, k
+        ) select file, line_number::bigint as line_number, rule_id, case rule_id when 'aws-access-key-id' then 'low' else severity end as severity, type, match_start::bigint as match_start, match_length::bigint as match_length,
+            case when length(secret) <= 8 then '****' else secret[1:4] || '****' || secret[-4:] end as redacted, sha256(secret)[1:12] as secret_hash
+        from best where rule_id <> 'env-var-secret' and not (rule_id = 'token-assignment' and starts_with(file, 'src1/'))"""
+
+
+@query(full_sql())
 def full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Everything at once: patterns, entropy and multiline over documents and the fixture sources, deduplicated."""
-    rows = documents(spark, sf_dir).select("file", "content").unionByName(fixtures.table(spark, "sources"))
-    return report.redacted(scan(rows, ScanConfig(entropy_threshold=T.THRESHOLD_DIRECT)))
+    """Everything at once: patterns, custom rules, entropy and secrets across lines, over documents, pages and the fixture sources, with ignores and overrides."""
+    rows = documents(spark, sf_dir).select("file", "content").unionByName(pages(spark, sf_dir).select("file", "content")).unionByName(fixtures.table(spark, "sources"))
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return report.redacted(scan(rows, FULL)).select("file", long("line_number"), "rule_id", "severity", "type", long("match_start"), long("match_length"), "redacted", "secret_hash")
 
 
 @query(f"""select file, starts_with(file, 'test/') and file <> 'test/keep.js' as is_ignored, size > 2097152 and not (starts_with(file, 'test/') and file <> 'test/keep.js') as skipped,
@@ -376,9 +439,12 @@ def audit_query(spark: SparkSession) -> DataFrame:
     return audit.query(audit_log(spark), since=F.lit("2024-01-02").cast("timestamp"), decision="bypassed", severity="high").select("idx")
 
 
-@query(f"select idx, previousHash is not distinct from lag(hash) over (order by timestamp) as link_ok from {AUDIT}")
+@query(f"""with e as (
+        select position, json_extract_string(value, '$.hash') as hash, json_extract_string(value, '$.previousHash') as previous, regexp_replace(value, ',"hash":"[0-9a-f]+"\\}}$', '}}') as rest
+        from {fixtures.sql("audit_lines")} where json_valid(value)
+    ) select position, hash = sha256(rest) as hash_ok, previous is not distinct from lag(hash) over (order by position) as link_ok from e""")
 def audit_chain_verify(spark: SparkSession) -> DataFrame:
-    return audit.verify_chain(audit_log(spark)).select("idx", "link_ok")
+    return audit.verify_chain(fixtures.table(spark, "audit_lines")).select("position", "hash_ok", "link_ok")
 
 
 @query(f"""select idx, timestamp || ',' || (case when commitHash = '=cmd' then '''=cmd' else commitHash end) || ',' || (case when contains(files, ',') then '"' || files || '"' else files end)
@@ -612,3 +678,65 @@ def streaming_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = found.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     done.awaitTermination()
     return spark.read.schema(found.schema).parquet(f"{out}/rows").select("doc_id", F.col("line_number").cast("long").alias("line_number"), "rule_id", F.col("match_start").cast("long").alias("match_start"))
+
+
+@query(f"""with w as (select *, content as line, 0 as shift from {ADDED_SQL}), {hits_sql('w', 'commit_hash, file')} select c.commit_hash[1:7] as commit, c.author, c.subject, h.file, h.line_number, h.rule_id, h.match_start,
+    ((epoch_ms(timestamp '2024-02-01 12:00:00') - epoch_ms(c.committed_at::timestamp)) // 86400000)::bigint as days_in_history from h join {fixtures.sql("commits")} c using (commit_hash)""")
+def history_commits(spark: SparkSession) -> DataFrame:
+    commits = fixtures.table(spark, "commits")
+    found = with_commits(scan_history(history.added_lines(commits)), commits, F.lit("2024-02-01T12:00:00Z").cast("timestamp"))
+    return found.select("commit", "author", "subject", "file", F.col("line_number").cast("long").alias("line_number"), "rule_id", F.col("match_start").cast("long").alias("match_start"), "days_in_history")
+
+
+@query(f"""with a as (select * from {ADDED_SQL} join {fixtures.sql("commits")} using (commit_hash)),
+    t as (select file, bool_or(is_remote) as remote, min(committed_at) filter (is_remote) as since from a group by file),
+    s as (select l.id, bool_or(is_remote) as remote from {fixtures.sql("leaks")} l join a on a.file = l.file and contains(a.content, l.secret) group by l.id)
+    select l.id, case when length(l.secret) between 8 and 200 then case when s.remote then 'PUSHED' when s.id is not null then 'COMMITTED' else 'LOCAL' end
+        when t.file is null then 'LOCAL' when t.remote then 'PUSHED' else 'COMMITTED' end as level,
+        case when length(l.secret) between 8 and 200 or t.file is null then 'high' else 'medium' end as confidence, t.since as exposure_since
+    from {fixtures.sql("leaks")} l left join t on t.file = l.file left join s on s.id = l.id""")
+def exposure_in_history(spark: SparkSession) -> DataFrame:
+    """From commits to levels: which secrets others can see, and since when."""
+    commits = fixtures.table(spark, "commits")
+    flags = enrich.history_flags(fixtures.table(spark, "leaks"), commits, history.added_lines(commits))
+    return enrich.exposure(flags.withColumn("is_repo", F.lit(True))).select("id", "level", "confidence", "exposure_since")
+
+
+@query(f"""select count(*)::bigint as rules, count(distinct category)::bigint as categories, count(distinct severity)::bigint as severities, format('{{:.3f}}', avg(confidence)) as avg_confidence,
+    format('{{:.3f}}', avg(detection_rate)) as avg_detection_rate, format('{{:.3f}}', avg(false_positive_rate)) as avg_false_positive_rate from {fixtures.sql("pack_rules")}""")
+def pack_averages(spark: SparkSession) -> DataFrame:
+    return aggregate.pack_averages(fixtures.table(spark, "pack_rules"))
+
+
+@query(f"""select * from (select 'confidence' as list, row_number() over (order by confidence desc, position) as place, id from {fixtures.sql("pack_rules")}
+    union all select 'false_positive_rate', row_number() over (order by false_positive_rate, position), id from {fixtures.sql("pack_rules")}) where place <= 10""")
+def pack_top(spark: SparkSession) -> DataFrame:
+    """The two lists of ten."""
+    return aggregate.pack_top(fixtures.table(spark, "pack_rules"))
+
+
+@query(f"""with f as (select *, replace(upper(rule_id), '-', '_') as name from {fixtures.sql("fix_findings")}), r as (
+        select file, min_by('''' || secret || '''', rule_id) as old_1, max_by('''' || secret || '''', rule_id) as old_2, min(name) as new_1, max(name) as new_2 from f group by file
+    ) select file, replace(replace(content, old_1, 'process.env.' || new_1), old_2, 'process.env.' || new_2) as content from r join {fixtures.sql("fix_files")} using (file)""")
+def fix_all(spark: SparkSession) -> DataFrame:
+    """Two secrets of one line both move."""
+    plan = rewrite.fix_plan(fixtures.table(spark, "fix_findings"))
+    return rewrite.rewrite_files(fixtures.table(spark, "fix_files"), plan).select("file", "content")
+
+
+@query(f"""with w as ({RULE_LINES}), {hits_sql()} select '{{"filesScanned":1,"filesWithFindings":' || count(distinct file) || ',"findingsCount":' || count(*) || ',"severityCounts":{{"critical":' || count(*) filter (severity = 'critical')
+    || ',"high":' || count(*) filter (severity = 'high') || ',"medium":' || count(*) filter (severity = 'medium') || ',"low":' || count(*) filter (severity = 'low') || '}}}}' as json from d""")
+def report_summary(spark: SparkSession) -> DataFrame:
+    return report.summary(fixture_findings(spark), files_scanned=1)
+
+
+@query(f"""with w as ({RULE_LINES}), {hits_sql()} select count(*)::bigint as results, count(distinct rule_id)::bigint as rules, min(rule_id) as first_rule, max(line_number)::bigint as last_line from d""")
+def sarif_document(spark: SparkSession) -> DataFrame:
+    """The whole file, put together and parsed again."""
+    lines = report.sarif_document(fixture_findings(spark), "siftwell", "1")
+    text = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    parsed = text.select(F.from_json("text", """runs array<struct<tool:struct<driver:struct<rules:array<struct<id:string>>>>,
+        results:array<struct<ruleId:string,locations:array<struct<physicalLocation:struct<region:struct<startLine:bigint>>>>>>>>""").alias("j")).select(F.get("j.runs", F.lit(0)).alias("run"))
+    places = F.transform("run.results", lambda r: F.get(r["locations"], F.lit(0))["physicalLocation"]["region"]["startLine"])
+    return parsed.select(
+        F.size("run.results").cast("long").alias("results"), F.size("run.tool.driver.rules").cast("long").alias("rules"), F.array_min("run.tool.driver.rules.id").alias("first_rule"), F.array_max(places).alias("last_line"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,11 +32,15 @@ def sarif_results(findings: DataFrame) -> DataFrame:
     )
 
 
-def sarif_json(findings: DataFrame) -> DataFrame:
+def sarif_json_column() -> Column:
+    """A result as JSON, of the columns of sarif_results."""
     region = F.struct("startLine", "startColumn")
     place = F.struct(F.struct(F.struct(F.col("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
-    result = F.struct("ruleId", "level", F.struct(F.col("message").alias("text")).alias("message"), F.array(place).alias("locations"))
-    return sarif_results(findings).select(F.to_json(result).alias("json"))
+    return F.to_json(F.struct("ruleId", "level", F.struct(F.col("message").alias("text")).alias("message"), F.array(place).alias("locations")))
+
+
+def sarif_json(findings: DataFrame) -> DataFrame:
+    return sarif_results(findings).select(sarif_json_column().alias("json"))
 
 
 def sarif_rules(findings: DataFrame) -> DataFrame:
@@ -51,15 +55,37 @@ def annotations(findings: DataFrame, github: bool = True) -> DataFrame:
 
 
 def within_bytes(findings: DataFrame, limit: int = 1_024_000) -> DataFrame:
-    """The most severe findings whose JSON fits in ``limit`` bytes. What can fit is bounded by the limit, so rows beyond
-    limit / shortest row are cut by a top-k before the running sum."""
+    """The most severe findings whose JSON fits in ``limit`` bytes. A row takes three bytes at least, ``{}`` and a line end, so no more than a third of
+    the limit can fit: a top-k before the running sum."""
     rows = json_lines(findings).join(findings.select("file", "line_number", "severity").distinct(), ["file", "line_number"]) if "json" not in findings.columns else findings
     order = [T.severity_rank(F.col("severity")).desc(), F.col("file"), F.col("line_number"), F.col("json")]
-    top = rows.orderBy(*order).limit(limit // 64)
+    top = rows.orderBy(*order).limit(limit // 3)
     total = F.sum(F.octet_length("json") + 1).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return top.withColumn("bytes", total).filter(F.col("bytes") <= limit)
 
 
+def summary(findings: DataFrame, files_scanned: int = 0) -> DataFrame:
+    """One row: the head of a JSON report, totals and counts by severity."""
+    n = lambda s: F.count_if(F.col("severity") == s).alias(s)
+    counts = findings.agg(F.count("*").alias("total"), F.count_distinct("file").alias("files"), *map(n, T.SEVERITIES))
+    return counts.select(F.to_json(F.struct(F.lit(files_scanned).alias("filesScanned"), F.col("files").alias("filesWithFindings"), F.col("total").alias("findingsCount"), F.struct(*T.SEVERITIES).alias("severityCounts"))).alias("json"))
+
+
+def sarif_document(findings: DataFrame, tool: str, version: str) -> DataFrame:
+    """position, line: the lines of a whole SARIF file with one run, ordered by position: the head with the rules that were hit, one result a line, the end."""
+    head = sarif_rules(findings).select(F.struct("id", F.struct(F.col("name").alias("text")).alias("shortDescription"), F.struct(T.sarif_level(F.col("severity")).alias("level")).alias("defaultConfiguration")).alias("rule"))
+    driver = F.to_json(F.struct(F.lit(tool).alias("name"), F.lit(version).alias("version"), F.sort_array(F.collect_list("rule")).alias("rules")))
+    before = F.concat(F.lit('{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{"tool":{"driver":'), driver, F.lit('},"results":['))
+    head = head.agg(before.alias("line")).select(F.lit("0").alias("position"), "line")
+    place = F.concat(F.lit("1"), F.col("uri"), F.lit(" "), F.lpad("startLine", 10, "0"), F.lpad("startColumn", 10, "0"), F.lit(" "), "ruleId")
+    body = sarif_results(findings).withColumn("position", place)
+    body = body.select("position", sarif_json_column().alias("line"))
+    last = body.agg(F.max(F.struct("position", "line")).alias("m")).select("m.position", F.col("m.line").alias("last"))
+    body = body.join(F.broadcast(last), "position", "left").select("position", F.when(F.col("last").eqNullSafe(F.col("line")), F.col("line")).otherwise(F.concat("line", F.lit(","))).alias("line"))
+    end = findings.sparkSession.range(1).select(F.lit("2").alias("position"), F.lit("]}]}").alias("line"))
+    return head.unionByName(body).unionByName(end)
+
+
 def html_rows(findings: DataFrame) -> DataFrame:
     cells = [T.escape_html(F.col(c).cast("string")) for c in ("severity", "rule_name", "file", "line_number")]
     return findings.select("file", "line_number", F.concat(F.lit("<tr><td>"), F.concat_ws("</td><td>", *cells), F.lit("</td></tr>")).alias("html"))

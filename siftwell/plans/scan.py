@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
@@ -12,8 +12,8 @@ from siftwell.sources.config import ScanConfig
 
 
 def candidates(files: DataFrame, config: ScanConfig = ScanConfig(), keys: tuple[str, ...] = ("file",)) -> DataFrame:
-    """Every finding before dedup and policy. files: key columns (file among them) and content. Stateless per row, but for
-    blocks of base64 lines; with ``multiline`` off it works on streams."""
+    """Every finding before dedup and policy. files: key columns (file among them) and content. Stateless per row, so it
+    works on streams."""
     kept = files.filter(~config.ignore.ignores_file(F.col("file")))
     parts = windows(split_lines(kept, keys)).filter(~F.col("line").rlike(config.inline_ignore))
     threshold = T.entropy_threshold(F.col("file"), config.entropy_threshold)
@@ -37,3 +37,9 @@ def scan_history(added: DataFrame, config: ScanConfig = ScanConfig()) -> DataFra
     lines = lines.filter(~F.col("line").rlike(config.inline_ignore))
     found = detect.pattern_findings(lines).unionByName(detect.entropy_findings(lines, F.lit(T.THRESHOLD_DIRECT)))
     return found.select("commit_hash", "file", *detect.FOUND)
+
+
+def with_commits(found: DataFrame, commits: DataFrame, now: Column) -> DataFrame:
+    """Findings of scan_history with their commit: its short hash, author, subject and date, and for how many days it has been there."""
+    rows = commits.select("commit_hash", "author", "subject", F.to_timestamp("committed_at").alias("commit_date"))
+    return found.join(rows, "commit_hash").withColumns({"commit": F.substring("commit_hash", 1, 7), "days_in_history": T.days_ago(F.col("commit_date"), now)})

@@ -87,6 +87,12 @@ class IgnoreSpec:
         hit = lambda patterns: path.rlike("|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
         return hit(self.files) & ~hit(self.negations)
 
+    def ignores_tree(self, path: Column) -> Column:
+        """Whether a file or one of the folders that hold it is ignored: what is in an ignored folder isn't visited."""
+        parts = F.split(path, "/")
+        folders = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+        return F.exists(folders, self.ignores_file)
+
     def ignores_finding(self, rule_id: Column, path: Column) -> Column:
         out = F.lit(False)
         for own, pattern in self.rules:
@@ -96,7 +102,7 @@ class IgnoreSpec:
 
 @dataclass(frozen=True)
 class ScanConfig:
-    """``ignore_marker``: the word of a trailing comment (``// word`` or ``* word: reason``) that silences its line; set
+    """``ignore_marker``: the word of a trailing comment (``// word`` or ``/* word: reason */``) that silences its line; set
     it to the word that the files already use."""
 
     entropy_threshold: float | None = None
@@ -127,7 +133,7 @@ class ScanConfig:
 
     @property
     def inline_ignore(self) -> str:
-        return rf"[/*]\s*{re.escape(self.ignore_marker)}(?::([^*]*))?\s*(?:\*/)?\s*\z"
+        return rf"/[/*]\s*{re.escape(self.ignore_marker)}(?::\s*.+?)?\s*(?:\*/)?\s*\z"
 
 
 def custom_rules(rows: list[dict]) -> tuple[tuple[Rule, ...], list[str]]:

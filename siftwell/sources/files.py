@@ -10,9 +10,21 @@ from siftwell.sources.config import ScanConfig
 
 
 def read_folder(spark: SparkSession, path: str, config: ScanConfig = ScanConfig()) -> DataFrame:
-    """file, content (binary), size, each file once. The size limit reaches the reader, which then doesn't open larger files."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return raw.select(F.col("path").alias("file"), F.when(F.col("length") <= config.max_file_size, F.col("content")).alias("content"), F.col("length").alias("size")).dropDuplicates(["file"])
+    """file (relative to ``path``), content (binary), size, error: each file of the folder once, without what is ignored or in an ignored folder.
+
+    The size limit is a filter of the reader, which doesn't open larger files; these are listed without content. A path that isn't
+    there is one row with an error."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return spark.createDataFrame([(path, None, None, "File not found")], "file string, content binary, size long, error string")
+    base = fs.makeQualified(root).toString().rstrip("/")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    whole, large = found.filter(F.col("length") <= config.max_file_size), found.filter(F.col("length") > config.max_file_size)
+    name = F.when(F.col("path").startswith(base + "/"), F.substring("path", len(base) + 2, 1 << 20)).otherwise(F.substring_index("path", "/", -1))
+    rows = lambda df, content: df.select(name.alias("file"), content.alias("content"), F.col("length").alias("size"), F.lit(None).cast("string").alias("error"))
+    listed = rows(whole, F.col("content")).unionByName(rows(large, F.lit(None).cast("binary")))
+    return listed.filter(~config.ignore.ignores_tree(F.col("file")))
 
 
 def is_binary(content: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +10,8 @@ from siftwell.sources.config import ScanConfig
 
 
 def scan_stream(files: DataFrame, config: ScanConfig = ScanConfig(), keys: tuple[str, ...] = ("file",)) -> DataFrame:
-    """Findings before dedup. Lines are taken one by one: secrets across lines need a file's lines together and are left to batches."""
-    return candidates(files, replace(config, multiline=False), keys)
+    """Findings before dedup, secrets across a file's lines among them."""
+    return candidates(files, config, keys)
 
 
 def windowed_counts(findings: DataFrame, at: str, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:

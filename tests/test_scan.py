@@ -1,3 +1,5 @@
+import json
+import os
 import random
 import re
 
@@ -5,12 +7,12 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
 from siftwell.functions.catalog import PATTERN_RULES
-from siftwell.operators import detect, multiline, rewrite
+from siftwell.operators import audit, detect, multiline, rewrite
 from siftwell.operators.lines import OVERLAP, WINDOW, split_lines, windows
 from siftwell.plans import fixtures, report
 from siftwell.plans.scan import scan
 from siftwell.sources import files as file_source
-from siftwell.sources import history
+from siftwell.sources import audit_log, history
 from siftwell.sources.config import IgnoreSpec, ScanConfig, custom_rules
 from siftwell.streaming.stream import windowed_counts
 
@@ -107,9 +109,53 @@ def test_folder_source(spark, tmp_path):
     (tmp_path / "odd").write_bytes(b"\xff " + KEY.encode())
     config = ScanConfig(max_file_size=4096)
     raw = file_source.read_folder(spark, str(tmp_path), config)
-    status = {r["file"].rsplit("/", 1)[1]: r for r in file_source.file_status(raw, config).collect()}
+    status = {r["file"]: r for r in file_source.file_status(raw, config).collect()}
     assert status["big.txt"]["skip_reason"] == "File size 4.9 KB exceeds limit 4 KB" and status["bin"]["is_binary"]
-    assert {r["file"].rsplit("/", 1)[1] for r in scan(file_source.texts(raw, config), config).collect()} == {"a.txt", "odd"}
+    assert {r["file"] for r in scan(file_source.texts(raw, config), config).collect()} == {"sub/a.txt", "odd"}
+    assert {r["file"]: r["content"] is None for r in raw.collect()} == {"sub/a.txt": False, "big.txt": True, "bin": False, "odd": False}
+    assert "PushedFilters: [LessThanOrEqual(length,4096)]" in raw._jdf.queryExecution().executedPlan().toString()
+    for ignored in ("sub", "sub/", "s*", "sub/**", "**/a.txt"):  # what is in an ignored folder isn't visited
+        names = {r["file"] for r in file_source.read_folder(spark, str(tmp_path), ScanConfig(ignore=IgnoreSpec.parse(ignored))).collect()}
+        assert names == {"big.txt", "bin", "odd"}, ignored
+    assert [(r["file"], r["error"]) for r in file_source.read_folder(spark, str(tmp_path / "none")).collect()] == [(str(tmp_path / "none"), "File not found")]
+
+
+def test_audit_log_is_chained_and_rotates(spark, tmp_path):
+    path = str(tmp_path / "audit.jsonl")
+    find = [{"ruleId": "npm-token", "severity": "high", "match": "npm_abcdefgh"}, {"ruleId": "x", "match": "short"}]
+    lines = [audit_log.append(path, {"findings": find, "filesScanned": ["ä.js"], "userDecision": "passed", "severityCounts": {"high": 1}}) for _ in range(3)]
+    checked = lambda: audit.verify_chain(audit_log.read_lines(spark, path)).orderBy("position").collect()
+    assert [(r["entry"], r["hash_ok"], r["link_ok"], r["errors"]) for r in checked()] == [(i, True, True, []) for i in range(3)]
+    assert [f["match"] for f in json.loads(lines[0])["findings"]] == ["npm_****", "***"]
+    with open(path, "w", encoding="utf-8") as log:  # a count changed, another order of keys, a line cut short
+        other = json.loads(lines[1])
+        log.write(lines[0].replace('"findingCount":2', '"findingCount":1') + "\n" + json.dumps({"hash": other.pop("hash"), **other}, separators=(",", ":"), ensure_ascii=False) + "\n{\"cut\n" + lines[2] + "\n")
+    assert [r["errors"] for r in checked()] == [["Hash mismatch"], [], []]
+    size = os.path.getsize(path)
+    audit_log.append(path, {}, limit=size + 1)
+    first = audit_log.append(path, {"userDecision": "new"}, limit=size)
+    audit_log.append(path, {}, limit=1)
+    assert json.loads(first)["previousHash"] is None and sorted(os.listdir(tmp_path)) == ["audit.jsonl", "audit.jsonl.1", "audit.jsonl.2"]
+    assert open(path + ".1", encoding="utf-8").read() == first + "\n"
+
+
+def test_ignore_comments_take_a_whole_comment_sign(spark):
+    lines = ["x // scan-ignore", "x /* scan-ignore */", "https://h/scan-ignore", "a * scan-ignore", "# scan-ignore", "x // scan-ignore: a * b", "x // scan-ignore later"]
+    rows = spark.createDataFrame(list(enumerate(lines)), "id int, line string").select("id", F.col("line").rlike(ScanConfig().inline_ignore).alias("hit"))
+    assert [r["hit"] for r in rows.orderBy("id").collect()] == [True, True, False, False, False, True, False]
+
+
+def test_blocks_of_many_lines(spark):
+    line = "aB3dE6gH9jK2mN5pQ8sT1vW4"
+    text = "\n".join(["key =", *[line] * 15_000, "end", line, line])  # 375 kB
+    [r] = multiline.base64_blocks(files(spark, [("a", text), ("b", f"{line}\n\t{line} \n{line} x\n{line}"), ("c", None)])).collect()
+    assert (r["line_number"], r["context"], r["text"] == line * 15_000) == (2, "key =", True)
+
+
+def test_example_and_ignore_files():
+    assert rewrite.env_example(None, ["A", "B_NEW", "B"]) == "# Copy to .env and fill in real values\n\nA=\nB=\n"
+    assert rewrite.env_example("A=1\nC=", ["A", "D"]) == "A=1\nC=\nD=\n"
+    assert rewrite.gitignore("") == ".env\n" and rewrite.gitignore("x") == "x\n.env\n" and rewrite.gitignore(" .env \n.env.local") == " .env \n.env.local"
 
 
 def test_diff_quirks(spark):
@@ -154,6 +200,7 @@ def test_windowed_counts(spark):
 def test_plan_has_no_python_and_no_cross_join(spark):
     plan = scan(files(spark, [("a", KEY)]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+    assert plan.count("Exchange") == 1  # dedup, over findings
 
 
 def test_files_are_rewritten_with_imports(spark):
