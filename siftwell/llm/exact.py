@@ -1,10 +1,11 @@
 """Exact dedup by Patricia tries.
 
 Each task first merges its own rows in a trie, so a text that a third of all rows share leaves a task
-once, whatever its number of copies. What is left is dealt by length and content hash, sorted, and each such
-partition inserts full byte strings into a compressed radix trie whose terminal nodes hold the owner
+once, whatever its number of copies. What is left is dealt by length and content hash: each range of hashes has a
+compressed radix trie, which full byte strings are inserted into and whose terminal nodes hold the owner
 (``keep``: the largest or smallest doc_id). Only whole byte strings decide; the hash merely deals. A trie
-beyond its budget spills its largest subtree to a file of the task and takes that up afterwards.
+beyond its budget spills its largest subtrees; Spark writes their rows to the shared folder and deals them anew, until none are left.
+A string larger than the budget is a trie of its own.
 
 Defined results: a null text is empty; a null doc_id loses against any other; of rows that tie on the
 owner's doc_id exactly one is kept; an empty table gives none. Other columns are ignored.
@@ -13,8 +14,6 @@ owner's doc_id exactly one is kept; an empty table gives none. Other columns are
 from __future__ import annotations
 
 import hashlib
-import pickle
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -47,17 +46,21 @@ def _shared(a: bytes, b: bytes) -> int:
     return low if a[low : low + 1] != b[low : low + 1] else low + 1
 
 
+#: In place of a child whose subtree was spilled.
+_GONE = Node(b"")
+
+
 class PatriciaTrie:
-    """Byte strings with a value each. ``merge(old, new)`` joins the values of equal strings."""
+    """Byte strings with a value each. ``merge(old, new)`` joins the values of equal strings.
+
+    Beyond ``budget`` bytes the largest subtrees below the first branching go to ``spilled``, down to half of the budget; what is inserted below
+    them later follows. Equal strings thus stay or go together. One part stays always, so a single string never goes."""
 
     def __init__(self, merge: Callable, budget: int = 64 << 20):
         self.root, self.merge, self.budget, self.bytes = Node(b""), merge, budget, 0
-        self.spilled: dict[int, object] = {}
+        self.spilled: list[tuple[bytes, object]] = []
 
     def insert(self, key: bytes, value: object) -> None:
-        if key and key[0] in self.spilled:
-            pickle.dump((key, value), self.spilled[key[0]])
-            return
         node, at = self.root, 0
         while at < len(key):
             child = node.children.get(key[at])
@@ -66,6 +69,9 @@ class PatriciaTrie:
                 self.bytes += len(child.edge) + 200
                 node, at = child, len(key)
                 break
+            if child is _GONE:
+                self.spilled.append((key, value))
+                return
             edge = child.edge
             if key.startswith(edge, at):
                 node, at = child, at + len(edge)
@@ -78,41 +84,57 @@ class PatriciaTrie:
             self.bytes += 200
             node, at = upper, at + cut
         node.value = value if node.value is None else self.merge(node.value, value)
-        if self.bytes > self.budget and len(self.root.children) > 0:
+        if self.bytes > self.budget:
             self._spill()
 
-    def _walk(self, node: Node, prefix: bytes) -> Iterator[tuple[bytes, object]]:
+    @staticmethod
+    def _walk(node: Node, prefix: bytes) -> Iterator[tuple[bytes, Node]]:
         stack = [(node, prefix)]
         while stack:
             node, prefix = stack.pop()
-            if node.value is not None:
-                yield prefix, node.value
-            stack += [(child, prefix + child.edge) for child in node.children.values()]
+            yield prefix, node
+            stack += [(child, prefix + child.edge) for child in node.children.values() if child is not _GONE]
+
+    @staticmethod
+    def _size(node: Node) -> int:
+        total, stack = 0, [node]
+        while stack:
+            node = stack.pop()
+            total += len(node.edge) + 200
+            stack += [child for child in node.children.values() if child is not _GONE]
+        return total
 
     def _spill(self) -> None:
-        size = lambda n: sum(len(x) for x, _ in self._walk(n, n.edge))
-        first = max(self.root.children, key=lambda b: size(self.root.children[b]))
-        out = self.spilled[first] = tempfile.TemporaryFile()
-        gone = self.root.children.pop(first)
-        for row in self._walk(gone, gone.edge):
-            pickle.dump(row, out)
-            self.bytes -= len(row[0]) + 200
-        self.bytes = max(0, self.bytes)
+        node, prefix = self.root, b""
+        while True:
+            held = {first: child for first, child in node.children.items() if child is not _GONE}
+            if len(held) != 1 or node.value is not None:
+                break
+            node = next(iter(held.values()))
+            prefix += node.edge
+        sizes = {first: self._size(child) for first, child in held.items()}
+        order = sorted(sizes, key=sizes.__getitem__, reverse=True)
+        for first in order if node.value is not None else order[:-1]:
+            if self.bytes <= self.budget // 2:
+                break
+            gone = node.children[first]
+            self.spilled += [(key, n.value) for key, n in self._walk(gone, prefix + gone.edge) if n.value is not None]
+            node.children[first] = _GONE
+            self.bytes -= sizes[first]
+
+    def resident(self) -> Iterator[tuple[bytes, object]]:
+        return ((key, n.value) for key, n in self._walk(self.root, b"") if n.value is not None)
 
     def items(self) -> Iterator[tuple[bytes, object]]:
-        yield from self._walk(self.root, b"")
-        for first, held in self.spilled.items():
-            again = PatriciaTrie(self.merge, self.budget)
-            held.seek(0)
-            while True:
-                try:
-                    key, value = pickle.load(held)
-                except EOFError:
-                    break
-                again.insert(key[1:], value)
-            held.close()
-            for key, value in again.items():
-                yield bytes([first]) + key, value
+        """All strings; what was spilled takes tries of its own, one after another."""
+        trie = self
+        while True:
+            yield from trie.resident()
+            if not (rows := trie.spilled):
+                return
+            trie = PatriciaTrie(self.merge, self.budget)
+            for key, value in rows:
+                trie.insert(key, value)
 
 
 def _better(a: int | None, b: int | None, largest: bool) -> bool:
@@ -129,6 +151,13 @@ _LOCAL = pa.schema([
 _LOCAL_DDL = "is_text boolean, rep long, doc_id long, n long, is_owner boolean, sha256 string, length long, hash long, content binary"
 
 
+_MERGED = pa.schema([
+    ("done", pa.bool_()), ("doc_id", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("reps", pa.list_(pa.int64())),
+    ("length", pa.int64()), ("hash", pa.int64()), ("content", pa.binary()),
+])
+_MERGED_DDL = "done boolean, doc_id long, rep long, n long, reps array<long>, length long, hash long, content binary"
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -175,28 +204,55 @@ def owners(documents: DataFrame, keep: str = "largest", normalise: Callable[[str
                     trie, rows = PatriciaTrie(extend, 1 << 62), 0
         yield from flush(trie)
 
+    def join(a: list, b: list) -> list:
+        """best doc_id, its rep, size, reps"""
+        if _better(b[0], a[0], largest):
+            a[:2] = b[:2]
+        a[2] += b[2]
+        a[3].extend(b[3])
+        return a
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("rep", pa.int64()), ("keep_id", pa.int64()), ("keep_rep", pa.int64()), ("group_size", pa.int64())])
-        join = lambda a, b: (b[0] if _better(b[0][0], a[0][0], largest) else a[0], a[1] + b[1], a[2] + b[2])
         out: list[tuple] = []
-        key, trie = None, None
+        size = 0
+
+        def rows(found: Iterator[tuple[bytes, list]], done: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal out, size
+            for content, (doc, rep, n, reps) in found:
+                out.append((done, doc, rep, n, reps, None if done else len(content), None if done else signed(xxhash.xxh64_intdigest(content)), None if done else content))
+                size += 0 if done else len(content)
+                if len(out) >= 10_000 or size >= 1 << 23:
+                    yield _batch(out, _MERGED)
+                    out, size = [], 0
+
+        bucket, trie = None, PatriciaTrie(join, budget)
         for batch in batches:
-            for rep, doc, n, length, code, content in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
-                if key != (length, code):
-                    out += [(r, best[0], best[1], size) for _, (best, size, reps) in (trie.items() if trie else ()) for r in reps]
-                    key, trie = (length, code), PatriciaTrie(join, budget)
-                    if len(out) >= 10_000:
-                        yield _batch(out, schema)
-                        out = []
-                trie.insert(content, ((doc, rep), n, [rep]))
-        out += [(r, best[0], best[1], size) for _, (best, size, reps) in (trie.items() if trie else ()) for r in reps]
+            for own, doc, rep, n, reps, content in zip(*(batch.column(c).to_pylist() for c in range(5)), batch.column(5), strict=True):
+                if own != bucket:
+                    yield from rows(trie.resident(), True)
+                    bucket, trie = own, PatriciaTrie(join, budget)
+                trie.insert(content.as_py(), [doc, rep, n, reps])
+                if trie.spilled:
+                    yield from rows(trie.spilled, False)
+                    trie.spilled = []
+        yield from rows(trie.resident(), True)
         if out:
-            yield _batch(out, schema)
+            yield _batch(out, _MERGED)
 
     rows = stage(documents.select("doc_id", "text").mapInArrow(local, _LOCAL_DDL), "exact-local")
-    texts = rows.filter("is_text").select("rep", "doc_id", "n", "length", "hash", "content")
-    dealt = texts.repartition("length", "hash").sortWithinPartitions("length", "hash")
-    found = stage(dealt.mapInArrow(merge, "rep long, keep_id long, keep_rep long, group_size long"), "exact-owners")
+    left = rows.filter("is_text").select("doc_id", "rep", "n", F.array("rep").alias("reps"), "length", "hash", "content")
+    found, number = None, 0
+    while True:
+        # a trie for each range of hashes, half of the budget on the average
+        total = left.agg(F.sum(F.col("length") + 200)).first()[0] or 0
+        buckets = max(1, 2 * total // budget)
+        dealt = left.withColumn("bucket", F.pmod(F.xxhash64(F.lit(number), "length", "hash"), F.lit(buckets))).repartition("bucket").sortWithinPartitions("bucket")
+        merged = stage(dealt.select("bucket", "doc_id", "rep", "n", "reps", "content").mapInArrow(merge, _MERGED_DDL), f"exact-owners-{number}")
+        done = merged.filter("done").select(F.col("doc_id").alias("keep_id"), F.col("rep").alias("keep_rep"), F.col("n").alias("group_size"), F.explode("reps").alias("rep"))
+        found = done if found is None else found.unionByName(done)
+        left, number = merged.filter("not done").drop("done"), number + 1
+        if left.isEmpty():
+            break
     members = rows.filter("not is_text").select("doc_id", "rep", "is_owner", "sha256")
     return members.join(found, "rep").select(
         "doc_id", "keep_id", "group_size", (F.col("is_owner") & (F.col("keep_rep") == F.col("rep"))).alias("kept"), F.col("sha256").alias("text_sha256")
