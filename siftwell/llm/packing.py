@@ -3,9 +3,9 @@
 Documents become token pieces; pieces are dealt to partitions by hash, each partition packs its own
 by best-fit decreasing, and dual-feasible functions give a lower bound for its number of bins. A
 partition whose bins meet the bound is certified: only its emptiest bin is left open. A partition
-with a gap opens every bin that has room. Opened documents are exchanged - regrouped over fewer
-partitions - and packed again; a group keeps its new packing only if that takes fewer bins. This goes on
-until one group has been tried. What moves in each round is a few bins a partition, not the corpus.
+with a gap opens every bin that has room. Opened documents are exchanged - regrouped over half as many
+partitions - and packed again; a group keeps its new packing only if that takes fewer bins, and its bins stay open as long
+as it has a gap. This goes on until one group has been tried (``pack`` says what bounds a group's size).
 
 Defined results: a null or empty text has only the end token; a piece as long as a sequence fills one
 alone; rows that share a doc_id, and repeated rows, are packed each on its own; an empty table gives none.
@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siftwell.llm.common import stage, worker_state
 
@@ -179,23 +180,26 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
 
 
 def _pack_group(rows: dict[str, np.ndarray], number: int, group: int, capacity: int) -> dict[str, np.ndarray]:
-    """New sequence, offset and open for a group's rows; the old ones if they take no more bins."""
-    lengths = rows["length"]
+    """Sequence, offset and open for a group's rows. The old packing stays if the new one takes no fewer bins; either way, a
+    group whose bins are as few as the bound has its emptiest bin open, another one every bin with room."""
+    lengths, old = rows["length"], rows["sequence_id"]
     bins, offsets, room = best_fit_decreasing(lengths, capacity)
-    old = np.unique(rows["sequence_id"])
-    if number and len(room) >= len(old):
-        return {"sequence_id": rows["sequence_id"], "offset": rows["offset"], "open": np.zeros(len(lengths), bool)}
-    certified = len(room) == lower_bound(lengths, capacity)
-    slack = np.array(room)
+    slack, sequence = np.array(room), (np.int64(number) << np.int64(57)) | (np.int64(group) << np.int64(26)) | bins
+    if number:
+        own, old_bins = np.unique(old, return_inverse=True)
+        if len(own) <= len(room):
+            bins, offsets, sequence = old_bins, rows["offset"], old
+            slack = capacity - np.bincount(bins, weights=lengths).astype(np.int64)
     open_bins = slack > 0
-    if certified:
-        open_bins = np.arange(len(slack)) == int(slack.argmax()) if slack.max() else open_bins
-    sequence = (np.int64(number) << np.int64(57)) | (np.int64(group) << np.int64(26)) | bins
+    if len(slack) == lower_bound(lengths, capacity) and slack.max() > 0:
+        open_bins = np.arange(len(slack)) == int(slack.argmax())
     return {"sequence_id": sequence, "offset": offsets, "open": open_bins[bins]}
 
 
 def _packer(number: int, capacity: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
+        # rows come in any order: ties are packed by id
+        table = table.sort_by([(c, "ascending") for c in ("doc_id", "piece") if c in table.column_names])
         got = {c: table.column(c).to_numpy() for c in ("length", "sequence_id", "offset")}
         new = _pack_group(got, number, table.column("group")[0].as_py(), capacity)
         for c in ("sequence_id", "offset"):
@@ -205,29 +209,45 @@ def _packer(number: int, capacity: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = 8192, rounds: int = 16) -> DataFrame:
+def _dealt(rows: DataFrame, groups: int, per_partition: int) -> DataFrame:
+    """``rows`` with their group, by a hash of all columns, so that files and cores don't matter. Only where rows that are equal in every
+    column fill a group several times are they dealt on, by their place."""
+    columns = rows.columns
+    rows = rows.withColumn("group", F.pmod(F.xxhash64(*columns), F.lit(groups)))
+    full = rows.groupBy("group").agg(F.ceil(F.count("*") / per_partition).alias("parts")).filter("parts > 4")
+    full = stage(full.withColumn("first", F.sum("parts").over(Window.orderBy("group")) - F.col("parts")), "full-groups")
+    if full.isEmpty():
+        return rows
+    some = F.pmod(F.monotonically_increasing_id(), F.col("parts"))
+    return rows.join(full, "group", "left").withColumn("group", F.when(F.col("parts").isNull(), F.col("group")).otherwise(groups + F.col("first") + some)).drop("parts", "first")
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = 8192, most: int | None = None) -> DataFrame:
     """``pieces`` (doc_id, piece, length and more) with sequence_id and offset.
 
-    ``per_partition``: pieces that one partition packs, about; the result hardly depends on it, since
-    partitions exchange what doesn't fit. ``rounds`` of exchange at most (fewer are needed)."""
+    ``per_partition``: pieces that one partition packs, about. What stays open is exchanged among half as many groups each round, until
+    one has been tried or a group holds ``most`` pieces (32 partitions), and then once more in other groups; so a
+    task's memory is bounded, and the result hardly depends on ``per_partition``."""
     columns = pieces.columns
     rows = stage(pieces, "pieces")
-    n = rows.count()
-    groups = max(1, math.ceil(n / per_partition))
-    key = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups))
-    rows = rows.withColumns({"group": key, "sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
+    groups = max(1, math.ceil(rows.count() / per_partition))
+    most = most or 32 * per_partition
+    rows = _dealt(rows, groups, per_partition).withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", open boolean"
     done: list[DataFrame] = []
-    for number in range(rounds):
+    number, last = 0, groups == 1
+    while True:
         packed = stage(rows.groupBy("group").applyInArrow(_packer(number, capacity), schema), f"packed-{number}")
-        fewer = math.ceil(packed.filter("open").count() / per_partition)
-        if groups == 1 or not 0 < fewer < groups or number + 1 == rounds:
+        n_open = 0 if last else packed.filter("open").count()
+        if not n_open:
             done.append(packed)
             break
         done.append(packed.filter(~F.col("open")))
-        groups = fewer
+        fewer = max(1, math.ceil(n_open / most), min(groups // 2, math.ceil(n_open / per_partition)))
+        last = fewer == 1 or fewer >= groups
+        groups, number = fewer, number + 1
         # bins stay together, so that a group's new packing can be held against the old one
-        rows = packed.filter("open").drop("open").withColumn("group", F.pmod(F.xxhash64("sequence_id"), F.lit(groups)))
+        rows = packed.filter("open").drop("open").withColumn("group", F.pmod(F.xxhash64(F.lit(number), "sequence_id"), F.lit(groups)))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
