@@ -16,28 +16,27 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 KINDS = ("email", "ip", "card", "phone")
-LONGEST = 14
-_REACH = 48
+#: Tokens and code points that an entity has at most.
+LONGEST, LONGEST_CHARS = 14, 320
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+_EMAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_NUMBER = re.compile(r"[0-9]+")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_DIGIT = re.compile(r"[0-9]")
-_DIGITS_ON = re.compile(r"[0-9 ().+-]*")
-_EMAIL_ON = re.compile(r"[A-Za-z0-9._%+@-]*")
-_EMAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+@-")
-_DIGIT_CHARS = frozenset("0123456789 ().+-")
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\S")
-_ANCHOR = re.compile(r"[0-9@]|\(at\)|\[at\]")
+_ANCHOR = re.compile(r"[0-9]+|@|\(at\)|\[at\]")
 
 
 def luhn(digits: str) -> bool:
@@ -52,37 +51,38 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
-def _runs(text: str, first: Iterator[int], chars: frozenset, on: re.Pattern) -> Iterator[tuple[int, int]]:
-    """Maximal runs of ``chars`` around the given places. A pattern over such characters only matches in
-    a run, so searching runs finds what searching the text would."""
-    done = 0
-    for p in first:
-        if p < done:
-            continue
-        start = p
-        while start > done and text[start - 1] in chars:
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Each match holds one at-sign and starts in the run of characters before it, so the at-signs are gone through in order."""
+    free = 0
+    for m in re.finditer("@", text):
+        at = start = m.start()
+        while start > free and text[start - 1] in _EMAIL_CHARS:
             start -= 1
-        done = on.match(text, p).end()
-        yield start, done
+        if start < at and (domain := _DOMAIN.match(text, at + 1)):
+            free = domain.end()
+            yield start, free
+
+
+def _quads(text: str) -> Iterator[tuple[int, int]]:
+    """Of numbers joined by single points, four after four."""
+    for m in _DOTTED.finditer(text):
+        ends = [x.end() for x in _NUMBER.finditer(text, m.start(), m.end())]
+        begins = [m.start(), *(e + 1 for e in ends)]
+        yield from ((begins[i], ends[i + 3]) for i in range(0, len(ends) - 3, 4))
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
-    """(start, kind, end) by start, then kind as listed."""
-    out = []
-    if "@" in text:
-        at = (m.start() for m in re.finditer("@", text))
-        for a, b in _runs(text, at, _EMAIL_CHARS, _EMAIL_ON):
-            out += [(m.start(), "email", m.end()) for m in _EMAIL.finditer(text, a, b)]
-    for a, b in _runs(text, (m.start() for m in _DIGIT.finditer(text)), _DIGIT_CHARS, _DIGITS_ON):
-        for m in _IP.finditer(text, a, b):
-            if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
-                out.append((m.start(), "ip", m.end()))
-        for m in _CARD.finditer(text, a, b):
-            if 14 <= len(d := _digits(m[0])) <= 19 and luhn(d):
-                out.append((m.start(), "card", m.end()))
-        for m in _PHONE.finditer(text, a, b):
-            if 10 <= len(_digits(m[0])) <= 15:
-                out.append((m.start(), "phone", m.end()))
+    """(start, kind, end) by start, then kind as listed; in time linear in the text."""
+    out = [(a, "email", b) for a, b in _emails(text)]
+    for a, b in _quads(text):
+        if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in text[a:b].split(".")):
+            out.append((a, "ip", b))
+    for m in _CARD.finditer(text):
+        if 14 <= len(d := _digits(m[0])) <= 19 and luhn(d):
+            out.append((m.start(), "card", m.end()))
+    for m in _PHONE.finditer(text):
+        if 10 <= len(_digits(m[0])) <= 15:
+            out.append((m.start(), "phone", m.end()))
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[1])))
 
 
@@ -93,15 +93,14 @@ _CUES = {
 }
 
 
-def features(text: str, a: int, b: int, left_word: str) -> list[str]:
-    """Of the whole segment text[a:b]."""
-    s = text[a:b]
+@lru_cache(maxsize=50_000)
+def features(s: str, before: str, after: str, left_word: str) -> tuple[str, ...]:
+    """Of a whole segment, with the characters before and after it."""
     digits = _digits(s)
     shape = re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", "9", s))
     groups = "-".join(str(min(len(x), 9)) for x in re.findall(r"[0-9]+", s))
     out = ["bias", f"shape={shape[:24]}", f"digits={min(len(digits), 20)}", f"groups={groups[:16]}", f"cue={_CUES.get(left_word, '-')}"]
     out.append(f"letters={'a' in shape}")
-    before, after = text[a - 1 : a], text[b : b + 1]
     out.append(f"open={not before or before.isspace()}{before == '('}")
     out.append(f"close={not after or after.isspace()}{after in set('.,;:!?)')}")
     if 13 <= len(digits) <= 19 and "a" not in shape:
@@ -110,13 +109,23 @@ def features(text: str, a: int, b: int, left_word: str) -> list[str]:
         out.append(f"octets={all(int(x) <= 255 for x in s.split('.'))}")
     if re.fullmatch(r"[\w.%+-]+\s?(@|\(at\)|\[at\])\s?[\w-]+(\s?(\.|\(dot\)|\[dot\])\s?[a-z-]{2,})+", s):
         out.append("mailbox")
-    return out
+    return tuple(out)
 
 
-def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, list[str]]]:
+def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, tuple[str, ...]]]:
     """(first token, token after the last, features) of the segments worth scoring."""
     out = []
+    # the next token with a digit or an at-sign: without one among its tokens no segment counts
+    following, last = [0] * len(tokens), len(tokens) + LONGEST
+    digits = [0, *accumulate(b - a if "0" <= text[a] <= "9" else 0 for a, b in tokens)]
+    for i in range(len(tokens) - 1, -1, -1):
+        a, b = tokens[i]
+        if text[a] == "@" or "0" <= text[a] <= "9" or text[a:b] == "at":
+            last = i
+        following[i] = last
     for i, (a, _) in enumerate(tokens):
+        if following[i] - i >= LONGEST:
+            continue
         if not (text[a].isalnum() or text[a] in "+("):
             continue
         if a and text[a - 1].isalnum() and text[a].isalnum():
@@ -130,12 +139,13 @@ def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int,
             b = tokens[j - 1][1]
             if j > i + 1 and b - tokens[j - 2][1] > 0 and tokens[j - 1][0] - tokens[j - 2][1] > 1:
                 break
-            if not text[b - 1].isalnum() or text[b : b + 1].isalnum():
+            if b - a > LONGEST_CHARS:
+                break
+            if j <= following[i] or not text[b - 1].isalnum() or text[b : b + 1].isalnum():
                 continue
             s = text[a:b]
-            n = sum("0" <= c <= "9" for c in s)
-            if n >= 7 or "@" in s or "(at)" in s or "[at]" in s:
-                out.append((i, j, features(text, a, b, left)))
+            if digits[j] - digits[i] >= 7 or "@" in s or "(at)" in s or "[at]" in s:
+                out.append((i, j, features(s, text[a - 1 : a] if a else "", text[b : b + 1], left)))
     return out
 
 
@@ -228,14 +238,27 @@ def fit(train_sentences: int = 400, epochs: int = 6, seed: int = 7) -> dict[str,
     return {k: dict(v) for k, v in w.items()}
 
 
-def decode(text: str, tokens: list[tuple[int, int]], weights: dict[str, dict[str, float]]) -> list[tuple[int, str, int]]:
+class Scores(dict):
+    """features -> the kinds they speak for, with scores; remembered, emptied when full."""
+
+    def __init__(self, weights: dict[str, dict[str, float]], most: int = 50_000):
+        super().__init__()
+        self.weights, self.most = weights, most
+
+    def __missing__(self, features: tuple[str, ...]) -> list[tuple[float, str]]:
+        if len(self) >= self.most:
+            self.clear()
+        every = ((sum(own.get(name, 0.0) for name in features), k) for k, own in self.weights.items())
+        got = self[features] = [x for x in every if x[0] > 0]
+        return got
+
+
+def decode(text: str, tokens: list[tuple[int, int]], scores: Scores) -> list[tuple[int, str, int]]:
     """The best segmentation: its segments of some kind."""
     ends = defaultdict(list)
     for i, j, f in candidates(text, tokens):
-        for k in KINDS:
-            own = weights[k]
-            if (score := sum(own.get(name, 0.0) for name in f)) > 0:
-                ends[j].append((i, score, k))
+        for score, k in scores[f]:
+            ends[j].append((i, score, k))
     best, back = [0.0] * (len(tokens) + 1), [None] * (len(tokens) + 1)
     for j in range(1, len(tokens) + 1):
         best[j] = best[j - 1]
@@ -253,24 +276,28 @@ def decode(text: str, tokens: list[tuple[int, int]], weights: dict[str, dict[str
     return out[::-1]
 
 
-def all_spans(text: str | None, weights: dict[str, dict[str, float]]) -> tuple[list, list]:
+def all_spans(text: str | None, weights: dict[str, dict[str, float]] | Scores) -> tuple[list, list]:
     """Base spans; those and the field's."""
     text = text or ""
+    scores = weights if isinstance(weights, Scores) else Scores(weights)
     base = base_spans(text)
+    starts, reach = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
     added, regions = [], []
     for m in _ANCHOR.finditer(text):
-        if regions and m.start() - _REACH <= regions[-1][1]:
-            regions[-1][1] = m.end() + _REACH
+        if regions and m.start() - LONGEST_CHARS <= regions[-1][1]:
+            regions[-1][1] = m.end() + LONGEST_CHARS
         else:
-            regions.append([max(0, m.start() - _REACH), m.end() + _REACH])
+            regions.append([max(0, m.start() - LONGEST_CHARS), m.end() + LONGEST_CHARS])
     for a, b in regions:
         while a and text[a - 1].isalnum() and text[a].isalnum():  # whole tokens only
             a -= 1
         while b < len(text) and text[b - 1].isalnum() and text[b].isalnum():
             b += 1
         tokens = [m.span() for m in _TOKEN.finditer(text, a, min(b, len(text)))]
-        for start, kind, end in decode(text, tokens, weights):
-            if not any(s < end and start < e for s, _, e in base):
+        for start, kind, end in decode(text, tokens, scores):
+            # base spans by start: those before ``end``, and how far they reach
+            before = bisect_left(starts, end)
+            if not before or reach[before - 1] <= start:
                 added.append((start, kind, end))
     return base, sorted([*base, *added], key=lambda x: (x[0], KINDS.index(x[1])))
 
@@ -284,10 +311,11 @@ def find(documents: DataFrame, train_sentences: int = 400) -> DataFrame:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("is_base", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = Scores(weights)
         for batch in batches:
             out = []
             for text in batch.column(1):
-                base, spans = all_spans(text.as_py(), weights)
+                base, spans = all_spans(text.as_py(), scores)
                 base = set(base)
                 out.append([{"kind": k, "start": a, "stop": b, "is_base": (a, k, b) in base} for a, k, b in spans])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["doc_id", "spans"])
