@@ -1,12 +1,11 @@
 """Language ID by hyperdimensional profiles.
 
-Each letter class has a random vector of +1 and -1. A trigram binds its letters' vectors, permuted by place
+Each letter has a random vector of +1 and -1. A trigram binds its letters' vectors, permuted by place
 (rotated by two, by one, not at all), by multiplication; a document bundles (adds) its trigrams, and so does a
 language over its training documents. A document goes to the language whose prototype has the largest
 cosine with it; that cosine, cut to 0..1, is the score.
 
-Letters are lower-cased; a to z and the letters of Latin-1 and Latin Extended-A have classes of their own or
-share one by code point, as do all other letters; whatever isn't a letter separates words. Training takes about
+Letters are lower-cased and each has a vector of its own, drawn by its code point; whatever isn't a letter separates words. Training takes about
 ``per_language`` documents of each language (all, if it has no more), chosen by a hash of doc_id: a bound
 on the labelled rows that the prototypes are fitted on, nothing else. Rows predicted are all rows.
 
@@ -29,35 +28,50 @@ from siftwell.llm.common import fresh
 
 UNKNOWN = "und"
 DIMENSIONS = 512
-_CLASSES = 64
 
 
-class LetterClasses:
-    """Class of each code point; 0 for what isn't a letter. Looked up once for each code point met."""
+class Letters:
+    """A number for each letter, given when it is first met; 0 for what isn't a letter."""
 
     def __init__(self) -> None:
-        self.table = np.full(0x110000, 255, np.uint8)
+        self.table = np.full(0x110000, -1, np.int32)
+        self.points = [0]
 
     def of(self, codes: np.ndarray) -> np.ndarray:
         got = self.table[codes]
-        if (got == 255).any():
-            for cp in np.unique(codes[got == 255]).tolist():
-                letter = not 0xD800 <= cp < 0xE000 and chr(cp).isalpha()
-                self.table[cp] = 0 if not letter else cp - 96 if 97 <= cp <= 122 else 27 + cp % (_CLASSES - 27)
+        if (got < 0).any():
+            for cp in np.unique(codes[got < 0]).tolist():
+                self.table[cp] = 0
+                if not 0xD800 <= cp < 0xE000 and chr(cp).isalpha():
+                    self.table[cp] = len(self.points)
+                    self.points.append(cp)
             got = self.table[codes]
         return got
 
 
 class Profiles:
-    """Vectors of letters and trigrams; a trigram's vector is made when it is first seen."""
+    """Vectors of letters, drawn by code point, and of trigrams, made when first seen. At most ``most`` trigrams are remembered."""
 
-    def __init__(self, dimensions: int = DIMENSIONS, seed: int = 8):
-        signs = np.random.default_rng(seed).integers(0, 2, (_CLASSES, dimensions), dtype=np.int8) * 2 - 1
-        self.last, self.middle, self.first = signs, np.roll(signs, 1, axis=1), np.roll(signs, 2, axis=1)
-        self.classes = LetterClasses()
-        self.place = np.full(_CLASSES**3, -1, np.int32)
-        self.vectors = np.empty((1024, dimensions), np.float32)
-        self.made = 0
+    def __init__(self, dimensions: int = DIMENSIONS, seed: int = 8, most: int = 1 << 16):
+        self.dimensions, self.seed, self.most = dimensions, seed, most
+        self.classes = Letters()
+        self.signs = [np.empty((0, dimensions), np.int8)] * 3
+        self._forget()
+
+    def _rotated(self, by: int) -> np.ndarray:
+        """The vectors of all letters met so far, rotated."""
+        new = self.classes.points[len(self.signs[0]) :]
+        if new:
+            drawn = [np.random.default_rng((self.seed, cp)).integers(0, 2, self.dimensions, dtype=np.int8) * 2 - 1 for cp in new]
+            last = np.concatenate((self.signs[0], np.array(drawn, np.int8)))
+            self.signs = [np.roll(last, n, axis=1) for n in range(3)]
+        return self.signs[by]
+
+    last, middle, first = (property(lambda self, by=by: self._rotated(by)) for by in range(3))
+
+    def _forget(self) -> None:
+        self.known, self.slots, self.made = np.empty(0, np.int64), np.empty(0, np.int64), 0
+        self.vectors = np.empty((1024, self.dimensions), np.float32)
 
     def trigrams(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Trigram numbers and counts; runs of non-letters are one separator."""
@@ -67,22 +81,36 @@ class Profiles:
         c = c[np.concatenate(([True], (c[1:] != 0) | (c[:-1] != 0)))]
         if len(c) < 3:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.unique((c[:-2] * _CLASSES + c[1:-1]) * _CLASSES + c[2:], return_counts=True)
+        return np.unique((c[:-2] << 42) | (c[1:-1] << 21) | c[2:], return_counts=True)
+
+    def _of(self, grams: np.ndarray) -> np.ndarray:
+        """Vectors of sorted, distinct trigrams."""
+        at = np.searchsorted(self.known, grams)
+        new = grams[np.append(self.known, -1)[at] != grams]
+        if len(new):
+            if self.made + len(new) > self.most:
+                self._forget()
+                new = grams
+            low = (1 << 21) - 1
+            vectors = self.first[new >> 42] * self.middle[new >> 21 & low] * self.last[new & low]
+            while self.made + len(new) > len(self.vectors):
+                self.vectors = np.concatenate((self.vectors, np.empty_like(self.vectors)))
+            self.vectors[self.made : self.made + len(new)] = vectors
+            at = np.searchsorted(self.known, new)
+            self.slots = np.insert(self.slots, at, np.arange(self.made, self.made + len(new)))
+            self.known = np.insert(self.known, at, new)
+            self.made += len(new)
+            at = np.searchsorted(self.known, grams)
+        return self.vectors[self.slots[at]]
 
     def bundle(self, text: str | None) -> np.ndarray | None:
         grams, counts = self.trigrams(text)
         if not len(grams):
             return None
-        at = self.place[grams]
-        if (new := grams[at < 0]).size:
-            vectors = self.first[new // _CLASSES**2] * self.middle[new // _CLASSES % _CLASSES] * self.last[new % _CLASSES]
-            while self.made + len(new) > len(self.vectors):
-                self.vectors = np.concatenate((self.vectors, np.empty_like(self.vectors)))
-            self.vectors[self.made : self.made + len(new)] = vectors
-            self.place[new] = np.arange(self.made, self.made + len(new))
-            self.made += len(new)
-            at = self.place[grams]
-        return counts.astype(np.float32) @ self.vectors[at]
+        total, part = np.zeros(self.dimensions, np.float32), self.most // 2
+        for i in range(0, len(grams), part):
+            total += counts[i : i + part].astype(np.float32) @ self._of(grams[i : i + part])
+        return total
 
 
 def held_out(doc_id: Column | str) -> Column:
