@@ -27,9 +27,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from siftwell.llm.common import fresh, signed, stage
+from siftwell.llm.common import fresh, join_unique, signed, stage
 from siftwell.llm.components import components
 
 BITS = 64
@@ -138,8 +137,8 @@ def links(nodes: DataFrame, radius: int = 2, shard_size: int = 4096) -> DataFram
     """a, b: links that join the fingerprints (column fingerprint, distinct) of ``nodes``."""
     every = list(range(BITS))
     rows = nodes.select("fingerprint", F.posexplode(shard_keys(F.col("fingerprint"), radius, every)).alias("pair", "shard"))
-    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("shard"))).filter("n > 1")
-    rows = stage(rows, "shards")
+    counts = stage(rows.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1"), "shard-sizes")
+    rows = stage(join_unique(rows, counts, "shard", "n", "fingerprint"), "shards")
     small = rows.filter(F.col("n") <= shard_size).select("shard", "fingerprint")
     again = F.array()
     for n, (a, b) in reversed(list(enumerate(combinations(_spans(every, radius + 2), 2)))):
