@@ -47,7 +47,7 @@ def _urn(page_id: int | None, chunk: int = 0) -> str:
     return f"<urn:page:{'' if page_id is None else page_id}{f':{chunk}' if chunk else ''}>"
 
 
-def segments_of(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, chunk_bytes: int) -> Iterator[bytes]:
+def segments_of(page_id: int | None, url: str, payload: bytes | memoryview, digest: str, refers_to: int | None, chunk_bytes: int) -> Iterator[bytes]:
     """A record's WARC segments, each without the terminator."""
     head = [f"WARC-Target-URI: {re.sub(r'[\r\n]+', ' ', url)}", f"WARC-Payload-Digest: sha256:{digest}"]
     if refers_to is not None:
@@ -83,7 +83,8 @@ def write_archives(made: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -
         for batch in batches:
             rows, held = [], 0
             for i in range(batch.num_rows):
-                page, url, payload, digest, refers = (batch.column(c)[i].as_py() for c in range(5))
+                page, url, digest, refers = (batch.column(c)[i].as_py() for c in (0, 1, 3, 4))
+                payload = memoryview(batch.column(2)[i].as_buffer())  # cut where it lies, not copied
                 for part in segments_of(page, url, payload, digest, refers, chunk_bytes):
                     rows.append(part)
                     held += len(part)

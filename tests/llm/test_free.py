@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -12,6 +13,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from siftwell.llm import decontaminate, exact, language, packing, paragraphs, pii, simhash, warc
 from siftwell.llm.components import components
@@ -131,6 +133,28 @@ def test_partitions_exchange(spark):
 # WARC
 
 
+@pytest.mark.parametrize("shape", ["any", "long", "sorted"])
+def test_the_exchange_comes_near_to_packing_at_once(spark, shape):
+    rng = np.random.default_rng(2)
+    lengths = rng.integers(1500 if shape == "long" else 1, 4097, 1200)
+    lengths = np.sort(lengths) if shape == "sorted" else lengths
+    alone = len(packing.best_fit_decreasing(lengths)[2])
+    rows = spark.createDataFrame([(i, 0, int(n)) for i, n in enumerate(lengths)], "doc_id long, piece int, length long")
+    found = [packing.pack(rows.repartition(parts), per_partition=per) for parts, per in ((1, 60), (7, 60), (3, 300))]
+    kept = [sorted((r["doc_id"], r["sequence_id"], r["offset"]) for r in f.collect()) for f in found]
+    assert all(len({r[1] for r in k}) <= alone * 1.01 for k in kept)
+    assert kept[0] == kept[1]  # files and cores don't matter
+
+
+def test_equal_rows_fill_no_group(spark):
+    rows = spark.createDataFrame([(1, 0, 1000)] * 900 + [(i, 0, 96) for i in range(300)], "doc_id long, piece int, length long")
+    found = packing.pack(rows, per_partition=100, most=200).collect()
+    fill = defaultdict(int)
+    for r in found:
+        fill[r["sequence_id"]] += r["length"]
+    assert len(found) == 1200 and max(fill.values()) <= 4096 and len(fill) <= 232
+
+
 def test_archives_come_back(spark):
     long_ = "x\r\n\r\n" * 60_000
     rows = [
@@ -211,6 +235,34 @@ def test_trie_with_and_without_spilling(keys, budget):
     assert dict(trie.items()) == {k: keys.count(k) for k in keys}
 
 
+@pytest.mark.parametrize("budget", [1, 2000, 50_000])
+def test_long_strings_and_common_prefixes_spill(budget):
+    rng = random.Random(3)
+    keys = [bytes(rng.choices(b"abc", k=5000)) for _ in range(30)] + [b"p" * 3000 + bytes([i]) * (i % 5) for i in range(100)] + [b"p" * n for n in range(0, 3000, 100)]
+    trie = exact.PatriciaTrie(lambda a, b: a + b, budget)
+    for k in keys * 2:
+        trie.insert(k, 1)
+    assert trie.spilled and len(list(trie.resident())) >= 1
+    held = list(trie.items())
+    assert len(held) == len(set(keys)) and dict(held) == {k: 2 * keys.count(k) for k in keys}
+
+
+def test_owners_with_spilled_subtrees(spark):
+    rng = random.Random(4)
+    pool = [prose(rng, 900) for _ in range(25)] + ["p" * 3000 + prose(rng, 2) for _ in range(25)] + ["", "x"]
+    rows = [(i, rng.choice(pool)) for i in range(200)]
+    got = exact.owners(docs(spark, rows), budget=2000).collect()
+    largest = {t: max(d for d, x in rows if x == t) for _, t in rows}
+    assert sorted((r["doc_id"], r["keep_id"]) for r in got) == sorted((d, largest[t]) for d, t in rows)
+    assert sum(r["kept"] for r in got) == len(largest)
+
+
+def test_a_text_larger_than_the_budget(spark):
+    large = F.when(F.col("id") < 2, F.repeat(F.lit("0123456789"), F.lit(4_000_000))).otherwise(F.col("id").cast("string"))
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact.owners(spark.range(0, 4, 1, 2).select(F.col("id").alias("doc_id"), large.alias("text"))).collect()}
+    assert got == {0: (1, 2), 1: (1, 2), 2: (2, 1), 3: (3, 1)}
+
+
 # paragraphs
 
 
@@ -380,6 +432,13 @@ def test_base_spans_on_likely_texts():
         assert pii.base_spans(text) == plain_base(text)
 
 
+@pytest.mark.parametrize("text", ["9" * 1_000_000, "a" * 1_000_000 + "@ ", "1." * 400_000, "a.b@c " * 150_000, "+1 " * 300_000])
+def test_base_patterns_take_linear_time(text):
+    began = time.process_time()
+    pii.base_spans(text)
+    assert time.process_time() - began < 4
+
+
 def test_field_finds_what_patterns_miss_and_nothing_in_prose():
     weights = pii.fit()
     found = lambda t: {(k, t[a:b]) for a, k, b in pii.all_spans(t, weights)[1]}
@@ -420,6 +479,21 @@ def test_language_held_out(spark):
     assert sorted(r["doc_id"] for r in language.drop_unidentified(frame.filter("doc_id > 9000")).collect()) in ([9004], [])
 
 
+def test_letters_of_all_scripts_stay_apart(spark):
+    rng = random.Random(10)
+    alphabets = {f"l{i}": [chr(start + 37 * j) for j in range(8)] for i, start in enumerate((0x4E00, 0x4E01, 0x4E00 + 37 * 8, 0xAC00))}
+    rows = [(i, " ".join("".join(rng.choices(alphabets[lang], k=5)) for _ in range(30)), lang) for i, lang in enumerate(rng.choices(list(alphabets), k=200))]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(spark.createDataFrame(rows, DOCS + ", lang string")).collect()}
+    assert all(got[d] == lang for d, _, lang in rows)
+
+
+def test_languages_of_the_documents(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = language.identify(rows).join(rows.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null")
+    right = found.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0]
+    assert right > 0.97
+
+
 def test_bundles_are_sums_of_bound_vectors():
     p = language.Profiles(64)
     a, b, c = (int(x) for x in p.classes.of(np.array([ord(x) for x in "abc"])))

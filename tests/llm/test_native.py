@@ -131,3 +131,18 @@ def test_runs_are_compacted(spark):
     got = {r["h1"]: (r["owner"], r["n_docs"]) for r in index.keys().collect()}
     assert got == {100: (5, 5), **{d: (d, 1) for d in range(1, 6)}}
     assert sum(run.filter(F.col("h1") == 100).count() for run in index.runs()) == 1
+
+
+def test_runs_are_merged_as_they_lie(spark):
+    rng = random.Random(5)
+    index = line_dedup.LineRuns(spark, fanout=4, buckets=4)
+    plans = []
+    for doc in range(4, 0, -1):
+        batch = spark.createDataFrame([(doc, rng.randrange(200), 0) for _ in range(100)], "doc long, h1 long, h2 long")
+        plans.append(index.merged(batch))
+        index.add(batch)
+    for n, plan in enumerate(plans):
+        plan.collect()
+        text = plan._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert text.count("SortMergeJoin") == n and text.count("Exchange") == 3, text
+    index.close()
