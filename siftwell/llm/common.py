@@ -72,12 +72,13 @@ def join_unique(rows: DataFrame, unique: DataFrame, key: str, n: str, spread: st
     most = max(10_000, total // share)
     hot = unique.filter(F.col(n) > most).select(key)
     salt, is_hot = fresh(rows, "_salt"), fresh(rows, "_hot")
+    # the table of keys is built into hashes, so the rows needn't be sorted
     if hot.isEmpty():
-        return rows.join(unique, key)
+        return rows.join(unique.hint("shuffle_hash"), key)
     own = F.when(F.col(is_hot), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)
     dealt = rows.join(F.broadcast(hot.withColumn(is_hot, F.lit(True))), key, "left").withColumn(salt, own).drop(is_hot)
     copies = F.explode(F.when(F.col(n) > most, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
-    return dealt.join(unique.withColumn(salt, copies), [key, salt]).drop(salt)
+    return dealt.join(unique.withColumn(salt, copies).hint("shuffle_hash"), [key, salt]).drop(salt)
 
 
 def fresh(df: DataFrame, name: str) -> str:
