@@ -181,7 +181,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
 
 def _pack_group(rows: dict[str, np.ndarray], number: int, group: int, capacity: int) -> dict[str, np.ndarray]:
     """Sequence, offset and open for a group's rows. The old packing stays if the new one takes no fewer bins; either way, a
-    group whose bins are as few as the bound has its emptiest bin open, another one every bin with room."""
+    group whose bins are as few as the bound and lack less than one bin has its emptiest bin open, another one every bin with room."""
     lengths, old = rows["length"], rows["sequence_id"]
     bins, offsets, room = best_fit_decreasing(lengths, capacity)
     slack, sequence = np.array(room), (np.int64(number) << np.int64(57)) | (np.int64(group) << np.int64(26)) | bins
@@ -191,7 +191,7 @@ def _pack_group(rows: dict[str, np.ndarray], number: int, group: int, capacity:
             bins, offsets, sequence = old_bins, rows["offset"], old
             slack = capacity - np.bincount(bins, weights=lengths).astype(np.int64)
     open_bins = slack > 0
-    if len(slack) == lower_bound(lengths, capacity) and slack.max() > 0:
+    if len(slack) == lower_bound(lengths, capacity) and 0 < slack.sum() < capacity:
         open_bins = np.arange(len(slack)) == int(slack.argmax())
     return {"sequence_id": sequence, "offset": offsets, "open": open_bins[bins]}
 
