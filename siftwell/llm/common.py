@@ -67,17 +67,15 @@ def join_unique(rows: DataFrame, unique: DataFrame, key: str, n: str, spread: st
     """``rows`` with the columns of ``unique``, a staged table with one row for each ``key`` and ``n``, its number of rows.
 
     A key that holds more than one in ``share`` of the rows is dealt to ``salts`` parts by ``spread``, so no task gets all of them. There
-    are at most ``share`` such keys whatever the data, so their list is broadcast."""
+    are fewer than ``share`` such keys whatever the data, so their hashes are a list in the plan. The table of keys is built into
+    hashes, so the rows needn't be sorted."""
     total = unique.agg(F.sum(n)).first()[0] or 0
-    most = max(10_000, total // share)
-    hot = unique.filter(F.col(n) > most).select(key)
-    salt, is_hot = fresh(rows, "_salt"), fresh(rows, "_hot")
-    # the table of keys is built into hashes, so the rows needn't be sorted
-    if hot.isEmpty():
+    hot = [r[0] for r in unique.filter(F.col(n) > max(10_000, total // share)).select(F.xxhash64(key)).collect()]
+    if not hot:
         return rows.join(unique.hint("shuffle_hash"), key)
-    own = F.when(F.col(is_hot), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)
-    dealt = rows.join(F.broadcast(hot.withColumn(is_hot, F.lit(True))), key, "left").withColumn(salt, own).drop(is_hot)
-    copies = F.explode(F.when(F.col(n) > most, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    salt, is_hot = fresh(rows, "_salt"), F.xxhash64(key).isin(hot)
+    dealt = rows.withColumn(salt, F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0))
+    copies = F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
     return dealt.join(unique.withColumn(salt, copies).hint("shuffle_hash"), [key, salt]).drop(salt)
 
 

@@ -16,6 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siftwell.llm import decontaminate, exact, language, packing, paragraphs, pii, simhash, warc
+from siftwell.llm.common import join_unique
 from siftwell.llm.components import components
 from siftwell.llm.queries import pack_documents, tokenizer_path
 
@@ -501,6 +502,16 @@ def test_bundles_are_sums_of_bound_vectors():
     assert (p.bundle("ABC") == want).all()
 
 
+def test_hot_keys_are_dealt_and_joined_whole(spark):
+    rows = spark.range(0, 40_000, 1, 4).select("id", F.when(F.col("id") < 25_000, 7).otherwise(F.col("id")).cast("long").alias("key"))
+    unique = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("key % 2 = 1")
+    got = join_unique(rows, unique, "key", "n", "id")
+    assert sorted(got.columns) == ["first", "id", "key", "n"]
+    assert got.count() == 25_000 + 7_500 and got.select("id").distinct().count() == 32_500
+    assert got.filter("first <> if(key = 7, 0, key)").count() == 0
+    assert "_salt" in got._jdf.queryExecution().executedPlan().toString()
+
+
 # SimHash
 
 
