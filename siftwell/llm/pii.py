@@ -93,7 +93,6 @@ _CUES = {
 }
 
 
-@lru_cache(maxsize=50_000)
 def features(s: str, before: str, after: str, left_word: str) -> tuple[str, ...]:
     """Of a whole segment, with the characters before and after it."""
     digits = _digits(s)
@@ -112,7 +111,21 @@ def features(s: str, before: str, after: str, left_word: str) -> tuple[str, ...]
     return tuple(out)
 
 
-def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, tuple[str, ...]]]:
+class Features(dict):
+    """What ``features`` says, remembered; emptied when full. Each worker makes its own."""
+
+    def __init__(self, most: int = 50_000):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, segment: tuple[str, str, str, str]) -> tuple[str, ...]:
+        if len(self) >= self.most:
+            self.clear()
+        got = self[segment] = features(*segment)
+        return got
+
+
+def candidates(text: str, tokens: list[tuple[int, int]], known: Features) -> list[tuple[int, int, tuple[str, ...]]]:
     """(first token, token after the last, features) of the segments worth scoring."""
     out = []
     # the next token with a digit or an at-sign: without one among its tokens no segment counts
@@ -145,7 +158,7 @@ def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int,
                 continue
             s = text[a:b]
             if digits[j] - digits[i] >= 7 or "@" in s or "(at)" in s or "[at]" in s:
-                out.append((i, j, features(s, text[a - 1 : a] if a else "", text[b : b + 1], left)))
+                out.append((i, j, known[s, text[a - 1 : a] if a else "", text[b : b + 1], left]))
     return out
 
 
@@ -208,10 +221,10 @@ def _total(values: list[float]) -> float:
 @lru_cache(maxsize=2)
 def fit(train_sentences: int = 400, epochs: int = 6, seed: int = 7) -> dict[str, dict[str, float]]:
     """Weights by kind and feature: AdaGrad on the log-likelihood, by the forward-backward recursions."""
-    cases = []
+    cases, known = [], Features()
     for text, gold in _sentences(train_sentences, seed):
         tokens = [m.span() for m in _TOKEN.finditer(text)]
-        segments = candidates(text, tokens)
+        segments = candidates(text, tokens, known)
         true = {(a, b): kind for a, b, kind in gold}
         cases.append((len(tokens), [(i, j, f, true.get((tokens[i][0], tokens[j - 1][1]))) for i, j, f in segments]))
     w = {k: defaultdict(float) for k in KINDS}
@@ -243,7 +256,7 @@ class Scores(dict):
 
     def __init__(self, weights: dict[str, dict[str, float]], most: int = 50_000):
         super().__init__()
-        self.weights, self.most = weights, most
+        self.weights, self.most, self.seen = weights, most, Features()
 
     def __missing__(self, features: tuple[str, ...]) -> list[tuple[float, str]]:
         if len(self) >= self.most:
@@ -256,7 +269,7 @@ class Scores(dict):
 def decode(text: str, tokens: list[tuple[int, int]], scores: Scores) -> list[tuple[int, str, int]]:
     """The best segmentation: its segments of some kind."""
     ends = defaultdict(list)
-    for i, j, f in candidates(text, tokens):
+    for i, j, f in candidates(text, tokens, scores.seen):
         for score, k in scores[f]:
             ends[j].append((i, score, k))
     best, back = [0.0] * (len(tokens) + 1), [None] * (len(tokens) + 1)
