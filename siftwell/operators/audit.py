@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from siftwell.functions.catalog import SEVERITY_RANK
 from siftwell.functions.text import csv_cell
+from siftwell.operators.running import running_sums
 from siftwell.sources.audit_log import HASHED, HASHED_BEFORE
+from siftwell.sources.staged import stage
+
+# What a check says.
+WRONG_HASH, BROKEN_LINK, FIRST_LINK, LOST_SEGMENT = "Hash mismatch", "Chain linkage broken", "First entry should have no previous hash", "Segment lost"
 
 
 def query(log: DataFrame, since: Column | None = None, until: Column | None = None, decision: str | None = None, min_findings: int | None = None, severity: str | None = None) -> DataFrame:
@@ -42,10 +46,11 @@ def decisions(log: DataFrame) -> DataFrame:
 
 
 def verify_chain(lines: DataFrame) -> DataFrame:
-    """lines: position, value (JSON). Gives position, entry (from 0, malformed lines not counted), hash_ok, link_ok, errors.
+    """lines: position (anything that orders them), value (JSON), and maybe segment. Gives these without value, entry (from 0, malformed lines not counted), hash_ok, link_ok, errors.
 
     An entry's hash is over its other fields, as the writer orders them or as earlier versions did; each entry names the hash before it, the
-    first none. The chain is one sequence by nature; a log is small (it rotates at a few MiB), so the one ordered window is no bottleneck."""
+    first none. Hashes are checked where the lines are; the entries are then numbered by ranges of positions, and each is joined with the one before it, so a log of any
+    length needs no single task. Segments are numbered from 1; one that is missing is an error of the entry after it."""
     of = lambda name: F.get_json_object("value", f"$.{name}")
     quoted = lambda c: F.expr("substring(to_json(array({0})), 2, length(to_json(array({0}))) - 2)".format(c))
 
@@ -60,16 +65,19 @@ def verify_chain(lines: DataFrame) -> DataFrame:
 
     written = lambda names: F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*map(field, names))), ","), F.lit("}"))
     as_it_stands = F.regexp_replace("value", r',"hash":"[^"]*"\}\s*\z', "}")
+    keys = [c for c in ("segment", "position") if c in lines.columns]
     rows = lines.filter(F.json_object_keys("value").isNotNull())
     own = [F.sha2(c, 256) for c in (as_it_stands, written(HASHED), written(HASHED_BEFORE))]
-    rows = rows.select("position", of("hash").alias("hash"), of("previousHash").alias("previous"), F.array(*own).alias("own"))
-    order = Window.orderBy("position")
-    rows = rows.select(
-        "position", (F.row_number().over(order) - 1).alias("entry"), F.coalesce(F.array_contains("own", F.col("hash")), F.lit(False)).alias("hash_ok"),
-        F.col("previous").eqNullSafe(F.lag("hash").over(order)).alias("link_ok"),
-    )
-    link = F.when(F.col("entry") == 0, "First entry should have no previous hash").otherwise("Chain linkage broken")
-    return rows.withColumn("errors", F.array_compact(F.array(F.when(~F.col("hash_ok"), "Hash mismatch"), F.when(~F.col("link_ok"), link))))
+    rows = rows.select(*keys, of("hash").alias("hash"), of("previousHash").alias("previous"), F.array(*own).alias("own"))
+    rows = rows.select(*keys, "hash", "previous", F.coalesce(F.array_contains("own", F.col("hash")), F.lit(False)).alias("hash_ok"))
+    rows = stage(running_sums(rows, [F.col("position")], name="number"), "chain")
+    before = rows.select((F.col("number") + 1).alias("number"), F.col("hash").alias("hash_before"), *([F.col("segment").alias("segment_before")] if "segment" in keys else []))
+    rows = rows.join(before, "number", "left").withColumns({"entry": F.col("number") - 1, "link_ok": F.col("previous").eqNullSafe(F.col("hash_before"))})
+    link = F.when(F.col("number") == 1, FIRST_LINK).otherwise(BROKEN_LINK)
+    errors = [F.when(~F.col("hash_ok"), WRONG_HASH), F.when(~F.col("link_ok"), link)]
+    if "segment" in keys:
+        errors.append(F.when(F.col("segment") > F.coalesce("segment_before", F.lit(0)) + 1, LOST_SEGMENT))
+    return rows.withColumn("errors", F.array_compact(F.array(*errors))).select(*keys, "entry", "hash_ok", "link_ok", "errors")
 
 
 def flat_findings(log: DataFrame) -> DataFrame:

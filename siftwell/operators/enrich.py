@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siftwell.functions.catalog import DEFAULT_ACTION, ENRICHMENT, FRAMEWORKS, RULES
 
@@ -21,6 +22,14 @@ def dimension(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, f"rule_id string, action string, {arrays}, env_var string, incident_provider string")
 
 
+def without_builtins(pack: DataFrame) -> DataFrame:
+    """A pack's rules (id, pattern) but for those with the id, or in any case the pattern, of one of the catalogue's."""
+    own = rules(pack.sparkSession)
+    ids, patterns = own.select(F.col("rule_id").alias("id")), own.filter("pattern is not null").select(F.lower("pattern").alias("_lower")).distinct()
+    kept = pack.join(F.broadcast(ids), "id", "left_anti").withColumn("_lower", F.lower("pattern"))
+    return kept.join(F.broadcast(patterns), "_lower", "left_anti").drop("_lower")
+
+
 def enrich(findings: DataFrame) -> DataFrame:
     """With action (``review`` if unknown), compliance arrays (empty if unknown), env_var, incident_provider."""
     joined = findings.join(F.broadcast(dimension(findings.sparkSession)), "rule_id", "left")
@@ -39,43 +48,25 @@ def controls(findings: DataFrame) -> DataFrame:
 
 
 def apply_verification(findings: DataFrame, results: DataFrame, now: Column, ttl: str = "1 hour") -> DataFrame:
-    """Joins results of liveness checks (rule_id, secret_sha256, status, checked_at) that are young enough; no network call is made
-    here. A live credential is critical; an inactive one low, and marked."""
-    fresh = results.filter(F.col("checked_at") >= now - F.expr(f"interval {ttl}")).select("rule_id", "secret_sha256", F.col("status").alias("verification"))
-    keyed = findings.withColumn("secret_sha256", F.sha2("secret", 256)).join(fresh, ["rule_id", "secret_sha256"], "left")
+    """``findings`` with the latest result of a liveness check (rule_id, secret_sha256, status, checked_at) at or before ``now`` - a constant, or a column of the
+    findings - that is younger than ``ttl``; no network call is made here. A live credential is critical; an inactive one low, and marked.
+
+    A result holds until the next one of its key or its end of life; these spans don't overlap, so a finding meets one at most. They are
+    joined by key and stretch of time (a span lies in two), so no key's whole history meets all its findings."""
+    life = F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"interval {ttl}"))
+    at = F.unix_micros("checked_at")
+    once = results.filter("checked_at is not null").groupBy("rule_id", "secret_sha256", at.alias("_from")).agg(F.max("status").alias("_status"))
+    of_key = Window.partitionBy("rule_id", "secret_sha256").orderBy("_from")
+    spans = once.withColumn("_until", F.least(F.coalesce(F.lead("_from").over(of_key), F.col("_from") + life), F.col("_from") + life))
+    stretch = lambda t: F.floor(t / life)
+    spans = spans.withColumn("_stretch", F.explode(F.sequence(stretch(F.col("_from")), stretch(F.col("_until") - 1))))
+    keyed = findings.withColumns({"secret_sha256": F.sha2("secret", 256), "_now": F.unix_micros(now)}).withColumn("_stretch", stretch(F.col("_now")))
+    f, r = keyed.alias("f"), spans.alias("r")
+    same = [F.col(f"f.{c}") == F.col(f"r.{c}") for c in ("rule_id", "secret_sha256", "_stretch")]
+    met = f.join(r, [*same, F.col("f._now") >= F.col("r._from"), F.col("f._now") < F.col("r._until")], "left")
     status = F.col("verification")
-    return keyed.withColumns({
+    return met.select("f.*", F.col("r._status").alias("verification")).drop("_now", "_stretch").withColumns({
         "auto_downgraded": status.eqNullSafe("inactive"),
         "severity": F.when(status == "live", "critical").when(status == "inactive", "low").otherwise(F.col("severity")),
         "verification": F.coalesce(status, F.lit("skipped")),
     })
-
-
-def exposure(flags: DataFrame) -> DataFrame:
-    """flags: is_repo, staged, in_any_commit, in_remote, secret, secret_in_any, secret_in_remote. Adds level and confidence."""
-    by_secret = F.length("secret").between(8, 200)
-    level = (
-        F.when(~F.col("is_repo"), "UNKNOWN").when(by_secret & F.col("secret_in_remote"), "PUSHED").when(by_secret & F.col("secret_in_any"), "COMMITTED")
-        .when(by_secret, "LOCAL").when(~F.col("in_any_commit"), "LOCAL").when(F.col("in_remote"), "PUSHED").otherwise("COMMITTED")
-    )
-    sure = F.when(~F.col("is_repo"), "low").when(by_secret | ~F.col("in_any_commit"), "high").otherwise("medium")
-    return flags.withColumns({"level": level, "confidence": sure})
-
-
-def history_flags(findings: DataFrame, commits: DataFrame, changed: DataFrame) -> DataFrame:
-    """``findings`` (file, secret) with what ``exposure`` takes - in_any_commit, in_remote, secret_in_any, secret_in_remote - and exposure_since.
-
-    commits: commit_hash, committed_at, is_remote; changed: commit_hash, file, content (lines that a commit brings or removes). Files are
-    joined by name and secrets looked for in their own file's lines only; since when a file is on a remote counts from its first commit there."""
-    lines = changed.join(commits.select("commit_hash", "committed_at", "is_remote"), "commit_hash")
-    touched = lines.groupBy("file").agg(F.lit(True).alias("in_any_commit"), F.bool_or("is_remote").alias("in_remote"), F.min(F.when(F.col("is_remote"), F.col("committed_at"))).alias("exposure_since"))
-    wanted = findings.select("file", "secret").distinct()
-    held = wanted.join(lines, "file").filter(F.col("content").contains(F.col("secret")))
-    held = held.groupBy("file", "secret").agg(F.lit(True).alias("secret_in_any"), F.bool_or("is_remote").alias("secret_in_remote"))
-    flags = ("in_any_commit", "in_remote", "secret_in_any", "secret_in_remote")
-    return findings.join(touched, "file", "left").join(held, ["file", "secret"], "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in flags})
-
-
-def pushed_only(exposed: DataFrame) -> DataFrame:
-    """Findings that others can see already."""
-    return exposed.filter("level = 'PUSHED'")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
 from siftwell.functions.catalog import ENRICHMENT, FRAMEWORKS, PATTERN_RULES, RULES, Rule
-from siftwell.operators import aggregate, audit, detect, enrich, multiline, policy, rewrite
+from siftwell.operators import aggregate, audit, detect, enrich, exposure, multiline, policy, rewrite
 from siftwell.operators.lines import split_lines, windows
 from siftwell.plans import fixtures, report
 from siftwell.plans.fixtures import literal
@@ -161,16 +161,8 @@ def pattern_scan_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 RULE_LINES = f"select 1 as doc_id, 'x' as file, n as line_number, line, 0 as shift from (values {', '.join(f'({n}, {literal(s)})' for n, s in fixtures.rule_lines())}) as v(n, line)"
 
 
-@query(f"with w as ({RULE_LINES}), {hits_sql()} select line_number::bigint as line_number, rule_id, match, secret, match_start from h")
-def rule_fixture_positives(spark: SparkSession) -> DataFrame:
-    lines = spark.createDataFrame(fixtures.rule_lines(), "line_number long, line string").withColumn("shift", F.lit(0))
-    return detect.pattern_findings(lines).select("line_number", "rule_id", "match", "secret", F.col("match_start").cast("long").alias("match_start"))
 
 
-@query(f"with w as ({RULE_LINES}), {hits_sql()} select line_number::bigint as line_number, rule_id, match_start, match_length::bigint as match_length from d")
-def dedup_rule_fixture(spark: SparkSession) -> DataFrame:
-    lines = spark.createDataFrame(fixtures.rule_lines(), "line_number long, line string").withColumn("shift", F.lit(0)).withColumn("file", F.lit("x"))
-    return detect.dedup(detect.pattern_findings(lines)).select("line_number", "rule_id", F.col("match_start").cast("long").alias("match_start"), F.col("match_length").cast("long").alias("match_length"))
 
 
 QUOTED_SQL = """'"[^''"`\\n]{20,}"|''[^''"`\\n]{20,}''|`[^''"`\\n]{20,}`'"""
@@ -220,31 +212,16 @@ BASE_SQL = "regexp_extract(path, '[^/]*$')"
 EXT_SQL = f"regexp_extract({BASE_SQL}, '^[^.].*?(\\.[^.]*)$', 1)"
 
 
-@query(f"""select id, path, (case when regexp_matches(path, '\\.(min|bundle)\\.(js|css)$') then 5.0 when {EXT_SQL} in ({", ".join(map(literal, T.CONFIG_EXTENSIONS))})
-    or {BASE_SQL} = '.env' or starts_with({BASE_SQL}, '.env.') then 4.5 else 4.8 end)::double as threshold from {fixtures.sql("paths")}""")
-def entropy_threshold_by_path(spark: SparkSession) -> DataFrame:
-    return fixtures.table(spark, "paths").select("id", "path", T.entropy_threshold(F.col("path")).cast("double").alias("threshold"))
 
 
-@query(f"""select file, line_number, rule_id, severity from (select *, row_number() over (partition by file, line_number, match_start, match_length
-    order by case severity when 'critical' then 4 when 'high' then 3 when 'medium' then 2 else 1 end desc, emit) as n from {fixtures.sql("findings")}) where n = 1""")
-def dedup_findings(spark: SparkSession) -> DataFrame:
-    rows = fixtures.table(spark, "findings").withColumns({c: F.lit(0) for c in detect.ORDER}).withColumn("emit_rule", F.col("emit"))
-    return detect.dedup(rows).select("file", "line_number", "rule_id", "severity")
 
 
 #: A comment sign of two characters, the word, maybe a colon with a reason, maybe the end of a block comment.
 IGNORED_SQL = "regexp_matches(line, '/[/*]\\s*scan-ignore(:\\s*.+)?\\s*(\\*/)?\\s*$')"
 
 
-@query(f"select id, {IGNORED_SQL} as ignored from {fixtures.sql('comments')}")
-def inline_ignore(spark: SparkSession) -> DataFrame:
-    return fixtures.table(spark, "comments").select("id", F.col("line").rlike(ScanConfig().inline_ignore).alias("ignored"))
 
 
-@query(f"select id, path, (starts_with(path, 'test/') or starts_with(path, 'node_modules/') or regexp_full_match(path, '[^/]*\\.min\\.js')) and path <> 'test/keep.js' as ignored from {fixtures.sql('paths')}")
-def glob_file_ignore(spark: SparkSession) -> DataFrame:
-    return fixtures.table(spark, "paths").select("id", "path", IgnoreSpec.parse(IGNORES).ignores_file(F.col("path")).alias("ignored"))
 
 
 def found_sql(select: str) -> str:
@@ -289,66 +266,27 @@ CATALOGUE = f"(values {', '.join(f'({literal(r.id)}, {literal(r.severity)}, {lit
 CONTROLS = ", ".join(f"({literal(e.rule_id)}, {literal(f)}, {literal(c)})" for e in ENRICHMENT for f in FRAMEWORKS for c in getattr(e, f))
 
 
-@query(f"select severity, category, count(*)::bigint as n from {CATALOGUE} group by 1, 2")
-def catalogue_counts(spark: SparkSession) -> DataFrame:
-    return enrich.rules(spark).groupBy("severity", "category").agg(F.count("*").alias("n"))
 
 
-@query(f"with w as ({RULE_LINES}), {hits_sql()} select framework, control, count(*)::bigint as n from d join (values {CONTROLS}) as c(rule_id, framework, control) using (rule_id) group by 1, 2")
-def compliance_controls(spark: SparkSession) -> DataFrame:
-    return aggregate.control_counts(fixture_findings(spark))
 
 
-@query(f"with w as ({RULE_LINES}), {hits_sql()} select action, count(*)::bigint as n from d join (values {', '.join(f'({literal(e.rule_id)}, {literal(e.action)})' for e in ENRICHMENT)}) as c(rule_id, action) using (rule_id) group by 1")
-def remediation_actions(spark: SparkSession) -> DataFrame:
-    return enrich.enrich(fixture_findings(spark)).groupBy("action").agg(F.count("*").alias("n"))
 
 
-@query(f"with w as ({RULE_LINES}), {hits_sql()} select rule_id, severity, count(*)::bigint as n from d where severity in ('critical', 'high') group by 1, 2")
-def fail_on_high(spark: SparkSession) -> DataFrame:
-    return policy.fail_on(fixture_findings(spark), "high").groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
 
 
-@query(f"""with w as ({RULE_LINES}), {hits_sql()} select rule_id as ruleid, case when severity in ('critical', 'high') then 'error' when severity = 'low' then 'note' else 'warning' end as level,
-    line_number::bigint as startline, match_start + 1 as startcolumn from d""")
-def sarif_results(spark: SparkSession) -> DataFrame:
-    return report.sarif_results(fixture_findings(spark)).select(F.col("ruleId").alias("ruleid"), "level", F.col("startLine").cast("long").alias("startline"), F.col("startColumn").cast("long").alias("startcolumn"))
 
 
-@query(f"with w as ({RULE_LINES}), {hits_sql()} select line_number::bigint as line_number, match_start, rule_id from d order by case severity when 'critical' then 4 when 'high' then 3 when 'medium' then 2 else 1 end desc, line_number, match_start, rule_id limit 25")
-def top_findings(spark: SparkSession) -> DataFrame:
-    """The 25 that a review comment shows."""
-    order = [T.severity_rank(F.col("severity")).desc(), "line_number", "match_start", "rule_id"]
-    return fixture_findings(spark).orderBy(*order).limit(25).select("line_number", F.col("match_start").cast("long").alias("match_start"), "rule_id")
 
 
-def fixture_findings(spark: SparkSession) -> DataFrame:
-    lines = spark.createDataFrame(fixtures.rule_lines(), "line_number long, line string").withColumn("shift", F.lit(0)).withColumn("file", F.lit("x"))
-    return detect.dedup(detect.pattern_findings(lines))
 
 
-@query(f"""with s as ({fixtures.sql("sources")}), l as (
-        select file, unnest(string_split(content, chr(10))) as raw, generate_subscripts(string_split(content, chr(10)), 1) as pos from s
-    ), b as (select *, trim(raw) as line from l where regexp_full_match(trim(raw), '[A-Za-z0-9+/=]{{20,}}')),
-    g as (select *, pos - row_number() over (partition by file order by pos) as island from b)
-    select file, min(pos)::bigint as line_number, string_agg(line, '' order by pos) as text from g group by file, island having count(*) >= 3""")
-def base64_blocks(spark: SparkSession) -> DataFrame:
-    return multiline.base64_blocks(fixtures.table(spark, "sources")).select("file", F.col("line_number").cast("long").alias("line_number"), "text")
 
 
-@query(f"""select file, regexp_replace(m[2:-2], '\\$\\{{[^}}]*\\}}', '', 'g') as text from (select file, unnest(regexp_extract_all(content, '`[^`]{{20,}}`')) as m from {fixtures.sql("sources")})
-    where length(regexp_replace(m[2:-2], '\\$\\{{[^}}]*\\}}', '', 'g')) >= 20""")
-def template_literals(spark: SparkSession) -> DataFrame:
-    return multiline.template_literals(fixtures.table(spark, "sources")).select("file", "text")
 
 
 CONCAT_SQL = """'"[^''"]{4,}"\\s*\\+\\s*"[^''"]{4,}"|''[^''"]{4,}''\\s*\\+\\s*''[^''"]{4,}'''"""
 
 
-@query(f"""select file, text from (select file, replace(replace(regexp_replace(m, '["'']\\s*\\+\\s*["'']', ''), '"', ''), '''', '') as text
-    from (select file, unnest(regexp_extract_all(content, {CONCAT_SQL})) as m from {fixtures.sql("sources")})) where length(text) >= 20""")
-def joined_literals(spark: SparkSession) -> DataFrame:
-    return multiline.joined_literals(fixtures.table(spark, "sources")).select("file", "text")
 
 
 FULL = ScanConfig(
@@ -413,50 +351,21 @@ def full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.redacted(scan(rows, FULL)).select("file", long("line_number"), "rule_id", "severity", "type", long("match_start"), long("match_length"), "redacted", "secret_hash")
 
 
-@query(f"""select file, starts_with(file, 'test/') and file <> 'test/keep.js' as is_ignored, size > 2097152 and not (starts_with(file, 'test/') and file <> 'test/keep.js') as skipped,
-    case when size > 2097152 then 'File size 3 MB exceeds limit 2 MB' end as skip_reason, contains(content, chr(26)) as is_binary from {fixtures.sql("files")}""")
-def file_guards(spark: SparkSession) -> DataFrame:
-    rows = fixtures.table(spark, "files").withColumn("content", F.col("content").cast("binary"))
-    return file_source.file_status(rows, ScanConfig(ignore=IgnoreSpec.parse(IGNORES))).select("file", "is_ignored", "skipped", "skip_reason", "is_binary")
 
 
 AUDIT = fixtures.sql("audit")
 
 
-def audit_log(spark: SparkSession) -> DataFrame:
-    rows = fixtures.table(spark, "audit")
-    return rows.withColumn("severityCounts", F.struct("critical", "high", "medium", "low")).withColumn("filesScanned", F.split("files", ";"))
 
 
-@query(f"""select count(*)::bigint as scans, sum(findingCount)::bigint as findings, sum(critical)::bigint as critical, sum(high)::bigint as high, sum(medium)::bigint as medium, sum(low)::bigint as low,
-    count(*) filter (userDecision = 'bypassed')::bigint as bypassed, format('{{:.2f}}', 100.0 * count(*) filter (userDecision = 'bypassed') / count(*)) as bypass_percent from {AUDIT}""")
-def audit_stats(spark: SparkSession) -> DataFrame:
-    return audit.stats(audit_log(spark))
 
 
-@query(f"select idx from {AUDIT} where timestamp >= '2024-01-02' and userDecision = 'bypassed' and high > 0")
-def audit_query(spark: SparkSession) -> DataFrame:
-    return audit.query(audit_log(spark), since=F.lit("2024-01-02").cast("timestamp"), decision="bypassed", severity="high").select("idx")
 
 
-@query(f"""with e as (
-        select position, json_extract_string(value, '$.hash') as hash, json_extract_string(value, '$.previousHash') as previous, regexp_replace(value, ',"hash":"[0-9a-f]+"\\}}$', '}}') as rest
-        from {fixtures.sql("audit_lines")} where json_valid(value)
-    ) select position, hash = sha256(rest) as hash_ok, previous is not distinct from lag(hash) over (order by position) as link_ok from e""")
-def audit_chain_verify(spark: SparkSession) -> DataFrame:
-    return audit.verify_chain(fixtures.table(spark, "audit_lines")).select("position", "hash_ok", "link_ok")
 
 
-@query(f"""select idx, timestamp || ',' || (case when commitHash = '=cmd' then '''=cmd' else commitHash end) || ',' || (case when contains(files, ',') then '"' || files || '"' else files end)
-    || ',' || findingCount || ',' || critical || ',' || high || ',' || medium || ',' || low || ',' || userDecision as line from {AUDIT}""")
-def audit_csv(spark: SparkSession) -> DataFrame:
-    log = audit_log(spark)
-    return audit.csv_lines(log).join(log.select("timestamp", "idx"), "timestamp").select("idx", "line")
 
 
-@query(f"select userDecision as decision, count(*)::bigint as n from {AUDIT} group by 1")
-def audit_decisions(spark: SparkSession) -> DataFrame:
-    return audit.decisions(audit_log(spark))
 
 
 _commit = dict((r[0], r[2].split("\n")) for r in fixtures.FIXTURES["commits"][1])
@@ -467,48 +376,14 @@ ADDED = ", ".join(
 ADDED_SQL = f"(select commit_hash, file, line_number::bigint as line_number, content from (values {ADDED}) as v(commit_hash, file, line_number, content))"
 
 
-@query(f"""with c as ({fixtures.sql("commits")}), l as (
-        select commit_hash, unnest(string_split(diff, chr(10))) as line, generate_subscripts(string_split(diff, chr(10)), 1) as pos from c
-    ), s as (
-        select *, last_value(case when starts_with(line, 'diff --git ') then false when regexp_matches(line, '^Binary files .* differ') then true end ignore nulls) over o as blind,
-            last_value(case when starts_with(line, '@@') then true when starts_with(line, 'diff --git ') then false end ignore nulls) over o as in_hunk,
-            count(*) filter (starts_with(line, '@@')) over o as hunk from l window o as (partition by commit_hash order by pos)
-    ), t as (
-        select *, last_value(case when starts_with(line, '+++ ') and not coalesce(in_hunk, false) then case when line = '+++ /dev/null' then '' else line[7:] end end ignore nulls) over (partition by commit_hash order by pos) as file,
-            case when starts_with(line, '@@') then regexp_extract(line, '\\+(\\d+)', 1)::bigint - 1 end as first,
-            in_hunk and not starts_with(line, '@@') and not starts_with(line, '-') and not starts_with(line, '\\') and line <> '' as moves from s where not coalesce(blind, false)
-    ), u as (
-        select *, max(first) over (partition by commit_hash, hunk) + count(*) filter (moves) over (partition by commit_hash, hunk order by pos) as line_number from t
-    ) select commit_hash, file, line_number::bigint as line_number, line[2:] as content from u where in_hunk and starts_with(line, '+') and file <> ''""")
-def diff_added_lines(spark: SparkSession) -> DataFrame:
-    rows = history.added_lines(fixtures.table(spark, "commits"))
-    return rows.select("commit_hash", "file", F.col("line_number").cast("long").alias("line_number"), "content")
 
 
-@query(f"with w as (select *, content as line, 0 as shift from {ADDED_SQL}), {hits_sql('w', 'commit_hash, file')} select commit_hash, file, line_number, rule_id, match_start, secret from h")
-def history_findings(spark: SparkSession) -> DataFrame:
-    found = scan_history(history.added_lines(history.newest(fixtures.table(spark, "commits"))))
-    return found.select("commit_hash", "file", F.col("line_number").cast("long").alias("line_number"), "rule_id", F.col("match_start").cast("long").alias("match_start"), "secret")
 
 
-@query(f"with w as (select *, content as line, 0 as shift from {ADDED_SQL}), {hits_sql('w', 'commit_hash, file')} select secret, count(distinct file)::bigint as files, count(*)::bigint as n from h group by 1")
-def purge_list(spark: SparkSession) -> DataFrame:
-    return aggregate.purge_list(scan_history(history.added_lines(fixtures.table(spark, "commits"))))
 
 
-@query(f"""select id, case when not is_repo then 'UNKNOWN' when length(secret) between 8 and 200 then case when secret_in_remote then 'PUSHED' when secret_in_any then 'COMMITTED' else 'LOCAL' end
-    when not in_any_commit then 'LOCAL' when in_remote then 'PUSHED' else 'COMMITTED' end as level,
-    case when not is_repo then 'low' when length(secret) between 8 and 200 or not in_any_commit then 'high' else 'medium' end as confidence from {fixtures.sql("exposure")}""")
-def exposure_level(spark: SparkSession) -> DataFrame:
-    return enrich.exposure(fixtures.table(spark, "exposure")).select("id", "level", "confidence")
 
 
-@query(f"""select id, case when age_minutes <= 60 then status else 'skipped' end as verification, case when age_minutes <= 60 and status = 'live' then 'critical'
-    when age_minutes <= 60 and status = 'inactive' then 'low' else severity end as severity, coalesce(age_minutes <= 60 and status = 'inactive', false) as auto_downgraded from {fixtures.sql("verified")}""")
-def verification_adjust(spark: SparkSession) -> DataFrame:
-    rows, now = fixtures.table(spark, "verified"), F.lit("2024-01-01T12:00:00Z").cast("timestamp")
-    results = rows.filter("status is not null").select("rule_id", F.sha2("secret", 256).alias("secret_sha256"), "status", (now - F.make_interval(mins=F.col("age_minutes").cast("int"))).alias("checked_at"))
-    return enrich.apply_verification(rows.drop("status"), results, now).select("id", "verification", "severity", "auto_downgraded")
 
 
 ENV = ", ".join(f"({literal(e.rule_id)}, {literal(e.env_var)})" for e in ENRICHMENT if e.env_var)
@@ -518,144 +393,43 @@ FIXES = f"""x as (select f.*, case when regexp_matches(file, '^Dockerfile') then
         left join (values {", ".join(f"({literal(k)}, {literal(v)})" for k, v in T.LANGUAGES.items())}) as l(ext, language) on l.ext = regexp_extract(file, '\\.[^.]*$'))"""
 
 
-@query(f"with {FIXES} select file, line_number, language, var_name from x")
-def env_var_name(spark: SparkSession) -> DataFrame:
-    return rewrite.fix_plan(fixtures.table(spark, "fixes")).select("file", "line_number", "language", "var_name")
 
 
-@query(f"""with {FIXES}, y as (select *, case language when 'python' then 'os.environ["' || var_name || '"]' when 'go' then 'os.Getenv("' || var_name || '")' when 'ruby' then 'ENV["' || var_name || '"]'
-        when 'java' then 'System.getenv("' || var_name || '")' when 'yaml' then '${{' || var_name || '}}' when 'terraform' then 'var.' || lower(var_name) else 'process.env.' || var_name end as ref from x),
-    z as (select *, case when contains(line, '"' || secret || '"') then '"' || secret || '"' when contains(line, '''' || secret || '''') then '''' || secret || ''''
-        when rule_id = 'postgres-uri' then regexp_extract(line, '"[^"]*"') else secret end as old from y)
-    select file, line_number, line as before, case language when 'json' then line
-        when 'dockerfile' then case when starts_with(line, 'ENV') then 'ARG ' || regexp_extract(line, 'ENV\\s+(\\w+)', 1) else replace(line, secret, '# REMOVED') end
-        else line[1:instr(line, old) - 1] || (case when language = 'yaml' and old <> secret then old[1:1] || ref || old[1:1] else ref end) || line[instr(line, old) + length(old):] end as after from z""")
-def fix_plan(spark: SparkSession) -> DataFrame:
-    return rewrite.fix_plan(fixtures.table(spark, "fixes")).select("file", "line_number", "before", "after")
 
 
-@query(f"""select case when e.value is null then 'added' when trim(e.value, '"') = w.value then 'existing' else 'conflict' end as action,
-    case when e.value is not null and trim(e.value, '"') <> w.value then w.name || '_NEW' else w.name end as name from {fixtures.sql("wanted")} w left join {fixtures.sql("existing")} e on e.name = w.name""")
-def env_upserts(spark: SparkSession) -> DataFrame:
-    return rewrite.env_upserts(fixtures.table(spark, "wanted"), fixtures.table(spark, "existing")).select("action", "name")
 
 
-@query(f"""select id, case when n < 1024 then n || ' B' when n < 1048576 then (n // 1024) || ' KB' when n < 1073741824 then '1.5 MB' else (n // 1073741824) || ' GB' end as bytes,
-    array_to_string(list_transform(regexp_split_to_array(slug, '[-_]'), lambda x: upper(x[1:1]) || x[2:]), ' ') as title, version <> '2.0.0' and version <> '1.0.0' as newer,
-    case id when 1 then '5 sec ago' when 2 then '2 min ago' when 3 then '2 hr ago' when 4 then '1 day ago' else '3 days ago' end as ago,
-    case id when 1 then '''=1+1' when 2 then '"a,b"' when 4 then '"''-3,4"' else cell end as csv, replace(replace(replace(replace(cell, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') as html
-    from {fixtures.sql("scalars")}""")
-def scalar_functions(spark: SparkSession) -> DataFrame:
-    now = F.lit("2024-03-01T00:00:00Z").cast("timestamp")
-    then = now - F.make_interval(secs=F.col("seconds"))
-    return fixtures.table(spark, "scalars").select(
-        "id", T.format_bytes(F.col("n")).alias("bytes"), T.title_case(F.col("slug")).alias("title"), T.is_newer(F.col("version"), F.col("other")).alias("newer"),
-        T.relative_time(then, now).alias("ago"), T.csv_cell(F.col("cell")).alias("csv"), T.escape_html(F.col("cell")).alias("html"),
-    )
 
 
-@query(f"select p.id from {fixtures.sql('pack')} p where p.id not in ({', '.join(literal(r.id) for r in RULES)}) and lower(p.pattern) not in ({', '.join(literal(r.pattern.lower()) for r in PATTERN_RULES)})")
-def pack_without_builtins(spark: SparkSession) -> DataFrame:
-    own = F.broadcast(enrich.rules(spark).select(F.col("rule_id").alias("id"), F.lower("pattern").alias("low")))
-    rows = fixtures.table(spark, "pack").withColumn("low", F.lower("pattern"))
-    return rows.join(own.select("id"), "id", "left_anti").join(own.select("low").filter("low is not null"), "low", "left_anti").select("id")
 
 
 NEWLINE = "' || chr(10) || '"
 
 
-@query(f"""select id, language, case
-    when language = 'python' and not regexp_matches(content, '(?m)^(import|from)\\s+os\\b') then regexp_replace(content, '^(#![^\\n]*\\n)?(#[^\\n]*coding[^\\n]*\\n)?', '\\1\\2import os{NEWLINE}')
-    when language = 'go' and contains(content, '"os"') then content
-    when language = 'go' and regexp_matches(content, '(?m)^import\\s*\\(') then regexp_replace(content, '(?m)^(import\\s*\\([^\\n]*)', '\\1{NEWLINE}' || chr(9) || '"os"')
-    when language = 'go' and regexp_matches(content, '(?m)^import\\s+"') then regexp_replace(content, '(?m)^import\\s+"([^"]+)"[^\\n]*', 'import ({NEWLINE}' || chr(9) || '"\\1"{NEWLINE}' || chr(9) || '"os"{NEWLINE})')
-    when language = 'go' then regexp_replace(content, '(?m)^(package\\s+[^\\n]*)', '\\1{NEWLINE}{NEWLINE}import "os"')
-    when language = 'javascript' and dotenv is not null and not contains(content, 'dotenv') then regexp_replace(content, '^(#![^\\n]*\\n)?([^\\n]*[''"]use strict[''"][^\\n]*\\n)?',
-        '\\1\\2' || (case dotenv when 'module' then 'import ''dotenv/config'';' else 'require(''dotenv'').config();' end) || chr(10))
-    else content end as content from {fixtures.sql("modules")}""")
-def ensure_imports(spark: SparkSession) -> DataFrame:
-    lines = rewrite.ensure_import(F.split("content", "\n", -1), F.col("language"), F.col("dotenv"))
-    return fixtures.table(spark, "modules").select("id", "language", F.array_join(lines, "\n").alias("content"))
 
 
-@query(f"select rule_id, severity from {fixtures.sql('findings')} where file in (select file from {fixtures.sql('changes')} where change_type <> 'D')")
-def changed_files_only(spark: SparkSession) -> DataFrame:
-    return policy.only_in(fixtures.table(spark, "findings"), fixtures.table(spark, "changes")).select("rule_id", "severity")
 
 
-@query(f"with w as ({RULE_LINES}), {hits_sql()} select distinct d.line_number::bigint as finding_line, w.line_number::bigint as line_number, w.line from d join w on w.line_number between d.line_number - 2 and d.line_number + 2")
-def context_lines(spark: SparkSession) -> DataFrame:
-    lines = spark.createDataFrame(fixtures.rule_lines(), "line_number long, line string").withColumn("file", F.lit("x"))
-    return report.context_lines(lines, fixture_findings(spark)).select("finding_line", "line_number", "line")
 
 
-@query(f"with w as ({RULE_LINES}), {hits_sql()} select distinct rule_id as id, name, d.severity from d join (values {', '.join(f'({literal(r.id)}, {literal(r.name)})' for r in RULES)}) as n(rule_id, name) using (rule_id)")
-def sarif_rules(spark: SparkSession) -> DataFrame:
-    return report.sarif_rules(fixture_findings(spark))
 
 
-@query(f"""with w as ({RULE_LINES}), {hits_sql()} select 'inc-20240101-' || lpad((7 + row_number() over (order by line_number, rule_id))::varchar, 3, '0') as incident_id, rule_id, line_number::bigint as line_number,
-    sha256(secret)[1:12] as secret_hash from (select distinct on (rule_id) * from d order by rule_id, line_number, match_start)""")
-def incident_numbers(spark: SparkSession) -> DataFrame:
-    """One incident a rule, numbered on from seven."""
-    first = fixture_findings(spark).groupBy("file", "rule_id").agg(F.min_by(F.struct("severity", "line_number", "match", "secret"), F.struct("line_number", "match_start")).alias("f"))
-    return report.incidents(first.select("file", "rule_id", "f.*"), "20240101", last=7).select("incident_id", "rule_id", "line_number", "secret_hash")
 
 
-@query(f"""with w as ({RULE_LINES}), {hits_sql()}, j as (select rule_id, line_number, severity, repeat(rule_id, 10) as json from d), s as (
-        select *, sum(strlen(json) + 1) over (order by case severity when 'critical' then 4 when 'high' then 3 when 'medium' then 2 else 1 end desc, line_number, json rows unbounded preceding) as bytes from j
-    ) select rule_id, line_number::bigint as line_number, bytes::bigint as bytes from s where bytes <= 5000""")
-def report_within_bytes(spark: SparkSession) -> DataFrame:
-    rows = fixture_findings(spark).withColumn("json", F.repeat("rule_id", F.lit(10)))
-    return report.within_bytes(rows, 5000).select("rule_id", "line_number", "bytes")
 
 
-@query(f"with w as ({RULE_LINES}), {hits_sql()} select 'literal:' || secret || '==>literal:REDACTED' as line from d group by secret")
-def purge_replacements(spark: SparkSession) -> DataFrame:
-    return report.purge_lines(aggregate.purge_list(fixture_findings(spark)))
 
 
-@query(f"""with w as ({RULE_LINES}), {hits_sql()} select f.*, critical, high, medium, low, total, files from (
-        select count(*)::bigint as files_seen, count(*) filter (size > 2097152)::bigint as files_skipped, count(*) filter (contains(content, chr(26)))::bigint as files_binary, count(*) filter (file = 'test/fixture.js')::bigint as files_ignored from {fixtures.sql("files")}
-    ) f, (select count(*) filter (severity = 'critical')::bigint as critical, count(*) filter (severity = 'high')::bigint as high, count(*) filter (severity = 'medium')::bigint as medium,
-        count(*) filter (severity = 'low')::bigint as low, count(*)::bigint as total, count(distinct file)::bigint as files from d)""")
-def scan_summary(spark: SparkSession) -> DataFrame:
-    rows = fixtures.table(spark, "files").withColumn("content", F.col("content").cast("binary"))
-    return aggregate.scan_summary(file_source.file_status(rows, ScanConfig(ignore=IgnoreSpec.parse(IGNORES))), fixture_findings(spark))
 
 
-@query(f"""select count(*) filter (age_minutes <= 60 and status = 'live')::bigint as live, count(*) filter (age_minutes <= 60 and status = 'inactive')::bigint as inactive,
-    count(*) filter (not coalesce(age_minutes <= 60 and status in ('live', 'inactive'), false))::bigint as unknown from {fixtures.sql("verified")}""")
-def verification_totals(spark: SparkSession) -> DataFrame:
-    return aggregate.verification_counts(verification_adjust(spark))
 
 
-@query(f"select name, value from {fixtures.sql('wanted')}")
-def vault_round_trip(spark: SparkSession) -> DataFrame:
-    """Sealed values come back. The key is made up for the query."""
-    key = F.lit(bytes(range(32)))
-    return fixtures.table(spark, "wanted").select("name", T.unseal(T.seal(F.col("value"), key), key).alias("value"))
 
 
-@query(f"""select id, (seconds * 20 // 86400)::bigint as days, timestamp '2024-03-31' - interval (id) day as back, (timestamp '2024-03-31' - interval 1 month) as month_back from {fixtures.sql("scalars")} where id = 2""")
-def relative_dates(spark: SparkSession) -> DataFrame:
-    now = F.lit("2024-03-31T00:00:00Z").cast("timestamp")
-    then = now - F.make_interval(secs=F.col("seconds") * 20)
-    date = lambda spec: T.since(spec, now).cast("timestamp_ntz")
-    return fixtures.table(spark, "scalars").filter("id = 2").select("id", T.days_ago(then, now).alias("days"), date("2d").alias("back"), date("1m").alias("month_back"))
 
 
-@query(f'select timestamp, "findingCount", "userDecision" from {AUDIT} order by timestamp desc limit 1')
-def last_scan(spark: SparkSession) -> DataFrame:
-    return audit.last_scan(audit_log(spark))
 
 
-@query(f"select idx, split_part(files, ';', 1) as file, action as status from {AUDIT} where \"findingCount\" > 0")
-def audit_flat_findings(spark: SparkSession) -> DataFrame:
-    """A finding without a file of its own belongs to the entry's first."""
-    log = audit_log(spark).filter("findingCount > 0")
-    log = log.withColumn("findings", F.array(F.struct(F.lit(None).cast("string").alias("file"), F.lit("x").alias("ruleId"), F.lit("low").alias("severity"))))
-    return audit.flat_findings(log).join(log.select("timestamp", "idx"), "timestamp").select("idx", "file", "status")
 
 
 @query(found_sql("select file, line_number::bigint as line_number, '::error file=' || file || ',line=' || line_number || '::Token Assignment (' || severity || ')' as line from d where rule_id = 'token-assignment'"))
@@ -680,63 +454,15 @@ def streaming_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(found.schema).parquet(f"{out}/rows").select("doc_id", F.col("line_number").cast("long").alias("line_number"), "rule_id", F.col("match_start").cast("long").alias("match_start"))
 
 
-@query(f"""with w as (select *, content as line, 0 as shift from {ADDED_SQL}), {hits_sql('w', 'commit_hash, file')} select c.commit_hash[1:7] as commit, c.author, c.subject, h.file, h.line_number, h.rule_id, h.match_start,
-    ((epoch_ms(timestamp '2024-02-01 12:00:00') - epoch_ms(c.committed_at::timestamp)) // 86400000)::bigint as days_in_history from h join {fixtures.sql("commits")} c using (commit_hash)""")
-def history_commits(spark: SparkSession) -> DataFrame:
-    commits = fixtures.table(spark, "commits")
-    found = with_commits(scan_history(history.added_lines(commits)), commits, F.lit("2024-02-01T12:00:00Z").cast("timestamp"))
-    return found.select("commit", "author", "subject", "file", F.col("line_number").cast("long").alias("line_number"), "rule_id", F.col("match_start").cast("long").alias("match_start"), "days_in_history")
-
-
-@query(f"""with a as (select * from {ADDED_SQL} join {fixtures.sql("commits")} using (commit_hash)),
-    t as (select file, bool_or(is_remote) as remote, min(committed_at) filter (is_remote) as since from a group by file),
-    s as (select l.id, bool_or(is_remote) as remote from {fixtures.sql("leaks")} l join a on a.file = l.file and contains(a.content, l.secret) group by l.id)
-    select l.id, case when length(l.secret) between 8 and 200 then case when s.remote then 'PUSHED' when s.id is not null then 'COMMITTED' else 'LOCAL' end
-        when t.file is null then 'LOCAL' when t.remote then 'PUSHED' else 'COMMITTED' end as level,
-        case when length(l.secret) between 8 and 200 or t.file is null then 'high' else 'medium' end as confidence, t.since as exposure_since
-    from {fixtures.sql("leaks")} l left join t on t.file = l.file left join s on s.id = l.id""")
-def exposure_in_history(spark: SparkSession) -> DataFrame:
-    """From commits to levels: which secrets others can see, and since when."""
-    commits = fixtures.table(spark, "commits")
-    flags = enrich.history_flags(fixtures.table(spark, "leaks"), commits, history.added_lines(commits))
-    return enrich.exposure(flags.withColumn("is_repo", F.lit(True))).select("id", "level", "confidence", "exposure_since")
-
-
-@query(f"""select count(*)::bigint as rules, count(distinct category)::bigint as categories, count(distinct severity)::bigint as severities, format('{{:.3f}}', avg(confidence)) as avg_confidence,
-    format('{{:.3f}}', avg(detection_rate)) as avg_detection_rate, format('{{:.3f}}', avg(false_positive_rate)) as avg_false_positive_rate from {fixtures.sql("pack_rules")}""")
-def pack_averages(spark: SparkSession) -> DataFrame:
-    return aggregate.pack_averages(fixtures.table(spark, "pack_rules"))
-
-
-@query(f"""select * from (select 'confidence' as list, row_number() over (order by confidence desc, position) as place, id from {fixtures.sql("pack_rules")}
-    union all select 'false_positive_rate', row_number() over (order by false_positive_rate, position), id from {fixtures.sql("pack_rules")}) where place <= 10""")
-def pack_top(spark: SparkSession) -> DataFrame:
-    """The two lists of ten."""
-    return aggregate.pack_top(fixtures.table(spark, "pack_rules"))
-
-
-@query(f"""with f as (select *, replace(upper(rule_id), '-', '_') as name from {fixtures.sql("fix_findings")}), r as (
-        select file, min_by('''' || secret || '''', rule_id) as old_1, max_by('''' || secret || '''', rule_id) as old_2, min(name) as new_1, max(name) as new_2 from f group by file
-    ) select file, replace(replace(content, old_1, 'process.env.' || new_1), old_2, 'process.env.' || new_2) as content from r join {fixtures.sql("fix_files")} using (file)""")
-def fix_all(spark: SparkSession) -> DataFrame:
-    """Two secrets of one line both move."""
-    plan = rewrite.fix_plan(fixtures.table(spark, "fix_findings"))
-    return rewrite.rewrite_files(fixtures.table(spark, "fix_files"), plan).select("file", "content")
-
-
-@query(f"""with w as ({RULE_LINES}), {hits_sql()} select '{{"filesScanned":1,"filesWithFindings":' || count(distinct file) || ',"findingsCount":' || count(*) || ',"severityCounts":{{"critical":' || count(*) filter (severity = 'critical')
-    || ',"high":' || count(*) filter (severity = 'high') || ',"medium":' || count(*) filter (severity = 'medium') || ',"low":' || count(*) filter (severity = 'low') || '}}}}' as json from d""")
-def report_summary(spark: SparkSession) -> DataFrame:
-    return report.summary(fixture_findings(spark), files_scanned=1)
-
-
-@query(f"""with w as ({RULE_LINES}), {hits_sql()} select count(*)::bigint as results, count(distinct rule_id)::bigint as rules, min(rule_id) as first_rule, max(line_number)::bigint as last_line from d""")
-def sarif_document(spark: SparkSession) -> DataFrame:
-    """The whole file, put together and parsed again."""
-    lines = report.sarif_document(fixture_findings(spark), "siftwell", "1")
-    text = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    parsed = text.select(F.from_json("text", """runs array<struct<tool:struct<driver:struct<rules:array<struct<id:string>>>>,
-        results:array<struct<ruleId:string,locations:array<struct<physicalLocation:struct<region:struct<startLine:bigint>>>>>>>>""").alias("j")).select(F.get("j.runs", F.lit(0)).alias("run"))
-    places = F.transform("run.results", lambda r: F.get(r["locations"], F.lit(0))["physicalLocation"]["region"]["startLine"])
-    return parsed.select(
-        F.size("run.results").cast("long").alias("results"), F.size("run.tool.driver.rules").cast("long").alias("rules"), F.array_min("run.tool.driver.rules.id").alias("first_rule"), F.array_max(places).alias("last_line"))
+
+
+
+
+
+
+
+
+
+
+
+

@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftwell.functions import text as T
 from siftwell.functions.catalog import FRAMEWORKS
-from siftwell.operators.enrich import enrich
+from siftwell.operators.enrich import controls, enrich
+from siftwell.operators.running import Descending, running_sums
+
+ORDER = ("file", "line_number", "match_start", "rule_id")
 
 
 def redacted(findings: DataFrame) -> DataFrame:
     return findings.withColumn("redacted", T.redact(F.col("secret"))).withColumn("secret_hash", T.secret_hash(F.col("secret"))).drop("secret", "match")
 
 
-def json_lines(findings: DataFrame) -> DataFrame:
+def json_lines(findings: DataFrame, *keep: str) -> DataFrame:
     rows = redacted(enrich(findings))
     compliance = F.struct(*FRAMEWORKS).alias("compliance")
-    return rows.select("file", "line_number", F.to_json(F.struct(
+    return rows.select("file", "line_number", *keep, F.to_json(F.struct(
         "file", F.col("line_number").alias("line"), F.col("rule_id").alias("ruleId"), F.col("rule_name").alias("ruleName"), "severity",
         F.col("redacted").alias("match"), F.col("secret_hash").alias("secretHash"), F.col("action").alias("remediation"), compliance,
     )).alias("json"))
@@ -55,13 +61,16 @@ def annotations(findings: DataFrame, github: bool = True) -> DataFrame:
 
 
 def within_bytes(findings: DataFrame, limit: int = 1_024_000) -> DataFrame:
-    """The most severe findings whose JSON fits in ``limit`` bytes. A row takes three bytes at least, ``{}`` and a line end, so no more than a third of
-    the limit can fit: a top-k before the running sum."""
-    rows = json_lines(findings).join(findings.select("file", "line_number", "severity").distinct(), ["file", "line_number"]) if "json" not in findings.columns else findings
-    order = [T.severity_rank(F.col("severity")).desc(), F.col("file"), F.col("line_number"), F.col("json")]
-    top = rows.orderBy(*order).limit(limit // 3)
-    total = F.sum(F.octet_length("json") + 1).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return top.withColumn("bytes", total).filter(F.col("bytes") <= limit)
+    """The most severe findings whose JSON, a line each, fits in ``limit`` bytes, with the bytes up to each."""
+    rows = json_lines(findings, "severity") if "json" not in findings.columns else findings
+    order = [Descending(T.severity_rank(F.col("severity"))), F.col("file"), F.col("line_number"), F.col("json")]
+    return running_sums(rows, order, F.octet_length("json") + 1, "bytes").filter(F.col("bytes") <= limit)
+
+
+def numbered(findings: DataFrame) -> DataFrame:
+    """``findings`` with counter, ``[i/n]``, by file, line, place and rule."""
+    rows = running_sums(findings, [F.col(c) for c in ORDER], name="number", total="of")
+    return rows.withColumn("counter", F.format_string("[%d/%d]", "number", "of")).drop("number", "of")
 
 
 def summary(findings: DataFrame, files_scanned: int = 0) -> DataFrame:
@@ -71,19 +80,97 @@ def summary(findings: DataFrame, files_scanned: int = 0) -> DataFrame:
     return counts.select(F.to_json(F.struct(F.lit(files_scanned).alias("filesScanned"), F.col("files").alias("filesWithFindings"), F.col("total").alias("findingsCount"), F.struct(*T.SEVERITIES).alias("severityCounts"))).alias("json"))
 
 
+def _lines(spark: SparkSession, section: int, lines: Sequence[str | Column]) -> DataFrame:
+    """A section of constant lines."""
+    rows = spark.createDataFrame([(section, i) for i in range(1, len(lines) + 1)], "section int, number long")
+    said = F.get(F.array(*(F.lit(x) if isinstance(x, str) else x for x in lines)), (F.col("number") - 1).cast("int"))
+    return rows.select("section", "number", said.alias("line"))
+
+
+def _rows(section: int, numbered_rows: DataFrame, line: Column) -> DataFrame:
+    return numbered_rows.select(F.lit(section).alias("section"), "number", line.alias("line"))
+
+
+def write_document(lines: DataFrame, path: str) -> None:
+    """Writes a document (section, number, line) as text files, which in the order of their names are the whole."""
+    lines.repartitionByRange("section", "number").sortWithinPartitions("section", "number").select("line").write.text(path)
+
+
 def sarif_document(findings: DataFrame, tool: str, version: str) -> DataFrame:
-    """position, line: the lines of a whole SARIF file with one run, ordered by position: the head with the rules that were hit, one result a line, the end."""
-    head = sarif_rules(findings).select(F.struct("id", F.struct(F.col("name").alias("text")).alias("shortDescription"), F.struct(T.sarif_level(F.col("severity")).alias("level")).alias("defaultConfiguration")).alias("rule"))
-    driver = F.to_json(F.struct(F.lit(tool).alias("name"), F.lit(version).alias("version"), F.sort_array(F.collect_list("rule")).alias("rules")))
-    before = F.concat(F.lit('{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{"tool":{"driver":'), driver, F.lit('},"results":['))
-    head = head.agg(before.alias("line")).select(F.lit("0").alias("position"), "line")
-    place = F.concat(F.lit("1"), F.col("uri"), F.lit(" "), F.lpad("startLine", 10, "0"), F.lpad("startColumn", 10, "0"), F.lit(" "), "ruleId")
-    body = sarif_results(findings).withColumn("position", place)
-    body = body.select("position", sarif_json_column().alias("line"))
-    last = body.agg(F.max(F.struct("position", "line")).alias("m")).select("m.position", F.col("m.line").alias("last"))
-    body = body.join(F.broadcast(last), "position", "left").select("position", F.when(F.col("last").eqNullSafe(F.col("line")), F.col("line")).otherwise(F.concat("line", F.lit(","))).alias("line"))
-    end = findings.sparkSession.range(1).select(F.lit("2").alias("position"), F.lit("]}]}").alias("line"))
-    return head.unionByName(body).unionByName(end)
+    """section, number, line: a whole SARIF file with one run: the head, the rules that were hit, the results, one a line. A comma stands before
+    each row but the first, by its number, so equal rows are as good as others."""
+    spark = findings.sparkSession
+    start = F.to_json(F.struct(F.lit(tool).alias("name"), F.lit(version).alias("version")))
+    head = F.concat(F.lit('{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{"tool":{"driver":'), F.regexp_replace(start, r"\}$", ""), F.lit(',"rules":['))
+    rule = F.to_json(F.struct("id", F.struct(F.col("name").alias("text")).alias("shortDescription"), F.struct(T.sarif_level(F.col("severity")).alias("level")).alias("defaultConfiguration")))
+    listed = lambda c: F.concat(F.when(F.col("number") > 1, ",").otherwise(""), c)
+    rules = running_sums(sarif_rules(findings), [F.col("id")], name="number")
+    results = running_sums(sarif_results(findings), [F.col(c) for c in ("uri", "startLine", "startColumn", "ruleId")], name="number")
+    parts = [_lines(spark, 1, [head]), _rows(2, rules, listed(rule)), _lines(spark, 3, ["]}},", '"results":[']), _rows(4, results, listed(sarif_json_column())), _lines(spark, 5, ["]}]}"])]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def compliance(findings: DataFrame) -> DataFrame:
+    """framework, controls: the sorted distinct controls of what was found, for every framework."""
+    found = controls(findings).groupBy("framework").agg(F.sort_array(F.collect_set("control")).alias("controls"))  # a control is one of the catalogue's
+    every = findings.sparkSession.createDataFrame([(f,) for f in FRAMEWORKS], "framework string")
+    return every.join(F.broadcast(found), "framework", "left").withColumn("controls", F.coalesce("controls", F.array().cast("array<string>")))
+
+
+#: What the frameworks are called, and the order of a report's findings.
+FRAMEWORK_NAMES = {"owasp": "OWASP Top 10", "nist": "NIST SP 800-53", "cis": "CIS Controls", "soc2": "SOC 2 Criteria"}
+ADVICE = (
+    "Rotate every credential that is still live.", "Remove secrets from the history of commits.", "Keep secrets in a secrets manager.", "Scan in continuous integration, so that no new one comes in.",
+)
+
+
+def _report_parts(findings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Counts (one row), findings with number and status, controls by framework with number."""
+    status = F.coalesce("status", F.lit("open")) if "status" in findings.columns else F.lit("open")
+    status = F.when(status.isin("fixed", "ignored"), status).otherwise("open")
+    rows = findings.withColumn("status", status)
+    n = lambda c, v: F.count_if(F.col(c) == v).alias(v)
+    counts = rows.agg(F.count("*").alias("total"), *(n("severity", s) for s in T.SEVERITIES), *(n("status", s) for s in ("open", "fixed", "ignored")))
+    order = F.create_map(*(F.lit(x) for i, f in enumerate(FRAMEWORKS, 1) for x in (f, i)))
+    named = F.create_map(*(F.lit(x) for f in FRAMEWORKS for x in (f, FRAMEWORK_NAMES[f])))
+    frameworks = compliance(findings).select(F.element_at(order, F.col("framework")).cast("long").alias("number"), F.element_at(named, F.col("framework")).alias("name"), "controls")
+    return counts, running_sums(rows, [F.col(c) for c in ORDER], name="number"), frameworks
+
+
+def _summary_lines(counts: DataFrame, section: int, line: Callable[[Column, Column], Column]) -> DataFrame:
+    names = ("total", *T.SEVERITIES, "open", "fixed", "ignored")
+    said = F.posexplode(F.array(*(line(F.lit(c), F.col(c).cast("string")) for c in names)))
+    return counts.select(said.alias("i", "line")).select(F.lit(section).alias("section"), (F.col("i") + 1).cast("long").alias("number"), "line")
+
+
+def markdown_document(findings: DataFrame, day: str) -> DataFrame:
+    """section, number, line: a compliance report of findings (file, line_number, match_start, rule_id, rule_name, severity, maybe status)."""
+    spark, (counts, rows, frameworks) = findings.sparkSession, _report_parts(findings)
+    cell = lambda c: F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|"))
+    found = F.concat(F.lit("| `"), F.coalesce(cell("file"), F.lit("unknown")), F.lit("` | "), F.coalesce(cell("line_number"), F.lit("-")), F.lit(" | "), F.coalesce(cell("rule_name"), cell("rule_id")), F.lit(" | "), cell("severity"), F.lit(" | "), cell("status"), F.lit(" |"))
+    control = F.concat(F.lit("- "), F.col("name"), F.lit(": "), F.when(F.size("controls") > 0, F.array_join("controls", ", ")).otherwise("none"))
+    parts = [
+        _lines(spark, 1, ["# Compliance report", "", f"Date: {day}", "", "## Summary", "", "| | n |", "|-|-|"]),
+        _summary_lines(counts, 2, lambda name, value: F.concat(F.lit("| "), name, F.lit(" | "), value, F.lit(" |"))),
+        _lines(spark, 3, ["", "## Findings", "", "| File | Line | Rule | Severity | Status |", "|-|-|-|-|-|"]), _rows(4, rows, found),
+        _lines(spark, 5, ["", "## Controls", ""]), _rows(6, frameworks, control), _lines(spark, 7, ["", "## What to do", "", *(f"{i}. {x}" for i, x in enumerate(ADVICE, 1))]),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def html_document(findings: DataFrame, day: str) -> DataFrame:
+    """The same report as a page."""
+    spark, (counts, rows, frameworks) = findings.sparkSession, _report_parts(findings)
+    cells = F.concat_ws("</td><td>", *(F.coalesce(T.escape_html(c.cast("string")), F.lit("-")) for c in (F.col("file"), F.col("line_number"), F.coalesce("rule_name", "rule_id"), F.col("severity"), F.col("status"))))
+    control = F.concat(F.lit("<dt>"), F.col("name"), F.lit("</dt><dd>"), F.when(F.size("controls") > 0, T.escape_html(F.array_join("controls", ", "))).otherwise("none"), F.lit("</dd>"))
+    parts = [
+        _lines(spark, 1, ["<!DOCTYPE html>", '<html lang="en"><head><meta charset="UTF-8"/><title>Compliance report</title></head><body>', f"<h1>Compliance report</h1><p>{day}</p>", "<h2>Summary</h2><table>"]),
+        _summary_lines(counts, 2, lambda name, value: F.concat(F.lit("<tr><td>"), name, F.lit("</td><td>"), value, F.lit("</td></tr>"))),
+        _lines(spark, 3, ["</table><h2>Findings</h2><table>", "<tr><th>File</th><th>Line</th><th>Rule</th><th>Severity</th><th>Status</th></tr>"]),
+        _rows(4, rows, F.concat(F.lit("<tr><td>"), cells, F.lit("</td></tr>"))), _lines(spark, 5, ["</table><h2>Controls</h2><dl>"]), _rows(6, frameworks, control),
+        _lines(spark, 7, ["</dl><h2>What to do</h2><ol>", *(f"<li>{x}</li>" for x in ADVICE), "</ol></body></html>"]),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def html_rows(findings: DataFrame) -> DataFrame:
@@ -91,12 +178,6 @@ def html_rows(findings: DataFrame) -> DataFrame:
     return findings.select("file", "line_number", F.concat(F.lit("<tr><td>"), F.concat_ws("</td><td>", *cells), F.lit("</td></tr>")).alias("html"))
 
 
-def markdown(counts: dict[str, int], controls: list[tuple[str, str, int]]) -> str:
-    """From counts by severity and (framework, control, n) rows, both small."""
-    lines = ["# Findings", "", "| severity | n |", "|-|-|", *(f"| {k} | {v} |" for k, v in counts.items()), "", "| framework | control | n |", "|-|-|-|"]
-    return "\n".join([*lines, *(f"| {a} | {b} | {n} |" for a, b, n in sorted(controls))]) + "\n"
-
-
 def context_lines(lines: DataFrame, findings: DataFrame, n: int = 2) -> DataFrame:
     """The lines around each finding: an equi-join on file and each wanted number."""
     wanted = findings.select("file", F.col("line_number").alias("finding_line"), F.explode(F.sequence(F.col("line_number") - n, F.col("line_number") + n)).alias("line_number"))
@@ -108,7 +189,12 @@ def purge_lines(secrets: DataFrame, mark: str = "REDACTED") -> DataFrame:
     return secrets.select(F.concat(F.lit("literal:"), F.col("secret"), F.lit(f"==>literal:{mark}")).alias("line"))
 
 
-def incidents(findings: DataFrame, day: str, last: int = 0) -> DataFrame:
-    """Numbered incident records for findings (few by nature: those that a responder opens)."""
-    number = F.row_number().over(Window.orderBy("file", "line_number", "rule_id")) + last
-    return redacted(enrich(findings)).select(F.format_string(f"inc-{day}-%03d", number).alias("incident_id"), "rule_id", "severity", "file", "line_number", "incident_provider", "secret_hash")
+def incidents(findings: DataFrame, day: str, earlier: DataFrame | None = None) -> DataFrame:
+    """Numbered incident records for findings, numbered on from the day's greatest number in ``earlier`` (incident_id)."""
+    last = 0
+    if earlier is not None:
+        own = F.regexp_extract("incident_id", rf"^inc-{day}-(\d+)$", 1).try_cast("long")
+        last = earlier.agg(F.coalesce(F.max(own), F.lit(0))).first()[0]
+    rows = running_sums(redacted(enrich(findings)), [F.col(c) for c in ORDER], name="number")
+    number = F.format_string(f"inc-{day}-%03d", F.col("number") + last)
+    return rows.select(number.alias("incident_id"), "rule_id", "severity", "file", "line_number", "incident_provider", "secret_hash", "action", *FRAMEWORKS)

@@ -4,7 +4,7 @@ import os
 import duckdb
 import pytest
 
-from siftwell.plans.queries import ORACLES, QUERIES
+from siftwell.plans.table_queries import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
