@@ -193,6 +193,7 @@ class Rule:
     pattern: str
     source: str = "builtin"
     confidence: float | None = None
+    spark_pattern: str | None = None
 
     @property
     def severity_rank(self) -> int:
@@ -200,6 +201,8 @@ class Rule:
 
     def java(self, case_mode: str = REFERENCE_CASE) -> str:
         """For Spark: ASCII word borders, and an end anchor that doesn't match before a final line break."""
+        if self.spark_pattern:
+            return self.spark_pattern
         out = self.pattern.replace(r"\b", r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
         if case_mode == DECLARED_CASE and self.flags != "-":
             return f"(?{self.flags})" + out

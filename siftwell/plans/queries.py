@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 import inspect
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
-from siftwell.functions.catalog import ENRICHMENT, FRAMEWORKS, PATTERN_RULES, RULES, Rule
-from siftwell.operators import aggregate, audit, detect, enrich, exposure, multiline, policy, rewrite
+from siftwell.functions.catalog import PATTERN_RULES, RULES, Rule
+from siftwell.operators import aggregate, detect, enrich, policy
+from siftwell.operators.indexed import indexed_findings
 from siftwell.operators.lines import split_lines, windows
 from siftwell.plans import fixtures, report
 from siftwell.plans.fixtures import literal
-from siftwell.plans.scan import scan, scan_history, with_commits
-from siftwell.sources import files as file_source
-from siftwell.sources import history
+from siftwell.plans.scan import scan
+from siftwell.sources import rule_pack
 from siftwell.sources.config import IgnoreSpec, ScanConfig, custom_rules
-from siftwell.streaming.stream import scan_stream
+from siftwell.sources.staged import new_path
+from siftwell.streaming.stream import best_findings, read_latest, write_latest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -158,13 +160,6 @@ def pattern_scan_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans(patterns(chats(spark, sf_dir)))
 
 
-RULE_LINES = f"select 1 as doc_id, 'x' as file, n as line_number, line, 0 as shift from (values {', '.join(f'({n}, {literal(s)})' for n, s in fixtures.rule_lines())}) as v(n, line)"
-
-
-
-
-
-
 QUOTED_SQL = """'"[^''"`\\n]{20,}"|''[^''"`\\n]{20,}''|`[^''"`\\n]{20,}`'"""
 CANDIDATES = f"""c as (
         select doc_id, line_number, k, ms[k][2:-2] as text, (shift + list_sum(list_transform(gaps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0))::bigint as start
@@ -212,18 +207,10 @@ BASE_SQL = "regexp_extract(path, '[^/]*$')"
 EXT_SQL = f"regexp_extract({BASE_SQL}, '^[^.].*?(\\.[^.]*)$', 1)"
 
 
-
-
-
-
 #: A comment sign of two characters, the word, maybe a colon with a reason, maybe the end of a block comment.
 IGNORED_SQL = "regexp_matches(line, '/[/*]\\s*scan-ignore(:\\s*.+)?\\s*(\\*/)?\\s*$')"
 
 
-
-
-
-
 def found_sql(select: str) -> str:
     return f"with {lines_sql(FILES_SQL['documents'])}, {hits_sql()} {select}"
 
@@ -262,33 +249,9 @@ def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns(documents(spark, sf_dir)).join(names, "rule_id").groupBy("category").agg(F.count("*").alias("n"))
 
 
-CATALOGUE = f"(values {', '.join(f'({literal(r.id)}, {literal(r.severity)}, {literal(r.category)}, {literal(r.provider)})' for r in RULES)}) as r(rule_id, severity, category, provider)"
-CONTROLS = ", ".join(f"({literal(e.rule_id)}, {literal(f)}, {literal(c)})" for e in ENRICHMENT for f in FRAMEWORKS for c in getattr(e, f))
-
-
-
-
-
-
-
-
-
-
-
-
-
-
-
-
-
-
-
-
 CONCAT_SQL = """'"[^''"]{4,}"\\s*\\+\\s*"[^''"]{4,}"|''[^''"]{4,}''\\s*\\+\\s*''[^''"]{4,}'''"""
 
 
-
-
 FULL = ScanConfig(
     entropy_threshold=T.THRESHOLD_DIRECT, ignore=IgnoreSpec.parse("skip/**\nsrc19/**\n[rule:token-assignment] src1/**"), severity={"aws-access-key-id": "low", "env-var-secret": "ignore"},
     rules=custom_rules([{"id": "own-mailbox", "name": "Mailbox", "severity": "high", "pattern": r"([a-z0-9.]+)@mail[0-9]\.example\.com"}])[0],
@@ -307,7 +270,7 @@ def across_sql(kind: int, pattern: str, text: str) -> str:
                         select file, content, regexp_extract_all(content, {pattern}) as ms, regexp_split_to_array(content, {pattern}) as gaps from f where length(content) <= 512000 and regexp_matches(content, {pattern})))))"""
 
 
-def full_sql() -> str:
+def full_sql(files: str = FULL_FILES) -> str:
     """The scan from the semantics: single lines, and what spans lines; of one span the most severe finding, then the first emitted."""
     rank = "case severity when 'critical' then 4 when 'high' then 3 when 'medium' then 2 else 1 end"
     ext = EXT_SQL.replace("path", "file")
@@ -318,7 +281,7 @@ def full_sql() -> str:
     entropy_rule = next(r.ord for r in RULES if not r.pattern)
     assigned = "regexp_matches(context, '[=:]\\s*$|(?i)(key|secret|password|token|credential|api[_-]?key)\\s*[=:]')"
     trimmed = "regexp_replace(raw, '^\\s+|\\s+$', '', 'g')"
-    return f"""with {lines_sql(FULL_FILES)}, v as (select * from w where not {IGNORED_SQL}), {hits_sql("v", rules=(*PATTERN_RULES, *FULL.rules))},
+    return f"""with {lines_sql(files)}, v as (select * from w where not {IGNORED_SQL}), {hits_sql("v", rules=(*PATTERN_RULES, *FULL.rules))},
         {CANDIDATES.replace("select doc_id,", "select file, shift,").replace("from w where", "from v where")},
         e as (select *, {ENTROPY_SQL} as bits from c where not ({" or ".join(f"({x})" for x in REJECT_SQL.values())})),
         bl as (select file, unnest(string_split(content, chr(10))) as raw, generate_subscripts(string_split(content, chr(10)), 1) as pos, content from f where length(content) <= 512000),
@@ -349,87 +312,6 @@ def full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir).select("file", "content").unionByName(pages(spark, sf_dir).select("file", "content")).unionByName(fixtures.table(spark, "sources"))
     long = lambda c: F.col(c).cast("long").alias(c)
     return report.redacted(scan(rows, FULL)).select("file", long("line_number"), "rule_id", "severity", "type", long("match_start"), long("match_length"), "redacted", "secret_hash")
-
-
-
-
-AUDIT = fixtures.sql("audit")
-
-
-
-
-
-
-
-
-
-
-
-
-
-
-_commit = dict((r[0], r[2].split("\n")) for r in fixtures.FIXTURES["commits"][1])
-ADDED = ", ".join(
-    f"({literal(c)}, {literal(f)}, {n}, {literal(text)})"
-    for c, f, n, text in [("c1", "x.py", 2, _commit["c1"][5][1:]), ("c1", "x.py", 3, "plain"), ("c1", "x.py", 12, _commit["c1"][10][1:]), ("c2", "y.js", 1, "one"), ("c2", "y.js", 2, _commit["c2"][7][1:])]
-)
-ADDED_SQL = f"(select commit_hash, file, line_number::bigint as line_number, content from (values {ADDED}) as v(commit_hash, file, line_number, content))"
-
-
-
-
-
-
-
-
-
-
-
-
-ENV = ", ".join(f"({literal(e.rule_id)}, {literal(e.env_var)})" for e in ENRICHMENT if e.env_var)
-FIXES = f"""x as (select f.*, case when regexp_matches(file, '^Dockerfile') then 'dockerfile' else coalesce(l.language, 'unknown') end as language,
-        coalesce(e.known, upper(regexp_replace(nullif(regexp_extract(line, '(?:const|let|var|export)\\s+(\\w+)\\s*=', 1), ''), '([a-z])([A-Z])', '\\1_\\2', 'g')), replace(upper(f.rule_id), '-', '_')) as var_name
-        from {fixtures.sql("fixes")} f left join (values {ENV}) as e(rule_id, known) using (rule_id)
-        left join (values {", ".join(f"({literal(k)}, {literal(v)})" for k, v in T.LANGUAGES.items())}) as l(ext, language) on l.ext = regexp_extract(file, '\\.[^.]*$'))"""
-
-
-
-
-
-
-
-
-
-
-
-
-NEWLINE = "' || chr(10) || '"
-
-
-
-
-
-
-
-
-
-
-
-
-
-
-
-
-
-
-
-
-
-
-
-
-
-
 
 
 @query(found_sql("select file, line_number::bigint as line_number, '::error file=' || file || ',line=' || line_number || '::Token Assignment (' || severity || ')' as line from d where rule_id = 'token-assignment'"))
@@ -438,31 +320,35 @@ def ci_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.annotations(found).select("file", F.col("line_number").cast("long").alias("line_number"), "line")
 
 
-@query(f"with {lines_sql(FILES_SQL['documents'])}, {hits_sql()} select doc_id, line_number::bigint as line_number, rule_id, match_start from h")
+@query(full_sql(f"select 0 as doc_id, file, content from ({FILES_SQL['documents']}) where not starts_with(file, 'skip/') and not starts_with(file, 'src19/')"))
 def streaming_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scan as a stream over the folder, run until it has read what is there."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """The whole scan as a stream over the folder, run until it has read what is there; what it says is what the scan of the table says."""
+    out = new_path(spark, "stream")
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet*")
-    files = rows.select("doc_id", F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("file"), F.col("text").alias("content"))
-    found = scan_stream(files, ScanConfig(), ("doc_id", "file")).filter("type = 'pattern'")
-    done = found.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
-    done.awaitTermination()
-    return spark.read.schema(found.schema).parquet(f"{out}/rows").select("doc_id", F.col("line_number").cast("long").alias("line_number"), "rule_id", F.col("match_start").cast("long").alias("match_start"))
-
-
-
-
-
-
-
-
+    at = F.lit("2024-01-01").cast("timestamp") + F.make_interval(mins=F.col("doc_id").cast("int"))
+    files = rows.select(F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("file"), F.col("text").alias("content"), at.alias("at"))
+    found = best_findings(files, FULL, at="at", late="36500 days")
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema)
+    write_latest(found, f"{out}/rows", f"{out}/state").awaitTermination()
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return report.redacted(read_latest(spark, f"{out}/rows", ddl)).select("file", long("line_number"), "rule_id", "severity", "type", long("match_start"), long("match_length"), "redacted", "secret_hash")
 
 
+#: A pack of 5,000 rules: a rule's literal is its number in letters, behind which a sign must stand.
+PACK_SIZE, PACK_STEP = 5000, 7
+PACK_SQL = f"""(select 'tail-' || i as rule_id, chr((97 + n // 676)::int) || chr((97 + n // 26 % 26)::int) || chr((97 + n % 26)::int) as tail from (select i, i * {PACK_STEP} % 17576 as n from range({PACK_SIZE}) r(i)))"""
 
 
+def large_pack() -> tuple[Rule, ...]:
+    letters = lambda n: "".join(chr(97 + n // k % 26) for k in (676, 26, 1))
+    rows = [{"id": f"tail-{i}", "pattern": f"{letters(i * PACK_STEP % 17576)}[.,;:!?]", "severity": "low"} for i in range(PACK_SIZE)]
+    return rule_pack.load(json.dumps(rows))[0]
 
 
+@query(f"""with {lines_sql(FILES_SQL["documents"])}, x as (select doc_id, unnest(regexp_extract_all(line, '[a-z]{{3}}[.,;:!?]')) as match from w)
+    select rule_id, count(*)::bigint as n, count(distinct doc_id)::bigint as files from x join {PACK_SQL} on tail = match[1:3] group by 1""")
+def pack_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every match of the rules of a large pack in the windows of all lines."""
+    found = indexed_findings(windows(split_lines(documents(spark, sf_dir), ("doc_id",))), large_pack())
+    return found.groupBy("rule_id").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("files"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
 from siftwell.operators import detect, multiline, policy
+from siftwell.operators.indexed import indexed_findings
 from siftwell.operators.lines import split_lines, windows
 from siftwell.sources.config import ScanConfig
 
@@ -20,6 +21,8 @@ def candidates(files: DataFrame, config: ScanConfig = ScanConfig(), keys: tuple[
     found = detect.pattern_findings(parts, case_mode=config.case_mode)
     if config.rules:
         found = found.unionByName(detect.pattern_findings(parts, config.rules, config.case_mode, detect.PASS_CUSTOM))
+    if config.packs:
+        found = found.unionByName(indexed_findings(parts, config.packs, config.case_mode))
     found = found.unionByName(detect.entropy_findings(parts, threshold))
     if config.multiline:
         found = found.unionByName(multiline.findings(kept.select(*keys, "content"), threshold, keys, case_mode=config.case_mode))

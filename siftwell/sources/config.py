@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftwell.functions.catalog import REFERENCE_CASE, Rule
+from siftwell.functions.dialect import to_java
 
 DEFAULT_MAX_FILE_SIZE = 2 << 20
 # Units of size literals; marker files of stacks; paths that a stack ignores.
@@ -102,13 +103,14 @@ class IgnoreSpec:
 
 @dataclass(frozen=True)
 class ScanConfig:
-    """``ignore_marker``: the word of a trailing comment (``// word`` or ``/* word: reason */``) that silences its line; set
+    """``packs``: rules of packs (``rule_pack.load``), any number. ``ignore_marker``: the word of a trailing comment (``// word`` or ``/* word: reason */``) that silences its line; set
     it to the word that the files already use."""
 
     entropy_threshold: float | None = None
     max_file_size: int = DEFAULT_MAX_FILE_SIZE
     severity: dict[str, str] = field(default_factory=dict)
     rules: tuple[Rule, ...] = ()
+    packs: tuple[Rule, ...] = ()
     ignore: IgnoreSpec = IgnoreSpec()
     ignore_marker: str = "scan-ignore"
     case_mode: str = REFERENCE_CASE
@@ -137,7 +139,7 @@ class ScanConfig:
 
 
 def custom_rules(rows: list[dict]) -> tuple[tuple[Rule, ...], list[str]]:
-    """Rules and what is wrong with those left out: no id or pattern, a bad pattern, one that matches nothing."""
+    """Rules and what is wrong with those left out: no id or pattern, or a pattern that ``functions.dialect`` refuses."""
     out, wrong, seen = [], [], {}
     for row in rows:
         rule_id, pattern = row.get("id"), row.get("pattern")
@@ -145,11 +147,9 @@ def custom_rules(rows: list[dict]) -> tuple[tuple[Rule, ...], list[str]]:
             if not rule_id or not pattern:
                 raise ValueError("id and pattern are needed")
             pattern = seen.setdefault(rule_id, pattern)  # a repeated id keeps the first pattern
-            compiled = re.compile(pattern)
-            if compiled.match(""):
-                raise ValueError("it matches the empty string")
-        except (ValueError, re.error) as e:
+            java, groups = to_java(pattern), re.compile(pattern).groups
+        except ValueError as e:
             wrong.append(f"{rule_id or '?'}: {e}")
             continue
-        out.append(Rule(1000 + len(out), rule_id, row.get("name") or rule_id, row.get("severity") or "medium", "Custom", "Custom", "-", min(1, compiled.groups), pattern, "custom"))
+        out.append(Rule(1000 + len(out), rule_id, row.get("name") or rule_id, row.get("severity") or "medium", "Custom", "Custom", "-", min(1, groups), pattern, "custom", spark_pattern=java))
     return tuple(out), wrong

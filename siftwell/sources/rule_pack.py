@@ -8,6 +8,7 @@ import json
 import re
 
 from siftwell.functions.catalog import RULES, Rule
+from siftwell.functions.dialect import to_java
 
 # Category slug, provider, category.
 CATEGORIES = {
@@ -44,11 +45,11 @@ def load(text: str, signature: str | None = None, key: bytes | None = None) -> t
         if row.get("id") in ids or str(row.get("pattern", "")).lower() in patterns:
             continue
         try:
-            groups = re.compile(row["pattern"]).groups
-        except (KeyError, re.error) as e:
+            java, groups = to_java(row["pattern"]), re.compile(row["pattern"]).groups
+        except (KeyError, ValueError) as e:
             warnings.append(f"{row.get('id', '?')}: {e}")
             continue
         slug = row.get("category", "")
         provider, category = CATEGORIES.get(slug, (title(slug.removeprefix("secrets-")), title(slug)))
-        out.append(Rule(500 + len(out), row["id"], row.get("name", row["id"]), row.get("severity", "medium"), provider, category, "-", min(1, groups), row["pattern"], "pack", row.get("confidence")))
+        out.append(Rule(500 + len(out), row["id"], row.get("name", row["id"]), row.get("severity", "medium"), provider, category, "-", min(1, groups), row["pattern"], "pack", row.get("confidence"), java))
     return tuple(out), warnings
