@@ -301,3 +301,48 @@ for name, query in __spark_entry__.queries().items():
     env["PYSPARK_SUBMIT_ARGS"] = "--driver-memory 2g pyspark-shell"
     found = subprocess.run([sys.executable, "-c", code.format(repo=repo, tmp=tmp_path)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert found.stdout.count("ran op") == 13, found.stdout[-500:] + found.stderr[-3000:]
+
+
+# paragraphs: no partner of a frequent band code is left out
+
+
+@pytest.mark.parametrize("unlike", [10, 200])
+def test_of_many_members_under_one_code_all_meet_that_are_similar(unlike):
+    from siftwell.llm.paragraphs import Paragraphs
+
+    rng = random.Random(unlike)
+    seed = [f"s{i}" for i in range(10)]
+    text = lambda left, right: " ".join([*left, *seed, *right])
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    pairs = []
+    members = [(i, text(fresh(41), fresh(41)), 41, [7]) for i in range(unlike)]
+    for p in range(5):  # 51 words with one that differs
+        left, right = fresh(41), fresh(41)
+        for q in range(3):
+            edited = [*left]
+            edited[20] = f"e{p}{q}"
+            members.append((1000 + 10 * p + q, text(edited, right), 41, [7, 100 + 10 * p + q]))
+        pairs.append({1000 + 10 * p + q for q in range(3)})
+    rng.shuffle(members)
+    groups = {}
+    for a, b, *_ in Paragraphs(10, 51, 0.8, 5).links(members):
+        joined = groups.get(a, {a}) | groups.get(b, {b})
+        groups |= {x: joined for x in joined}
+    assert {frozenset(g) for g in groups.values()} == {frozenset(p) for p in pairs}
+
+
+def test_thousands_of_edited_copies_under_one_code_take_few_comparisons():
+    from siftwell.llm.paragraphs import Paragraphs
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(92)]
+    members = []
+    for i in range(3000):
+        own = list(words)
+        own[rng.choice([*range(0, 40), *range(52, 92)])] = f"e{i}"
+        members.append((i, " ".join(own), 41, [1, 2, 3]))
+    compare = Paragraphs(10, 51, 0.8, 5)
+    calls = []
+    plain = compare.pair
+    compare.pair = lambda *a: calls.append(1) or plain(*a)
+    assert len(list(compare.links(members))) == 2999 and len(calls) < 4000
