@@ -1,32 +1,49 @@
 """Where a secret has been: commits that change how often it occurs in a file, and who could see it since when.
 
 Secrets and changed lines meet by short shingles: of every four neighbouring runs of five characters the one with the least hash counts, so a line that holds a secret of eight
-characters or more has that secret's first shingle among its own. Only lines of files with findings are looked at. What meets is then counted
+characters or more has that secret's first shingle among its own. A table of bits drops most shingles where the lines are; only lines with one of the others move. What meets is then counted
 exactly: occurrences in added lines less those in removed ones, by commit. A line that only moves leaves no trace.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.sources.staged import stage
+
 SHORTEST, LONGEST = 8, 200
 _GRAM, _RUN = 5, 4
 #: A file's lines are dealt to so many tasks at least, whatever the file; its secrets go to each of them.
 SALTS = 16
+BITS = 1 << 18
 
 
 def _shingles(text: Column) -> Column:
     """Hashes of all runs of five characters."""
     chars = F.split(text, "")
     n = F.size(chars) - _GRAM + 1
-    at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(chars, i, F.lit(_GRAM)), "")))
+    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.xxhash64(*(F.get(chars, i + k) for k in range(_GRAM))))
 
 
 def _least(hashes: Column) -> Column:
-    at = F.when(F.size(hashes) >= _RUN, F.sequence(F.lit(1), F.size(hashes) - _RUN + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.array_min(F.slice(hashes, i, F.lit(_RUN)))))
+    n = F.size(hashes) - _RUN + 1
+    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(at, lambda i: F.least(*(F.get(hashes, i + k) for k in range(_RUN)))))
+
+
+def _in_bits(shingles: DataFrame) -> Callable[[Column], Column]:
+    """Whether a shingle may be among those given: a table of ``BITS`` bits, so what the driver and the tasks hold of it doesn't grow with the data."""
+    words = [0] * (BITS // 32)
+    for (b,) in shingles.select(F.pmod("shingle", F.lit(BITS)).cast("int")).distinct().collect():
+        words[b >> 5] |= 1 << (b & 31)
+    table = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+    powers = F.split(F.lit(",".join(str(1 << i) for i in range(32))), ",").cast("array<bigint>")
+    place = lambda x: F.pmod(x, F.lit(BITS)).cast("int")
+    return lambda x: F.get(table, F.shiftright(place(x), 5)).bitwiseAND(F.get(powers, place(x).bitwiseAND(F.lit(31)))) != 0
 
 
 def by_content(secret: Column) -> Column:
@@ -39,11 +56,13 @@ def secret_changes(findings: DataFrame, changed: DataFrame) -> DataFrame:
     of the secret's occurrences in the file, where it does. A line may hold many secrets, a secret stand in many lines."""
     wanted = findings.filter(by_content(F.col("secret"))).select("file", "secret").distinct()
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    files = wanted.select("file").distinct().select("file", salts)
-    lines = changed.filter(F.length("content") >= SHORTEST).withColumn("salt", F.pmod(F.xxhash64("commit_hash", "content"), F.lit(SALTS)).cast("int"))
-    lines = lines.join(files, ["file", "salt"], "left_semi").withColumn("hashes", _shingles(F.col("content")))
-    lines = lines.select("commit_hash", "file", "salt", "change", "content", F.explode(_least(F.col("hashes"))).alias("shingle"))
-    keyed = wanted.withColumn("shingle", F.get(_least(F.slice(_shingles(F.substring("secret", 1, SHORTEST)), 1, _RUN)), F.lit(0))).select("file", "secret", "shingle", salts)
+    keyed = wanted.withColumn("shingle", F.get(_least(F.slice(_shingles(F.substring("secret", 1, SHORTEST)), 1, _RUN)), F.lit(0)))
+    keyed = stage(keyed.select("file", "secret", "shingle"), "secrets")
+    may_be = _in_bits(keyed)
+    lines = changed.filter(F.length("content") >= SHORTEST).withColumn("hashes", _shingles(F.col("content"))).withColumn("hashes", F.filter(_least(F.col("hashes")), may_be))
+    salt = F.pmod(F.xxhash64("commit_hash", "content"), F.lit(SALTS)).cast("int").alias("salt")
+    lines = lines.select("commit_hash", "file", salt, "change", "content", F.explode("hashes").alias("shingle"))
+    keyed = keyed.select("*", salts)
     met = lines.join(keyed, ["file", "salt", "shingle"])
     times = (F.length("content") - F.length(F.replace("content", "secret"))) / F.length("secret")
     summed = met.groupBy("commit_hash", "file", "secret").agg(F.sum(F.col("change") * times).cast("long").alias("difference"))
