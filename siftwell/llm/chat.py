@@ -1,9 +1,10 @@
 """Chat formatting by prefix-target expansion (DataFrame functions only).
 
 Every assistant turn becomes an example of its own: all preceding turns are its context and only its
-reply is under the loss mask. A conversation of n turns has contexts of O(n^2) characters in all, so
-an example holds its context as a span of the conversation's formatted stream, which is stored once;
-``with_context`` writes the contexts out where a trainer wants them.
+reply is under the loss mask. ``expand`` writes the examples out, each with its whole context. A
+conversation of n turns has contexts of O(n^2) characters in all, so nothing but a conversation's
+stream is shuffled or stored on the way: the examples are cut from it where it lies, one at a time.
+``examples`` gives them as spans of that stream instead, for trainers that read spans.
 
 Template, per turn: ``<|turn|>`` role ``<|text|>`` text ``<|end|>``. Inside roles and texts a
 backslash is doubled, and one is put behind the first character of any control string: ``<|``,
@@ -58,9 +59,25 @@ def segments(conversations: DataFrame) -> DataFrame:
 
 
 def streams(turns: DataFrame) -> DataFrame:
-    """One row per conversation: its formatted text, stored once for all its examples."""
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("seq", "segment"))), lambda x: x["segment"])
-    return turns.groupBy("conv_id").agg(F.array_join(parts, "").alias("formatted"))
+    """One row per conversation: its formatted text and the spans of its turns there (seq, role, start, stop, text_start, text_stop)."""
+    spans = F.struct("seq", "role", "start", "stop", "text_start", "text_stop")
+    held = F.sort_array(F.collect_list(F.struct("seq", "segment", spans.alias("span"))))
+    return turns.groupBy("conv_id").agg(held.alias("held")).select(
+        "conv_id", F.array_join(F.col("held.segment"), "").alias("formatted"), F.col("held.span").alias("spans")
+    )
+
+
+def expand(formatted: DataFrame, trainable_role: str = "assistant") -> DataFrame:
+    """The rows of ``streams``, one for each trainable turn (one with nulls where there is none): the other columns but formatted
+    and spans, example (from 0), n_context_turns, context (all before the reply), target (the rendered reply), loss_start and loss_stop (the mask, in context and target)."""
+    wanted = F.filter("spans", lambda x: x["role"] == trainable_role)
+    others = [c for c in formatted.columns if c not in ("formatted", "spans")]
+    rows = formatted.select(*others, "formatted", F.posexplode_outer(wanted).alias("example", "span"))
+    start, stop = F.col("span.start").cast("int"), F.col("span.stop").cast("int")
+    return rows.select(
+        *others, F.col("example").cast("long").alias("example"), F.col("span.seq").alias("n_context_turns"), F.left("formatted", start).alias("context"),
+        F.substring("formatted", start + 1, stop - start).alias("target"), F.col("span.text_start").alias("loss_start"), F.col("span.text_stop").alias("loss_stop"),
+    )
 
 
 def examples(turns: DataFrame, trainable_role: str = "assistant") -> DataFrame:
@@ -74,13 +91,6 @@ def examples(turns: DataFrame, trainable_role: str = "assistant") -> DataFrame:
     )
 
 
-def with_context(made: DataFrame, formatted: DataFrame) -> DataFrame:
-    """Examples with their contexts written out (quadratic in a conversation's turns)."""
-    right = formatted.withColumnRenamed("conv_id", "stream_id")
-    joined = made.join(right, made["conv_id"].eqNullSafe(right["stream_id"]))
-    return joined.withColumn("context", F.expr("left(formatted, cast(context_chars as int))")).drop("stream_id", "formatted")
-
-
 def read_turns(formatted: Column) -> Column:
     """A stream back as an array of (role, text)."""
     parts = F.split(formatted, r"<\|turn\|>", -1)
@@ -91,31 +101,31 @@ def read_turns(formatted: Column) -> Column:
     return F.transform(inner, lambda x: F.struct(unescape(x[0]).alias("role"), unescape(x[1]).alias("text")))
 
 
-def loss_text(made: DataFrame) -> Column:
-    """What an example's mask covers, unescaped."""
-    at = (F.col("loss_start") - F.col("context_chars") + 1).cast("int")
-    return unescape(F.substring(F.col("target"), at, (F.col("loss_stop") - F.col("loss_start")).cast("int")))
+def loss_text(whole: Column) -> Column:
+    """What the mask of an example (``whole``: its context and target) covers, unescaped."""
+    return unescape(F.substring(whole, (F.col("loss_start") + 1).cast("int"), (F.col("loss_stop") - F.col("loss_start")).cast("int")))
 
 
 def read_back(turns: DataFrame) -> DataFrame:
-    """Digests per conversation of what the formatted streams and examples hold."""
+    """Digests per conversation of what the formatted streams and the examples, written out with their contexts, hold."""
     formatted = streams(turns).withColumn("turns", read_turns(F.col("formatted")))
     said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    left = formatted.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
+    formatted = formatted.select(
+        "conv_id", "formatted", "spans", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
-    made = examples(turns)
-    losses = made.withColumn("loss", loss_text(made)).groupBy("conv_id")
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("example", "loss"))), lambda x: x["loss"]), "")
-    right = losses.agg(
-        text.alias("all_loss"), F.count("*").alias("n_examples"),
-        F.sum(F.col("context_chars") + F.length("target")).alias("expanded_chars"),
-    ).withColumnRenamed("conv_id", "example_conv")
-    loss = F.coalesce("all_loss", F.lit(""))
-    return left.join(right, left["conv_id"].eqNullSafe(right["example_conv"]), "left").select(
-        "conv_id", "n_turns", "turns_sha256", F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars",
-        F.coalesce("n_examples", F.lit(0)).cast("long").alias("n_examples"),
-        F.coalesce("expanded_chars", F.lit(0)).cast("long").alias("expanded_chars"),
+    made = expand(formatted).withColumn("whole", F.concat("context", "target"))
+    made = made.select(
+        "conv_id", "n_turns", "turns_sha256", "formatted_chars", "example", loss_text(F.col("whole")).alias("loss"),
+        F.sha2("whole", 256).alias("digest"), F.length("whole").cast("long").alias("chars"),
+    )
+    per_example = F.sort_array(F.collect_list(F.when(F.col("example").isNotNull(), F.struct("example", "loss", "digest"))))
+    found = made.groupBy("conv_id").agg(
+        F.first("n_turns").alias("n_turns"), F.first("turns_sha256").alias("turns_sha256"), F.first("formatted_chars").alias("formatted_chars"),
+        F.count("example").alias("n_examples"), F.coalesce(F.sum("chars"), F.lit(0).cast("long")).alias("expanded_chars"), per_example.alias("made"),
+    )
+    loss = F.array_join(F.col("made.loss"), "")
+    return found.select(
+        "conv_id", "n_turns", "turns_sha256", F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars",
+        "n_examples", "expanded_chars", F.sha2(F.array_join(F.col("made.digest"), ""), 256).alias("examples_sha256"),
     )

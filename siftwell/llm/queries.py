@@ -168,17 +168,21 @@ ORACLES = {
         ), e as (
             select *, 23
                 + length(replace(role, '\', '\\')) + len(regexp_extract_all(role, '<\||<s>|</s>|\[INST\]|\[/INST\]'))
-                + length(replace(text, '\', '\\')) + len(regexp_extract_all(text, '<\||<s>|</s>|\[INST\]|\[/INST\]')) as chars
+                + length(replace(text, '\', '\\')) + len(regexp_extract_all(text, '<\||<s>|</s>|\[INST\]|\[/INST\]')) as chars,
+                '<|turn|>' || regexp_replace(replace(role, '\', '\\'), '(<|\[)(\||s>|/s>|INST\]|/INST\])', '\1\\\2', 'g')
+                || '<|text|>' || regexp_replace(replace(text, '\', '\\'), '(<|\[)(\||s>|/s>|INST\]|/INST\])', '\1\\\2', 'g') || '<|end|>' as said
             from t
         ), s as (
-            select *, sum(chars) over (partition by conv_id order by turn nulls first, role, text rows unbounded preceding) as stop from e
+            select *, sum(chars) over o as stop, sha256(string_agg(said, '') over o) as digest
+            from e window o as (partition by conv_id order by turn nulls first, role, text rows unbounded preceding)
         )
         select conv_id, count(*)::bigint as n_turns,
             sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
             coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
             sha256(coalesce(string_agg(text, '' order by turn nulls first, text) filter (role = 'assistant'), '')) as loss_sha256,
             sum(chars)::bigint as formatted_chars, count(*) filter (role = 'assistant')::bigint as n_examples,
-            coalesce(sum(stop) filter (role = 'assistant'), 0)::bigint as expanded_chars
+            coalesce(sum(stop) filter (role = 'assistant'), 0)::bigint as expanded_chars,
+            sha256(coalesce(string_agg(digest, '' order by turn nulls first, text) filter (role = 'assistant'), '')) as examples_sha256
         from s group by conv_id""",
     "op2_line_dedup": r"""
         with l as (

@@ -390,6 +390,34 @@ def test_passages_with_a_changed_word_in_the_middle_are_found(spark):
     assert len(passages_found(spark, make)) == 60
 
 
+def test_stretches_reach_the_ends_of_equal_passages(spark):
+    rng = random.Random(14)
+    long = words_of(rng, 400)
+    rows = []
+    for i in range(40):  # cut from one text, so that one document's chain goes on where another's ends
+        a = rng.randrange(300)
+        rows.append((i, f"{prose(rng, rng.randint(1, 9))} {' '.join(long[a : a + rng.randint(51, 90)])} {prose(rng, rng.randint(0, 9))}"))
+    rows += [(50 + i, prose(rng, 60)) for i in range(10)]
+    twin = prose(rng, 47)
+    rows += [(70, twin), (71, twin)]  # too short to hold a passage
+    found = paragraphs.repeats(docs(spark, rows)).collect()
+    words = {i: t.lower().split() for i, t in rows}
+    holders = defaultdict(set)
+    for i, w in words.items():
+        for p in range(len(w) - 50):
+            holders[tuple(w[p : p + 51])].add(i)
+    covered = defaultdict(set)
+    for r in found:
+        first = len(dict(rows)[r["doc_id"]][: r["start"]].split())
+        covered[r["doc_id"]] |= set(range(first, first + r["n_words"]))
+        assert len(dict(rows)[r["doc_id"]][r["start"] : r["start"] + r["length"]].split()) == r["n_words"]
+    for i, w in words.items():
+        for p in range(len(w) - 50):
+            if len(holders[tuple(w[p : p + 51])]) > 1:
+                assert covered[i] >= set(range(p, p + 51))
+    assert set(covered) <= set(range(40))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=80), st.integers(1, 18))
 def test_winnowing_takes_from_every_window(values, w):

@@ -66,15 +66,22 @@ def test_escape_in_python_terms(text):
 
 
 def test_contexts_are_prefixes(spark):
-    rows = [(1, i, "assistant" if i % 2 else "user", f"text {i}") for i in range(6)]
+    rows = [(1, i, "assistant" if i % 2 else "user", f"text <s> {i}") for i in range(6)] + [(2, 0, "user", "no reply")]
     turns = chat.segments(spark.createDataFrame(rows, CHAT))
     formatted = chat.streams(turns)
-    whole = formatted.first()["formatted"]
-    made = chat.with_context(chat.examples(turns), formatted).orderBy("example").collect()
-    assert len(made) == 3
-    for r in made:
-        assert whole.startswith(r["context"] + r["target"]) and len(r["context"]) == r["context_chars"]
-        assert whole[r["loss_start"] : r["loss_stop"]] == f"text {2 * r['example'] + 1}"
+    whole = formatted.filter("conv_id = 1").first()["formatted"]
+    made = chat.expand(formatted).orderBy("conv_id", "example").collect()
+    spans = chat.examples(turns).orderBy("example").collect()
+    assert [(r["conv_id"], r["example"]) for r in made] == [(1, 0), (1, 1), (1, 2), (2, None)]
+    for r, span in zip(made, spans, strict=False):
+        assert whole.startswith(r["context"] + r["target"]) and r["target"] == span["target"]
+        assert len(r["context"]) == span["context_chars"] and r["n_context_turns"] == span["n_context_turns"] == 2 * r["example"] + 1
+        assert whole[r["loss_start"] : r["loss_stop"]] == f"text <\\s> {2 * r['example'] + 1}"
+        assert (r["loss_start"], r["loss_stop"]) == (span["loss_start"], span["loss_stop"])
+    read = {r["conv_id"]: r for r in chat.read_back(turns).collect()}
+    digests = "".join(sha(r["context"] + r["target"]) for r in made[:3])
+    assert read[1]["examples_sha256"] == sha(digests) and read[1]["expanded_chars"] == sum(len(r["context"] + r["target"]) for r in made[:3])
+    assert (read[2]["n_examples"], read[2]["expanded_chars"], read[2]["examples_sha256"]) == (0, 0, sha(""))
 
 
 def expected_lines(rows, min_chars=20, min_docs=3):
