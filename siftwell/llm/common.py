@@ -63,20 +63,22 @@ def drop_staged(*frames: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def join_unique(rows: DataFrame, unique: DataFrame, key: str, n: str, spread: str, salts: int = 64, share: int = 512) -> DataFrame:
+def join_unique(rows: DataFrame, unique: DataFrame, key: str, n: str, spread: str, salts: int = 64, share: int = 512, how: str = "inner",
+                hint: str | None = "shuffle_hash") -> DataFrame:
     """``rows`` with the columns of ``unique``, a staged table with one row for each ``key`` and ``n``, its number of rows.
 
     A key that holds more than one in ``share`` of the rows is dealt to ``salts`` parts by ``spread``, so no task gets all of them. There
     are fewer than ``share`` such keys whatever the data, so their hashes are a list in the plan. The table of keys is built into
-    hashes, so the rows needn't be sorted."""
+    hashes, so the rows needn't be sorted; without ``hint`` Spark chooses, by its size. ``how`` may be "left"."""
+    hinted = lambda df: df.hint(hint) if hint else df
     total = unique.agg(F.sum(n)).first()[0] or 0
     hot = [r[0] for r in unique.filter(F.col(n) > max(10_000, total // share)).select(F.xxhash64(key)).collect()]
     if not hot:
-        return rows.join(unique.hint("shuffle_hash"), key)
+        return rows.join(hinted(unique), key, how)
     salt, is_hot = fresh(rows, "_salt"), F.xxhash64(key).isin(hot)
     dealt = rows.withColumn(salt, F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0))
     copies = F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
-    return dealt.join(unique.withColumn(salt, copies).hint("shuffle_hash"), [key, salt]).drop(salt)
+    return dealt.join(hinted(unique.withColumn(salt, copies)), [key, salt], how).drop(salt)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -8,8 +8,9 @@ the document's length, so the search loses nothing. A document that holds any sh
 a candidate, and exact containment of the shingles themselves decides.
 
 Items are a stated query set, taken to the tasks in blocks of at most ``block_items`` items and
-``block_chars`` characters (one item at least); each block is one more pass over the rows, so a block's
-broadcast is bounded whatever the benchmark's size.
+``block_chars`` characters (one item at least). ``held_blocks`` of them are broadcast at a time and met in one
+pass over the rows; before the next ones come, the marked rows are written to the shared folder and these
+broadcasts are given up, so what driver and executors hold is bounded whatever the benchmark's size.
 
 Words are the runs of letters, digits and underscores of the lower-cased text; an item of fewer than five
 words is one shingle of its length. Defined results: a null or wordless text or item matches nothing;
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from siftwell.llm.common import SIMILARITY, WORDS_PER_SHINGLE, WordHashes, fresh, shingle_hashes
+from siftwell.llm.common import SIMILARITY, WORDS_PER_SHINGLE, WordHashes, drop_staged, fresh, shingle_hashes, stage
 
 WORD = re.compile(r"\w+")
 _SHIFT = np.uint64(44)
@@ -128,14 +129,22 @@ def _marker(parts: Broadcast, threshold: float, at_text: int) -> Callable[[Itera
 
 
 def mark(documents: DataFrame, benchmark: DataFrame, k: int = WORDS_PER_SHINGLE, threshold: float = SIMILARITY,
-         block_items: int = 5000, block_chars: int = 8_000_000) -> DataFrame:
+         block_items: int = 5000, block_chars: int = 8_000_000, held_blocks: int = 8) -> DataFrame:
     """``documents`` with one more column, the last, _matches (or a ``fresh`` name): the items contained in each row's text."""
     spark = documents.sparkSession
     out = documents.withColumn(fresh(documents, "_matches"), F.array().cast(MATCHES))
     schema: StructType = out.schema
     at_text = documents.columns.index("text")
+    held, staged = [], []
     for block in _blocks(benchmark, block_items, block_chars):
+        if len(held) == held_blocks:
+            out = stage(out, "marked")
+            drop_staged(*staged)
+            for parts in held:
+                parts.destroy()
+            held, staged = [], [out]
         parts = spark.sparkContext.broadcast(ItemIndex(threshold).fill(block, k))
+        held.append(parts)
         out = out.mapInArrow(_marker(parts, threshold, at_text), schema)
     return out
 

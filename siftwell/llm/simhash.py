@@ -166,17 +166,18 @@ def links(nodes: DataFrame, radius: int = 2, shard_size: int = 4096) -> DataFram
 def near_groups(documents: DataFrame, words: int = 3, radius: int = 2, shard_size: int = 4096) -> DataFrame:
     """doc_id, text_hash, fingerprint (long), component (its smallest fingerprint), component_id: its smallest doc_id."""
     rows = stage(fingerprints(documents, words), "fingerprints")
-    nodes = stage(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")), "nodes")
+    nodes = stage(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "nodes")
     found = stage(links(nodes, radius, shard_size), "links")
     if found.isEmpty():
-        least = nodes.select("fingerprint", F.col("fingerprint").alias("component"), F.col("doc_id").alias("component_id"))
+        least = nodes.select("fingerprint", F.col("fingerprint").alias("component"), F.col("doc_id").alias("component_id"), "n")
     else:
         joined = components(found).withColumnRenamed("node", "fingerprint")
         named = nodes.join(joined, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
         named = stage(named, "named")
-        smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-        least = stage(named.join(smallest, "component").select("fingerprint", "component", "component_id"), "least")
-    return rows.join(least, "fingerprint").select("doc_id", "text_hash", "fingerprint", "component", "component_id")
+        smallest = stage(named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members")), "smallest")
+        least = join_unique(named, smallest, "component", "members", "fingerprint", hint=None)
+        least = stage(least.select("fingerprint", "component", "component_id", "n"), "least")
+    return join_unique(rows, least, "fingerprint", "n", "doc_id", hint=None).select("doc_id", "text_hash", "fingerprint", "component", "component_id")
 
 
 def drop_near_copies(documents: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import new_path, stage
+from siftwell.llm.common import join_unique, new_path, stage
 
 END = b"\r\n\r\n"
 CHUNK_BYTES = 1 << 16
@@ -32,13 +32,13 @@ DATE = "2024-01-01T00:00:00Z"
 
 
 def records(pages: DataFrame, min_revisit_bytes: int = 100) -> DataFrame:
-    """page_id, url, payload, digest and refers_to (null for responses)."""
+    """page_id, url, payload, digest and refers_to (null for responses). A payload that many pages share is dealt to many tasks."""
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
     groups = pages.select("page_id", F.octet_length(payload).alias("size"), F.sha2(payload, 256).alias("digest"))
     groups = groups.filter(F.col("size") >= min_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("owner"), F.count("*").alias("n"))
-    owners = stage(groups.filter("n > 1").select("digest", "owner"), "revisited")
-    joined = rows.join(owners, "digest", "left")
+    owners = stage(groups.filter("n > 1"), "revisited")
+    joined = join_unique(rows, owners, "digest", "n", "page_id", how="left", hint=None)
     refers = F.when(F.col("owner").isNotNull() & ~F.col("owner").eqNullSafe(F.col("page_id")), F.col("owner"))
     return joined.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 

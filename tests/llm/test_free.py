@@ -540,6 +540,22 @@ def test_hot_keys_are_dealt_and_joined_whole(spark):
     assert "_salt" in got._jdf.queryExecution().executedPlan().toString()
 
 
+    left = join_unique(rows, unique, "key", "n", "id", how="left", hint=None)
+    assert left.count() == 40_000 and left.filter("first is null").count() == 7_500
+    assert left.filter("first <> if(key = 7, 0, key) or (first is null and key % 2 = 1)").count() == 0
+
+
+def test_a_payload_of_most_pages_is_one_response(spark):
+    page = F.when(F.col("page_id") % 5 < 3, F.repeat(F.lit("copy"), 30)).otherwise(F.concat(F.repeat(F.lit("own"), 40), F.col("page_id").cast("string")))
+    pages = spark.range(5, 20_005, 1, 4).select((F.col("id") * 2).alias("page_id"), F.lit("u").alias("url")).select("*", page.alias("html"))
+    made = warc.records(pages)
+    assert "_salt" in made._jdf.queryExecution().executedPlan().toString()
+    got = made.select("page_id", "refers_to", F.length("payload").alias("n")).collect()
+    assert len(got) == 20_000
+    assert all(r["refers_to"] == (None if r["page_id"] == 10 or r["page_id"] % 5 >= 3 else 10) for r in got)
+    assert sum(r["n"] == 120 for r in got) == 12_000
+
+
 # SimHash
 
 
@@ -620,6 +636,18 @@ def test_sharded_links_find_every_component(spark):
         assert len({joined.get(simhash.signed(v), simhash.signed(v)) for v in values}) == len(groups)
 
 
+def test_a_text_of_most_documents_is_one_node(spark):
+    text = F.when(F.col("doc_id") % 5 < 3, F.lit("one and the same short line")).otherwise(F.concat(F.lit("w"), F.xxhash64("doc_id").cast("string")))
+    rows = spark.range(7, 20_007, 1, 4).withColumnRenamed("id", "doc_id").select("doc_id", text.alias("text"))
+    found = simhash.near_groups(rows)
+    assert "_salt" in found._jdf.queryExecution().executedPlan().toString()
+    got = {r["doc_id"]: r["component_id"] for r in found.collect()}
+    assert len(got) == 20_000
+    copies = {got[d] for d in got if d % 5 < 3}
+    assert copies == {7}
+    assert sum(d == c for d, c in got.items()) == len(set(got.values()))
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(edges).collect()}
@@ -661,6 +689,12 @@ def test_containment_against_brute_force(spark):
     for block in (5000, 7):
         got = decontaminate.matches(with_extra(spark, rows), bench, block_items=block)
         assert sorted((tuple(r)[:4] for r in got.collect()), key=repr) == want
+    # more blocks than are held at a time: the marked rows are written between
+    got = decontaminate.matches(with_extra(spark, rows), bench, block_items=7, held_blocks=2)
+    assert sorted((tuple(r)[:4] for r in got.collect()), key=repr) == want
+    few = decontaminate.drop_contaminated(with_extra(spark, rows), bench, block_items=7, held_blocks=1)
+    assert few.columns == with_extra(spark, rows).columns
+    assert few.count() == sum(not list(contained(t)) for _, t in rows)
     clean = decontaminate.drop_contaminated(docs(spark, rows), bench)
     assert clean.count() == sum(not list(contained(t)) for _, t in rows)
     assert decontaminate.matches(docs(spark, []), bench).count() == 0
