@@ -1,8 +1,8 @@
 """Where a secret has been: commits that change how often it occurs in a file, and who could see it since when.
 
-Secrets and changed lines meet by short shingles: of every four neighbouring runs of five characters the one with the least hash counts, so a line that holds a secret of eight
-characters or more has that secret's first shingle among its own. Only lines of files with findings are looked at. What meets is then counted
-exactly: occurrences in added lines less those in removed ones, by commit. A line that only moves leaves no trace.
+Secrets and changed lines meet by their file: a line is searched for each secret of a file that has few. In a file of many secrets they meet by short shingles as well: of every four neighbouring
+runs of five characters the one with the least hash counts, so a line that holds a secret of eight characters or more has that secret's first shingle among its own. Both ways find the same
+lines; shingling a line takes as long as searching it some thousand times. Only lines of files with findings are looked at. What meets is then counted exactly: occurrences in added lines less those in removed ones, by commit. A line that only moves leaves no trace.
 """
 
 from __future__ import annotations
@@ -10,10 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.sources.staged import stage
+
 SHORTEST, LONGEST = 8, 200
 _GRAM, _RUN = 5, 4
 #: A file's lines are dealt to so many tasks at least, whatever the file; its secrets go to each of them.
 SALTS = 16
+#: Up to so many secrets of a file each of its lines is searched for.
+FEW = 256
 
 
 def _shingles(text: Column) -> Column:
@@ -37,19 +41,28 @@ def by_content(secret: Column) -> Column:
 def secret_changes(findings: DataFrame, changed: DataFrame) -> DataFrame:
     """findings: file, secret; changed: commit_hash, file, change (1 or -1), content. Gives commit_hash, file, secret, difference: by how much a commit changes the number
     of the secret's occurrences in the file, where it does. A line may hold many secrets, a secret stand in many lines."""
-    wanted = findings.filter(by_content(F.col("secret"))).select("file", "secret").distinct()
+    wanted = stage(findings.filter(by_content(F.col("secret"))).select("file", "secret").distinct(), "secrets")
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    files = wanted.select("file").distinct().select("file", salts)
+    numbers = wanted.groupBy("file").agg((F.count("*") > FEW).alias("many"))
+    wanted = stage(wanted.join(numbers, "file"), "secrets")
     lines = changed.filter(F.length("content") >= SHORTEST).withColumn("salt", F.pmod(F.xxhash64("commit_hash", "content"), F.lit(SALTS)).cast("int"))
-    lines = lines.join(files, ["file", "salt"], "left_semi").withColumn("hashes", _shingles(F.col("content")))
-    lines = lines.select("commit_hash", "file", "salt", "change", "content", F.explode(_least(F.col("hashes"))).alias("shingle"))
-    keyed = wanted.withColumn("shingle", F.get(_least(F.slice(_shingles(F.substring("secret", 1, SHORTEST)), 1, _RUN)), F.lit(0))).select("file", "secret", "shingle", salts)
-    met = lines.join(keyed, ["file", "salt", "shingle"])
+    met = lines.join(wanted.filter("not many").select("file", "secret", salts), ["file", "salt"]).filter(F.contains("content", "secret"))
+    if not wanted.filter("many").isEmpty():
+        met = _met_by_shingles(lines, wanted.filter("many").select("file", "secret", salts)).unionByName(met)
     times = (F.length("content") - F.length(F.replace("content", "secret"))) / F.length("secret")
     summed = met.groupBy("commit_hash", "file", "secret").agg(F.sum(F.col("change") * times).cast("long").alias("difference"))
     return summed.filter("difference <> 0")
 
 
+def _met_by_shingles(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Lines with the secrets of their file that share a shingle with them."""
+    files = wanted.select("file", "salt").distinct()
+    lines = lines.join(files, ["file", "salt"], "left_semi").withColumn("hashes", _shingles(F.col("content")))
+    lines = lines.withColumn("shingle", F.explode(_least(F.col("hashes")))).drop("hashes")
+    keyed = wanted.withColumn("shingle", F.get(_least(F.slice(_shingles(F.substring("secret", 1, SHORTEST)), 1, _RUN)), F.lit(0)))
+    return lines.join(keyed, ["file", "salt", "shingle"]).drop("shingle")
+
+
 def history_flags(findings: DataFrame, commits: DataFrame, touched: DataFrame, changed: DataFrame) -> DataFrame:
     """``findings`` (file, secret) with what ``exposure`` takes - in_any_commit, in_remote, secret_in_any, secret_in_remote - and exposure_since.
 
