@@ -23,6 +23,7 @@ def running_sums(rows: DataFrame, order: Sequence[Column], value: Column | None
     new = iter(f"_{i}_{name}" for i in range(1000) if f"_{i}_{name}".lower() not in taken)
     keys, tie, own, part = [next(new) for _ in order], next(new), next(new), next(new)
     keyed = rows.select("*", *(c.alias(k) for c, k in zip(order, keys, strict=True)), (F.lit(1) if value is None else value).cast("long").alias(own), F.monotonically_increasing_id().alias(tie))
+    keyed = stage(keyed, "numbers")  # dealing by ranges looks at the rows twice, and what makes them may be long
     # a column may be wanted in descending order: the sort keeps the expressions' own directions
     directions = [_directed(c, k) for c, k in zip(order, keys, strict=True)]
     dealt = keyed.repartitionByRange(*directions, F.col(tie)).withColumn(part, F.spark_partition_id())
