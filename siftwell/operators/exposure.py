@@ -3,6 +3,8 @@
 Secrets and changed lines meet by their file: a line is searched for each secret of a file that has few. In a file of many secrets they meet by short shingles as well: of every four neighbouring
 runs of five characters the one with the least hash counts, so a line that holds a secret of eight characters or more has that secret's first shingle among its own. Both ways find the same
 lines; shingling a line takes as long as searching it some thousand times. Only lines of files with findings are looked at. What meets is then counted exactly: occurrences in added lines less those in removed ones, by commit. A line that only moves leaves no trace.
+
+Secrets grow with the files, and written they compress to a few hundredths of what a driver would have to hold. So their joins ask for a merge: none is broadcast, whatever a file's size says.
 """
 
 from __future__ import annotations
@@ -39,14 +41,14 @@ def by_content(secret: Column) -> Column:
 
 
 def secret_changes(findings: DataFrame, changed: DataFrame) -> DataFrame:
-    """findings: file, secret; changed: commit_hash, file, change (1 or -1), content. Gives commit_hash, file, secret, difference: by how much a commit changes the number
-    of the secret's occurrences in the file, where it does. A line may hold many secrets, a secret stand in many lines."""
+    """findings: file, secret; changed: commit_hash, file, change (1 or -1), content (a line, or lines with their breaks between). Gives commit_hash, file, secret, difference: by how much
+    a commit changes the number of the secret's occurrences in the file, where it does. A line may hold many secrets, a secret stand in many lines."""
     wanted = stage(findings.filter(by_content(F.col("secret"))).select("file", "secret").distinct(), "secrets")
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     numbers = wanted.groupBy("file").agg((F.count("*") > FEW).alias("many"))
-    wanted = stage(wanted.join(numbers, "file"), "secrets")
+    wanted = stage(wanted.join(numbers.hint("merge"), "file"), "secrets")
     lines = changed.filter(F.length("content") >= SHORTEST).withColumn("salt", F.pmod(F.xxhash64("commit_hash", "content"), F.lit(SALTS)).cast("int"))
-    met = lines.join(wanted.filter("not many").select("file", "secret", salts), ["file", "salt"]).filter(F.contains("content", "secret"))
+    met = lines.join(wanted.filter("not many").select("file", "secret", salts).hint("merge"), ["file", "salt"]).filter(F.contains("content", "secret"))
     if not wanted.filter("many").isEmpty():
         met = _met_by_shingles(lines, wanted.filter("many").select("file", "secret", salts)).unionByName(met)
     times = (F.length("content") - F.length(F.replace("content", "secret"))) / F.length("secret")
@@ -57,10 +59,11 @@ def secret_changes(findings: DataFrame, changed: DataFrame) -> DataFrame:
 def _met_by_shingles(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """Lines with the secrets of their file that share a shingle with them."""
     files = wanted.select("file", "salt").distinct()
-    lines = lines.join(files, ["file", "salt"], "left_semi").withColumn("hashes", _shingles(F.col("content")))
+    lines = lines.join(files.hint("merge"), ["file", "salt"], "left_semi").withColumn("content", F.explode(F.split("content", "\n", -1)))  # a row is copied for each of its shingles
+    lines = lines.withColumn("hashes", _shingles(F.col("content")))
     lines = lines.withColumn("shingle", F.explode(_least(F.col("hashes")))).drop("hashes")
     keyed = wanted.withColumn("shingle", F.get(_least(F.slice(_shingles(F.substring("secret", 1, SHORTEST)), 1, _RUN)), F.lit(0)))
-    return lines.join(keyed, ["file", "salt", "shingle"]).drop("shingle")
+    return lines.join(keyed.hint("merge"), ["file", "salt", "shingle"]).drop("shingle")
 
 
 def history_flags(findings: DataFrame, commits: DataFrame, touched: DataFrame, changed: DataFrame) -> DataFrame:
