@@ -4,7 +4,7 @@ Secrets and changed lines meet by their file: a line is searched for each secret
 runs of five characters the one with the least hash counts, so a line that holds a secret of eight characters or more has that secret's first shingle among its own. Both ways find the same
 lines; shingling a line takes as long as searching it some thousand times. Only lines of files with findings are looked at. What meets is then counted exactly: occurrences in added lines less those in removed ones, by commit. A line that only moves leaves no trace.
 
-Secrets grow with the files, and written they compress to a few hundredths of what a driver would have to hold. So their joins ask for a merge: none is broadcast, whatever a file's size says.
+Secrets grow with the files, and written they compress to a few hundredths of what a driver would have to hold. So their joins, and those of commits and files, ask for a merge: none is broadcast, whatever a file's size says.
 """
 
 from __future__ import annotations
@@ -71,7 +71,7 @@ def history_flags(findings: DataFrame, commits: DataFrame, touched: DataFrame, c
 
     commits: commit_hash, committed_at, is_remote; touched: commit_hash, file, status; changed: as for ``secret_changes``. A file counts as exposed since the first
     commit on a remote that added it."""
-    known = commits.select("commit_hash", "committed_at", "is_remote")
+    known = commits.select("commit_hash", "committed_at", "is_remote").hint("merge")
     seen = touched.join(known, "commit_hash").groupBy("file").agg(
         F.lit(True).alias("in_any_commit"), F.bool_or("is_remote").alias("in_remote"),
         F.min(F.when(F.col("is_remote") & (F.col("status") == "A"), F.col("committed_at"))).alias("exposure_since"),
@@ -79,7 +79,7 @@ def history_flags(findings: DataFrame, commits: DataFrame, touched: DataFrame, c
     held = secret_changes(findings, changed).join(known, "commit_hash").groupBy("file", "secret")
     held = held.agg(F.lit(True).alias("secret_in_any"), F.bool_or("is_remote").alias("secret_in_remote"))
     flags = ("in_any_commit", "in_remote", "secret_in_any", "secret_in_remote")
-    return findings.join(seen, "file", "left").join(held, ["file", "secret"], "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in flags})
+    return findings.join(seen.hint("merge"), "file", "left").join(held.hint("merge"), ["file", "secret"], "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in flags})
 
 
 def exposure(flags: DataFrame) -> DataFrame:
